@@ -86,17 +86,23 @@ BOOKINGS = f"""SELECT e AS booking_seq,
 FROM (SELECT event_id AS e, base.* FROM {{events}} ev JOIN ({BASE}) base ON base.k = ev.event_id) eb"""
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The given table; one that comes in fewer splits than there are cores (a single
+    small file) is spread over them, a large one is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(stays_sql("weekday({})"), orders=_table(spark, sf_dir, "orders"))
+    orders = _table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
+    return spark.sql(stays_sql("weekday({})"), orders=orders)
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BOOKINGS, orders=_table(spark, sf_dir, "orders"),
-                     events=_table(spark, sf_dir, "events"))
+    orders = _table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
+    events = _table(spark, sf_dir, "events", "event_id").select("event_id")
+    return spark.sql(BOOKINGS, orders=orders, events=events)
 
 
 def duck_stays() -> str:
