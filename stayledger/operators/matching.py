@@ -45,10 +45,17 @@ def wanted_sets(bookings: DataFrame) -> DataFrame:
 
 
 def candidate_names(classes: DataFrame, wanted: DataFrame, name_scores: DataFrame) -> DataFrame:
-    """J1 + J2: per (booking name, day) the stay names in house with their counts."""
+    """J1 + J2: per (booking name, day) the stay names in house with their counts.
+
+    A full name means few stay names, so its days are looked up one by one.  A bare
+    surname can mean very many; it starts from the nights that really are occupied, which
+    keeps (days of the surname) x (names it can mean) from being spelled out.
+    """
     nightly = occupancy(classes, wanted).withColumnRenamed("name_key", "stay_name")
-    return (wanted.join(name_scores, "booking_name")
-            .join(nightly, ["stay_name", "night"]))
+    bare = T.is_bare(F.col("booking_name"))
+    by_day = wanted.join(name_scores.where(~bare), "booking_name").join(nightly, ["stay_name", "night"])
+    by_night = name_scores.where(bare).join(nightly, "stay_name").join(wanted, SET)
+    return by_day.unionByName(by_night)
 
 
 def rank_sets(candidates: DataFrame, settings: Settings) -> DataFrame:

@@ -69,7 +69,7 @@ def report_lines(stays: DataFrame, checked: DataFrame, checks: DataFrame,
     """Booking lines, unanswered mentions, a placeholder for stays with neither,
     and one line per repeated record."""
     found = booking_lines(checked).unionByName(mention_lines(checks), allowMissingColumns=True)
-    nothing = (stays.select("stay_seq").join(found.select("stay_seq"), "stay_seq", "left_anti")
+    nothing = (stays.select("stay_seq").join(found.select("stay_seq").distinct(), "stay_seq", "left_anti")
                .select("stay_seq", F.lit("placeholder").alias("line_kind"), F.lit(T.BLUE).alias("severity"),
                        F.array(F.lit("nothing_to_compare")).alias("reasons"), F.lit("").alias("detail")))
     out = found.unionByName(nothing, allowMissingColumns=True)
@@ -215,8 +215,10 @@ def write_report(headers: DataFrame, lines: DataFrame, path: str, fmt: str = "pa
     flat = fmt == "csv"
     if flat:
         body = body.withColumn("reasons", F.array_join("reasons", ";"))
-    order = ["is_duplicate", "arrival", "stay_seq"]
-    for name, df, keys in (("report_header", heads, order), ("report_line", body, ["stay_seq"])):
-        out = df.repartitionByRange("arrival_month", "stay_seq").sortWithinPartitions("arrival_month", *keys)
+    line_order = ["stay_seq", "line_kind", "booking_seq", "mention_ord"]
+    for name, df, keys in (("report_header", heads, ["is_duplicate", "arrival", "stay_seq"]),
+                           ("report_line", body, line_order)):
+        # Ranges end inside a stay if need be, so a stay with very many lines is split.
+        out = df.repartitionByRange("arrival_month", *keys).sortWithinPartitions("arrival_month", *keys)
         writer = out.write.mode(mode).partitionBy("arrival_month")
         (writer.option("header", True) if flat else writer).format(fmt).save(f"{path}/{name}")
