@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..plans.shared import cut
 from ..settings import Settings
 
 CLASS = ["name_key", "arrival_date", "departure_date"]
@@ -74,7 +75,8 @@ def occupancy(classes: DataFrame, days: DataFrame) -> DataFrame:
 def inhouse_counts(classes: DataFrame, bookings: DataFrame) -> DataFrame:
     """J1 per booking: number of stays in house on its day and the first of them."""
     dated = bookings.where("booking_day IS NOT NULL").select("booking_seq", F.col("booking_day").alias("night"))
-    nightly = (occupancy(classes, dated).groupBy("night")
+    days = cut(dated.select("night").distinct(), "booking_days")
+    nightly = (occupancy(classes, days).groupBy("night")
                .agg(F.sum("n").alias("in_house"), F.min("first_seq").alias("first_stay")))
     return (dated.join(nightly, "night")
             .select("booking_seq", "in_house", "first_stay"))
@@ -148,10 +150,13 @@ def split_duplicates(stays: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- J8-J10, F27, F28: roster checks -------------------------------------------------
 
 def stay_checks(stays: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
-    """Perk badges and unit rule violations, one row per stay (no shuffle: the unit
-    directory is joined as whatever its size allows)."""
+    """Perk badges and unit rule violations, one row per stay.
+
+    `units` has one row per abbreviation; being a directory it is small enough for the
+    optimizer to broadcast by its size, so stays do not move.
+    """
     text = T.all_notes()
-    u = units.where(F.col("abbreviation").isNotNull()).dropDuplicates(["abbreviation"]).select(
+    u = units.where(F.col("abbreviation").isNotNull()).select(
         F.col("abbreviation").alias("unit_code"), "category", "max_guests", "has_sofa_bed")
     base = stays.select(
         "stay_seq", "guests_count", T.strip(F.col("unit")).alias("unit_code"),

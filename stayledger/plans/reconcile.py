@@ -17,6 +17,10 @@ from . import report as R
 from .shared import cut
 
 
+ROSTER = ["stay_seq", "confirmation_number", "guest_name", "name_key", "unit", "unit_type", "arrival_date",
+          "departure_date", "arrival", "departure", "guests_count", "mention_bound"]
+
+
 @dataclass
 class Reconciliation:
     """Lazy bundle: a part is planned, and shared tables are written, when first asked for."""
@@ -34,6 +38,11 @@ class Reconciliation:
     def stays(self) -> DataFrame:
         return self._prepared[0]
 
+    @cached_property
+    def roster(self) -> DataFrame:
+        """The stays without their notes: what everything but note mining works on."""
+        return cut(self.stays.select(*ROSTER), "roster")
+
     @property
     def duplicates(self) -> DataFrame | None:
         return self._prepared[1]
@@ -48,15 +57,15 @@ class Reconciliation:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return cut(stay_classes(self.stays), "stay_classes")
+        return cut(stay_classes(self.roster), "stay_classes")
 
     @cached_property
     def groups(self) -> DataFrame:
-        return group_members(self.stays, self.classes)
+        return group_members(self.roster, self.classes)
 
     @cached_property
     def moves(self) -> DataFrame:
-        return unit_moves(self.stays)
+        return unit_moves(self.roster)
 
     @cached_property
     def roster_checks(self) -> DataFrame:
@@ -65,7 +74,7 @@ class Reconciliation:
 
     @cached_property
     def matching(self) -> M.Matching:
-        return M.match_bookings(self.stays, self.bookings, self.mentions, self.settings, self.classes)
+        return M.match_bookings(self.roster, self.bookings, self.mentions, self.settings, self.classes)
 
     @property
     def matches(self) -> DataFrame:
@@ -82,7 +91,7 @@ class Reconciliation:
 
     @property
     def alternates(self) -> DataFrame:
-        return M.alternates(self.stays, self.matching.candidates)
+        return M.alternates(self.roster, self.matching.candidates)
 
     @cached_property
     def mention_checks(self) -> DataFrame:
@@ -98,17 +107,17 @@ class Reconciliation:
 
     @property
     def lines(self) -> DataFrame:
-        return R.report_lines(self.stays, self._checked, self.mention_checks, self.duplicates)
+        return R.report_lines(self.roster, self._checked, self.mention_checks, self.duplicates)
 
     @property
     def headers(self) -> DataFrame:
-        return R.report_headers(self.stays, self._checked, self.mention_checks, self.groups,
+        return R.report_headers(self.roster, self._checked, self.mention_checks, self.groups,
                                 self.roster_checks, self.duplicates)
 
     @property
     def summary(self) -> DataFrame:
         worst = R.worst_by_stay(self._checked, self.mention_checks)
-        heads = (self.stays.select("stay_seq").join(worst, "stay_seq", "left")
+        heads = (self.roster.select("stay_seq").join(worst, "stay_seq", "left")
                  .select(F.coalesce("worst", F.lit(R.T.BLUE)).alias("severity")))
         if self.duplicates is not None:
             heads = heads.unionByName(self.duplicates.select(F.lit(R.T.RED).alias("severity")))

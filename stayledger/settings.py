@@ -7,9 +7,10 @@ loader checks their size before they are allowed onto the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Configuration tables larger than this are refused instead of being collected.
 MAX_CONFIG_ROWS = 20_000
@@ -153,11 +154,16 @@ class Settings:
         return {t: u for t, u in table.items() if t and t not in self.non_unit_terms}
 
     def units_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(u.abbreviation, u.full_name, u.category, u.unit_type_code,
-                 u.max_guests, u.has_sofa_bed) for u in self.units]
-        return spark.createDataFrame(
-            rows, "abbreviation string, full_name string, category string, "
-                  "unit_type_code string, max_guests int, has_sofa_bed boolean")
+        """The directory as a literal inside the plan: its size is known, so joins with it
+        do not shuffle the other side.  The first unit of an abbreviation counts."""
+        rows, seen = [], set()
+        for u in self.units:
+            if u.abbreviation is None or u.abbreviation not in seen:
+                rows.append(asdict(u))
+                seen.add(u.abbreviation)
+        schema = ("array<struct<abbreviation:string,full_name:string,category:string,"
+                  "unit_type_code:string,max_guests:int,has_sofa_bed:boolean>>")
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
     @classmethod
     def from_tables(cls, venues: DataFrame, units: DataFrame | None = None,

@@ -48,7 +48,7 @@ def booking_fields(spark, sf_dir):
 
 def inhouse_join(spark, sf_dir):
     r = run(spark, sf_dir)
-    return S.inhouse_counts(S.stay_classes(r.stays), r.bookings)
+    return S.inhouse_counts(r.classes, r.bookings)
 
 
 def name_score(spark, sf_dir):
@@ -100,7 +100,7 @@ def room_moves(spark, sf_dir):
 
 
 def move_notes(spark, sf_dir):
-    return S.move_notes(run(spark, sf_dir).stays)
+    return S.move_notes(run(spark, sf_dir).roster)
 
 
 def note_entries(spark, sf_dir):
