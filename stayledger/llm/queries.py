@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, embedding_dedup, line_frequency, line_runs, simhash, source_mix
+from . import (bpe_automaton, embedding_dedup, html_wrapper, line_frequency, line_runs, masked_lm, ordinal_quality, simhash, source_mix,
+               toxicity)
 from .common import table
 
 
@@ -17,6 +18,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -26,6 +32,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned texts, with the number of lines each has lost."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +53,12 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op4_simhash_near_dedup, op5_quality_rules,
-                                   op8_line_dedup, op9_bpe_automaton)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratings = ordinal_quality.graded(table(spark, sf_dir, "labels"))
+    return ordinal_quality.grade(docs, ordinal_quality.fit(docs, ratings))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules,
+                                   op6_html_extraction, op7_toxicity, op8_line_dedup, op9_bpe_automaton, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
