@@ -29,23 +29,46 @@ from .components import components
 BITS = 64
 
 
-def fingerprint_of(text: bytes, width: int) -> int:
-    """Unsigned fingerprint of one text: ASCII lower case, words joined by single spaces."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of all shingles: ASCII lower case, words joined by single spaces."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - width + 1)
     last = ends[min(width, len(words)) - 1:][:n]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):
-        part = hashes[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
+    ones, rows = np.zeros(BITS, np.int64), 255  # a byte holds the sum of 255 bits
+    bits = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(bits), rows * 256):
+        part = np.unpackbits(bits[at:at + rows * 256], axis=1)
+        full = len(part) // rows * rows
+        ones += part[:full].reshape(-1, rows, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += part[full:].sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint_of(text: bytes, width: int) -> int:
+    """Unsigned fingerprint of one text; no words: 0."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: bytes, width: int, count: int) -> bytes:
+    """`count` fingerprints of a text by as many hash functions, 64 bits each."""
+    hashes, out = shingle_hashes(text, width), []
+    for k in range(count):
+        h = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % 2 ** 64)  # hash functions out of one: a mixing step from another start
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(h ^ (h >> np.uint64(31))))
+    return np.array(out, np.uint64).tobytes()
 
 
 def with_fingerprint(docs: DataFrame, width: int = 4, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -69,6 +92,8 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
 def links(prints: DataFrame, max_bits: int = 4, block: int = 4096) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints `fp` exactly as all pairs of
     at most `max_bits` differing bits do (a spanning forest of every block)."""
+    if not max_bits:  # equal fingerprints are one class already
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     ring = segments(max_bits)
     unsigned = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ring]
     keyed = prints.select("fp", F.posexplode(F.array(*unsigned)).alias("seg", "value"))
@@ -103,12 +128,12 @@ def _ring_pairs(fp, starts, ends, own, cross, s, ring, max_bits) -> tuple[np.nda
     n = len(ring)
     budgets = [length * max_bits // n for length in range(1, n + 1)]
     shift, width = ring[(s + 1) % n]
-    value = (fp[rows] >> np.uint64(shift)) & np.uint64((1 << width) - 1) if n > 1 else np.zeros(len(rows), np.uint64)
+    value = (fp[rows] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
     key = (group.astype(np.uint64) << np.uint64(width)) | value
     order = np.argsort(key, kind="stable")
     key, rows = key[order], rows[order]
     found_a, found_b = [none], [none]
-    flips = [0] + [1 << i for i in range(width)] if n > 1 and budgets[1] else [0]
+    flips = [0] + [1 << i for i in range(width)] if budgets[1] else [0]
     for flip in flips:
         left = np.searchsorted(key, key ^ np.uint64(flip), "left")
         right = np.searchsorted(key, key ^ np.uint64(flip), "right")
@@ -154,3 +179,101 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, block: i
     named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return (prints.join(named.select("fp", "component_id"), "fp")
             .select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id"))
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits, of `bits`, that shingle sets of this Jaccard similarity reach: the
+    expected number and one standard error."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def _boxes(prints: list[bytes], per_word: int) -> np.ndarray:
+    """(n, boxes) segments of wide fingerprints; none crosses a 64-bit word."""
+    words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+    return np.concatenate([(words >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in segments(per_word - 1)], axis=1).astype(np.uint32)
+
+
+def wide_links(prints: DataFrame, bits: int, max_bits: int, boxes: int, block: int = 4096, slack: int = 4) -> DataFrame:
+    """(a, b): links between distinct wide fingerprints (node: long, fp: binary) of at most
+    `max_bits` differing bits, as spanning forests of blocks.
+
+    For budgets as wide as word-shingle similarities need, a ring of max_bits + 1 segments
+    has segments of a bit or two, which most pairs share.  So the ring has fewer segments: a pair is
+    a candidate if one of them is equal, and is followed from there as long as its
+    differences stay within the proportional budget plus `slack`, then gets the full test.
+    Of pairs that differ in a share p of the bits, about 1 - (1 - (1 - p) ** w) ** boxes
+    have an equal segment of width w (p 0.15, w 13, 25 boxes: 96 %)."""
+    per_word = boxes // (bits // BITS)
+    ring = per_word * (bits // BITS)
+
+    def key(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        values = _boxes(batch.column("fp").to_pylist(), per_word) if n else np.zeros((0, ring), np.uint32)
+        at = pa.array(np.repeat(np.arange(n), ring))
+        return pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array(np.tile(np.arange(ring, dtype=np.int32), n)),
+                                           pa.array(values.reshape(-1).astype(np.int32)), batch.column("fp").take(at)], ["node", "seg", "value", "fp"])
+
+    keyed = kernel(prints.select("node", "fp"), key, "node long, seg int, value int, fp binary")
+    dealt = cells(keyed, ["seg", "value"], "node", block)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in runs(batches, ["seg", "value", "cell_a", "cell_b"]):
+            ring_values = _boxes(t["fp"].to_pylist(), per_word)
+            a, b = _chained(ring_values, starts, ends, t["seg"].to_numpy(), t["own_block"].to_numpy(),
+                            t["cell_a"].to_numpy() != t["cell_b"].to_numpy(), max_bits, slack)
+            node = t["node"].to_numpy()
+            x, y = forest(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    where = ["seg", "value", "cell_a", "cell_b"]
+    return (dealt.repartition(*where).sortWithinPartitions(*where).select(*where, "node", "fp", "own_block").mapInArrow(work, "a long, b long"))
+
+
+def _chained(ring, starts, ends, seg, own, cross, max_bits, slack) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group whose chain from the equal segment on stays in budget."""
+    n, boxes = ring.shape
+    sizes = ends - starts
+    partners = np.repeat(ends, sizes) - np.arange(n) - 1
+    done = np.cumsum(partners)
+    found_a, found_b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 20), "right")))
+        c = partners[at:upto]
+        a = np.repeat(np.arange(at, upto), c)
+        b = a + 1 + np.arange(c.sum()) - np.repeat(np.r_[0, np.cumsum(c)[:-1]], c)
+        ok = ~cross[a] | (own[a] != own[b])
+        a, b = a[ok], b[ok]
+        gone = np.zeros(len(a), np.int64)
+        for step in range(1, boxes):
+            box = (seg[a] + step) % boxes
+            gone += np.bitwise_count(ring[a, box] ^ ring[b, box])
+            ok = gone <= ((step + 1) * max_bits // boxes + slack if step < boxes - 1 else max_bits)
+            a, b, gone = a[ok], b[ok], gone[ok]
+        found_a.append(a)
+        found_b.append(b)
+        at = upto
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 5, boxes: int = 25, block: int = 4096,
+                key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that of the smallest key (null last).
+
+    Near are texts whose fingerprints of 64 * `words` bits over `width`-word shingles differ
+    in no more bits than shingle sets of this Jaccard similarity do.  Texts without words
+    are one group; repeated rows are copies; all columns stay as they are."""
+    uid, mark = "_simhash_row", "_simhash_print"
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [wide_fingerprint(t, width, words) for t in raw(batch.column(text))]
+        return batch.append_column(pa.field(mark, pa.binary()), pa.array(prints, pa.binary()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = cut(kernel(docs, work, f"{schema}, {mark} binary").withColumn(uid, F.monotonically_increasing_id()), "marked")
+    best = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), F.col(uid).alias("uid"))).alias("best")
+    classes = cut(marked.groupBy(F.xxhash64(mark).alias("node")).agg(F.first(mark).alias("fp"), best), "classes")
+    bits = BITS * words
+    found = components(wide_links(classes, bits, most_bits(similarity, bits), boxes, block))
+    rooted = classes.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best"))
+    return marked.join(rooted.select(F.col("best.uid").alias(uid)), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,10 +10,13 @@ one is cut at the exact word where the source's budget ends.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.shared import cut
-from .common import WORD
+from .common import WORD, kernel, raw
 
 #: Weights by rank of the source, repeating (fixed values of the contract).
 WEIGHTS = (3, 1, 2)
@@ -49,7 +52,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, most: int = 2,
-        stretch: int = 20_000, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+        stretch: int = 2_000, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, size, source_size, target, epochs, part, taken): one row per document.
 
     A document is taken `epochs` times whole and once more with its first `part` words;
@@ -77,3 +80,40 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
             .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before"))).cast("long"))
             .select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "epochs", "part",
                     (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def first_words(text: bytes, n: int) -> bytes:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for k, found in enumerate(_WORD.finditer(text), 1):
+        end = found.end()
+        if k == n:
+            break
+    return text[:end] if n else b""
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix itself: a row for every time a document is taken, cut after `part` words the
+    last time; all columns.  Rows equal in key, source and text are one document, and each
+    of them is taken as often as it is."""
+    same = {"_mix_key": F.col(key), "_mix_source": F.col(source), "_mix_hash": F.xxhash64(F.col(text))}
+    marked = docs.withColumns(same | {"_mix_size": word_count(F.col(text))})
+    ids = cut(marked.select(*same, "_mix_size").distinct().withColumn("_mix_id", F.struct(*same)), "ids")
+    taken = mix(ids, F.col("_mix_size"), key="_mix_id", source="_mix_source", text="_mix_id", **how)
+    taken = taken.where("taken > 0").select(F.col("_mix_id").alias("_t"), "epochs", "part", "size")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int"))
+    last = F.when(F.col("part") == F.col("size"), F.array(F.lit(-1).cast("long"))).when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>"))
+    taken = taken.select("_t", F.explode(F.concat(whole, last)).alias("_mix_take"))
+    on = F.expr("_mix_key <=> _t._mix_key and _mix_source <=> _t._mix_source and _mix_hash = _t._mix_hash")
+    rows = marked.join(taken, on).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_take")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take = batch.column("_mix_take").to_pylist()
+        texts = [t if n < 0 else first_words(t, n) for t, n in zip(raw(batch.column(text)), take)]
+        names = [c for c in batch.schema.names if c != "_mix_take"]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == text else batch.column(c) for c in names], names)
+
+    return kernel(rows, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
