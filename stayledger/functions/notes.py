@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..settings import MONTHS, WEEKDAYS, Settings
-from .text import blank_to_null, calendar_date, has_venue, literal_regex, strip
+from .text import blank_to_null, calendar_date, has_venue, strip
 
 # Fixed note patterns
 TIME = r"(?U)\b(\d{1,2})(?::(\d{2}))?\s*([AaPp][Mm])\b"
@@ -39,10 +39,9 @@ def note_entries(text: Column, settings: Settings) -> Column:
 
 
 def mention_bound(text: Column, settings: Settings) -> Column:
-    """Upper bound of the mentions in a text: an entry holds at least one venue word and
-    names at most two days."""
-    pattern = "(?i)" + "|".join(literal_regex(k) for k, _ in settings.venues)
-    return (F.size(F.split(text, pattern, -1)) - 1) * 2
+    """Upper bound of the mentions in a text: its entries with a venue, of two days at most."""
+    said = F.filter(note_entries(text, settings), lambda e: has_venue(e, settings))
+    return F.coalesce(F.size(said), F.lit(0)) * 2
 
 
 def time_token(c: Column) -> Column:

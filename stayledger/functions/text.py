@@ -70,16 +70,6 @@ def clock(c: Column) -> Column:
     return hour * 100 + minute
 
 
-def clocks_agree(note_time: Column, booking_time: Column) -> Column:
-    """false when either side has no time."""
-    return F.coalesce(clock(note_time) == clock(booking_time), F.lit(False))
-
-
-def weekday_number(c: Column) -> Column:
-    """Monday = 0."""
-    return F.weekday(c)
-
-
 def evening_clock(c: Column) -> Column:
     """`H:MM` is shown as `H:MM PM`, anything else unchanged."""
     t = strip(c)
@@ -119,9 +109,9 @@ def unit_hint(c: Column, settings: Settings) -> Column:
     edge = r"\b" if settings.outside_whole_word else ""
     text = c
     for keyword, _ in settings.venues:
-        text = F.regexp_replace(text, "(?i)" + literal_regex(keyword), "")
+        text = F.regexp_replace(text, "(?iu)" + literal_regex(keyword), "")
     for phrase in settings.outside_phrases:
-        text = F.regexp_replace(text, "(?i)" + edge + literal_regex(phrase) + edge, "")
+        text = F.regexp_replace(text, "(?iu)" + edge + literal_regex(phrase) + edge, "")
     kept = F.filter(F.split(text, r"(?U)[\s,.\-]+"),
                     lambda t: (t != "") & ~F.lower(t).isin(*settings.shorthand))
     return blank_to_null(F.btrim(F.array_join(kept, " "), F.lit(" -,.")))
@@ -144,30 +134,10 @@ def hint_tokens(c: Column) -> Column:
     return F.concat(grams(3), grams(2), grams(1))
 
 
-def unit_key(c: Column) -> Column:
-    """letters only, upper case."""
-    return F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
-
-
-def resolve_hint(c: Column, settings: Settings) -> Column:
-    """unit named by a hint, else null.
-
-    The alias table is configuration, so it is folded into the plan: resolving a hint is
-    a projection and moves no data.
-    """
-    table = settings.alias_table
-    if not table:
-        return F.lit(None).cast("string")
-    aliases = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    known = F.filter(hint_tokens(clean_hint(c)), lambda t: F.map_contains_key(aliases, t))
-    return F.try_element_at(aliases, F.try_element_at(known, F.lit(1)))
-
-
-def shown_unit(is_outside_guest: Column, hint: Column, settings: Settings) -> Column:
-    """outside label, resolved unit, or the cleaned hint."""
+def shown_unit(is_outside_guest: Column, hint: Column, hinted_unit: Column) -> Column:
+    """outside label, the unit the hint resolves to, or the cleaned hint."""
     rest = strip(F.regexp_replace(hint, r"(?i)^['\s,.\-]*s\b[\s,.\-]*", ""))
-    return F.when(is_outside_guest, F.lit("Outside guest")).otherwise(
-        F.coalesce(resolve_hint(hint, settings), rest, F.lit("")))
+    return F.when(is_outside_guest, F.lit("Outside guest")).otherwise(F.coalesce(hinted_unit, rest, F.lit("")))
 
 
 # --- names ---------------------------------------------------------------------------
@@ -262,7 +232,3 @@ def requests_extra_bed(text: Column) -> Column:
 RED, YELLOW, BLUE, GREEN = 3, 2, 1, 0
 SEVERITY_NAMES = {RED: "RED", YELLOW: "YELLOW", BLUE: "BLUE", GREEN: "GREEN"}
 
-
-def severity_name(c: Column) -> Column:
-    return F.coalesce(*[F.when(c == n, F.lit(s)) for n, s in SEVERITY_NAMES.items()],
-                      F.lit(None).cast("string"))

@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..settings import MAX_INLINE, Settings
+from ..settings import Settings
 from ..plans.shared import cut
+from .hints import hinted_units
 from .names import score_names
 from .stays import CLASS, occupancy, stay_classes
 
@@ -135,10 +136,10 @@ def match_bookings(stays: DataFrame, bookings: DataFrame, mentions: DataFrame,
                   .join(grouped, CLASS, "left")
                   .select("stay_seq", T.strip(F.col("unit")).alias("stay_unit"), "guests_count",
                           "mention_bound", "group_id", "group_size"))
-    codes = [u.abbreviation for u in settings.units if u.abbreviation]
+    # A group's units are those of the directory, so the set is bounded by the directory.
+    codes = settings.units_table(bookings.sparkSession).where("abbreviation IS NOT NULL").select(F.col("abbreviation").alias("code"))
     group_units = (attributes.where("group_id IS NOT NULL")
-                   .select("group_id", F.upper("stay_unit").alias("code"))
-                   .where(F.col("code").isin(codes))
+                   .select("group_id", F.upper("stay_unit").alias("code")).distinct().join(codes, "code")
                    .groupBy("group_id").agg(F.collect_set("code").alias("group_units")))
     leaders = (ranked.join(attributes.withColumnRenamed("stay_seq", "leader_seq"), "leader_seq")
                .join(group_units, "group_id", "left"))
@@ -165,10 +166,10 @@ def _resolve(bookings: DataFrame, sets: DataFrame, settings: Settings) -> DataFr
         "booking_seq", "guest_name", "booking_name", "booking_day", "source_date", "booking_time",
         "party_size", "venue", "is_outside", "unit_hint", "notes_tags",
         T.clock(F.col("booking_time")).alias("booking_clock"),
-        T.resolve_hint(F.col("unit_hint"), settings).alias("hinted_unit"),
         T.is_bare(F.col("booking_name")).alias("bare"),
         F.when(may_match, F.col("booking_name")).otherwise(
             F.concat(F.lit("\u0000"), F.col("booking_seq").cast("string"))).alias("set_name"))
+    keyed = keyed.join(hinted_units(bookings, settings), "unit_hint", "left")
     s = sets.select(F.col("booking_name").alias("set_name"), F.col("night").alias("booking_day"),
                     "top_score", "leader_seq", "outcome", "n_plausible", "stay_unit", "guests_count",
                     "mention_bound", "group_id", "group_size", "group_units", "settled")
@@ -234,12 +235,3 @@ def alternates(stays: DataFrame, plausible: DataFrame) -> DataFrame:
     return (names.withColumn("block", block(F.col("night"))).join(spread, ["stay_name", "block"])
             .where((F.col("night") >= F.col("arrival")) & (F.col("night") < F.col("departure")))
             .select(*SET, "stay_seq", "guest_name", "score", (F.col("stay_seq") == F.col("leader_seq")).alias("is_leader")))
-
-
-def alternate_lists(listed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Names of a set's plausible stays as one ordered array, for sets small enough to
-    print; longer ones are read from `alternates`."""
-    printable = sets.where((F.col("outcome") != "clear") & (F.col("n_plausible") <= MAX_INLINE)).select(*SET)
-    return (listed.join(printable, SET).groupBy(*SET)
-            .agg(F.array_sort(F.collect_list(F.struct(
-                (-F.col("score")).alias("rank"), "stay_seq", "guest_name"))).alias("plausible")))

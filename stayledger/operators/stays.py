@@ -134,17 +134,15 @@ def move_notes(stays: DataFrame, moves: DataFrame | None = None) -> DataFrame:
 def split_duplicates(stays: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first-seen stays, later copies with `occurrences`); blank numbers pass through.
 
-    Only numbers that do repeat are joined back, and they are counted first.
+    Copies are found on (stay_seq, number) alone; the stays then meet the few ids of
+    copies, so no note is shuffled by number and blank numbers don't gather.
     """
-    repeated = (stays.where(F.col("confirmation_number") != "")
-                .groupBy("confirmation_number")
-                .agg(F.min("stay_seq").alias("kept_seq"),
-                     (F.count(F.lit(1)) - 1).alias("occurrences"))
+    numbers = stays.where(F.col("confirmation_number") != "").select("confirmation_number", "stay_seq")
+    repeated = (numbers.groupBy("confirmation_number")
+                .agg(F.min("stay_seq").alias("kept_seq"), (F.count(F.lit(1)) - 1).alias("occurrences"))
                 .where("occurrences > 0"))
-    marked = stays.join(repeated, "confirmation_number", "left")
-    copy = F.col("kept_seq").isNotNull() & (F.col("stay_seq") != F.col("kept_seq"))
-    return (marked.where(~copy).drop("kept_seq", "occurrences"),
-            marked.where(copy).drop("kept_seq"))
+    copies = cut(numbers.join(repeated, "confirmation_number").where("stay_seq <> kept_seq").select("stay_seq", "occurrences"), "copies")
+    return stays.join(copies, "stay_seq", "left_anti"), stays.join(copies, "stay_seq")
 
 
 # --- J8-J10, F27, F28: roster checks -------------------------------------------------
@@ -172,7 +170,7 @@ def stay_checks(stays: DataFrame, units: DataFrame, settings: Settings) -> DataF
         F.when(over, F.col("max_guests")).alias("over_capacity_max"),
         F.when(over, F.col("guests_count")).alias("over_capacity_guests"),
         F.when(F.col("bed_request") & known, F.col("has_sofa_bed")).alias("bed_satisfied"),
-        F.when(F.col("pet") & known & (F.col("category") != settings.pet_category),
+        F.when(F.col("pet") & known & (F.col("category") != F.lit(settings.pet_category)),
                F.col("category")).alias("pet_violation"))
 
 

@@ -124,7 +124,12 @@ class Reconciliation:
         return R.summary(heads, self.moves, self.groups)
 
     def write(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-        R.write_report(self.headers, self.lines, path, fmt, mode)
+        R.write_report(self.headers, self.lines, path, fmt, mode, self.groups, self._dates)
+
+    @property
+    def _dates(self) -> DataFrame:
+        own = self.roster.select("stay_seq", "arrival")
+        return own if self.duplicates is None else own.unionByName(self.duplicates.select("stay_seq", "arrival"))
 
 
 def reconcile(stays: DataFrame, bookings: DataFrame, settings: Settings) -> Reconciliation:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..operators.hints import with_hinted_unit
 from ..operators.stays import move_notes
-from ..settings import MAX_INLINE, NOTE_FIELDS, Settings
+from ..settings import NOTE_FIELDS, Settings
+from .shared import cut
 
 PAGE_SIZE = 10
 
@@ -83,23 +85,15 @@ def report_lines(stays: DataFrame, checked: DataFrame, checks: DataFrame,
 
 
 def group_notes(members: DataFrame) -> DataFrame:
-    """Per member the other units of its group, blank units left out.
+    """Per member its group and how many other units with a name it has.
 
-    The list is printed for groups that fit a cell; members of larger groups keep the
-    group_id, and the list is that group's rows in `group_members`.
+    The units themselves are the group's rows in `group_members`, the third table of a
+    written report: a header never grows with its group.
     """
-    named = members.where("unit <> ''")
-    lists = (named.where(F.col("group_size") <= MAX_INLINE).groupBy("group_id")
-             .agg(F.array_sort(F.collect_list(F.struct("stay_seq", "unit", "guest_name"))).alias("all_units")))
-    others = F.filter("all_units", lambda x: x["stay_seq"] != F.col("stay_seq"))
-    text = F.array_join(F.transform(others, lambda x: F.when(
-        F.col("matched_by") == "same_surname", F.concat(x["unit"], F.lit(" ("), x["guest_name"], F.lit(")")))
-        .otherwise(x["unit"])), ", ")
-    sized = named.groupBy("group_id").agg(F.count(F.lit(1)).alias("named_units"))
-    return (members.join(sized, "group_id", "left").join(lists, "group_id", "left")
+    sized = members.where("unit <> ''").groupBy("group_id").agg(F.count(F.lit(1)).alias("named_units"))
+    return (members.join(sized, "group_id", "left")
             .select("stay_seq", "group_id", "matched_by", "group_size",
-                    (F.coalesce("named_units", F.lit(0)) - F.when(F.col("unit") != "", 1).otherwise(0)).alias("other_units"),
-                    T.blank_to_null(text).alias("group_list")))
+                    (F.coalesce("named_units", F.lit(0)) - F.when(F.col("unit") != "", 1).otherwise(0)).alias("other_units")))
 
 
 def worst_by_stay(checked: DataFrame, checks: DataFrame) -> DataFrame:
@@ -134,7 +128,7 @@ def report_headers(stays: DataFrame, checked: DataFrame, checks: DataFrame, memb
         *about.columns, F.coalesce("worst", F.lit(T.BLUE)).alias("severity"),
         F.coalesce("n_lines", F.lit(1)).alias("n_lines"), "consortium", "breakfast", "pet", "bed_requested",
         "bed_alert", "capacity_alert", "pet_alert", move.alias("move_note"), "group_id", "matched_by",
-        "group_size", "other_units", "group_list", F.lit(False).alias("is_duplicate"),
+        "group_size", "other_units", F.lit(False).alias("is_duplicate"),
         F.lit(None).cast("bigint").alias("occurrences"))
     if duplicates is not None:
         out = out.unionByName(duplicates.select(
@@ -168,13 +162,14 @@ def sort_headers(headers: DataFrame, by: str = "arrival") -> DataFrame:
 def page_of(headers: DataFrame, page: int = 1, by: str = "arrival", page_size: int = PAGE_SIZE) -> DataFrame:
     """One page; numbers past the end give the last page.
 
-    Every task keeps only its own first rows up to the page, so no global sort is made.
+    Counting and sorting work on the narrow keys of the headers, written once; the wide
+    columns are fetched for the rows of the page only.
     """
-    page = max(1, page)
-    if page > 1:
-        last = max(1, -(-headers.count() // page_size))
-        page = min(page, last)
-    return sort_headers(headers, by).offset((page - 1) * page_size).limit(page_size)
+    keys = cut(headers.select("stay_seq", "is_duplicate", "arrival", "severity", "guest_name"), "header_keys")
+    last = max(1, -(-keys.count() // page_size))
+    page = min(max(1, page), last)
+    chosen = sort_headers(keys, by).offset((page - 1) * page_size).limit(page_size)
+    return sort_headers(headers.join(chosen.select("stay_seq", "is_duplicate"), ["stay_seq", "is_duplicate"], "left_semi"), by)
 
 
 def summary(headers: DataFrame, moves: DataFrame, members: DataFrame) -> DataFrame:
@@ -198,27 +193,30 @@ def note_profile(stays: DataFrame) -> DataFrame:
 
 def display_fields(bookings: DataFrame, settings: Settings) -> DataFrame:
     """F36, F38 of bookings."""
-    return bookings.select(
+    return with_hinted_unit(bookings, settings).select(
         "booking_seq", T.evening_clock(F.col("booking_time")).alias("shown_time"),
-        T.shown_unit(F.col("is_outside"), F.col("unit_hint"), settings).alias("shown_unit"))
+        T.shown_unit(F.col("is_outside"), F.col("unit_hint"), F.col("hinted_unit")).alias("shown_unit"))
 
 
 def write_report(headers: DataFrame, lines: DataFrame, path: str, fmt: str = "parquet",
-                 mode: str = "errorifexists") -> None:
-    """K2: headers and lines below `path`, split by arrival month, in report order inside.
+                 mode: str = "errorifexists", groups: DataFrame | None = None, roster: DataFrame | None = None) -> None:
+    """K2: headers, lines and group members below `path`, split by arrival month, in
+    report order inside.
 
-    Lines take the month of their stay so that a month can be read on its own.
+    Lines and members take the month of their stay from `roster` (stay_seq, arrival), or
+    from the headers where it isn't given.  Ranges are drawn over written tables, so
+    nothing is evaluated twice.
     """
-    month = F.coalesce(F.date_format("arrival", "yyyy-MM"), F.lit("unknown"))
-    heads = headers.withColumn("arrival_month", month)
-    body = lines.join(heads.select("stay_seq", "arrival_month"), "stay_seq")
+    month = F.coalesce(F.date_format("arrival", "yyyy-MM"), F.lit("unknown")).alias("arrival_month")
+    stays = (headers if roster is None else roster).select("stay_seq", month)
     flat = fmt == "csv"
-    if flat:
-        body = body.withColumn("reasons", F.array_join("reasons", ";"))
-    line_order = ["stay_seq", "line_kind", "booking_seq", "mention_ord"]
-    for name, df, keys in (("report_header", heads, ["is_duplicate", "arrival", "stay_seq"]),
-                           ("report_line", body, line_order)):
+    body = lines.withColumn("reasons", F.array_join("reasons", ";")) if flat else lines
+    tables = [("report_header", headers.withColumn("arrival_month", month), ["is_duplicate", "arrival", "stay_seq"]),
+              ("report_line", body.join(stays, "stay_seq"), ["stay_seq", "line_kind", "booking_seq", "mention_ord"])]
+    if groups is not None:
+        tables.append(("report_group", groups.join(stays, "stay_seq"), ["group_id", "stay_seq"]))
+    for name, df, keys in tables:
         # Ranges end inside a stay if need be, so a stay with very many lines is split.
-        out = df.repartitionByRange("arrival_month", *keys).sortWithinPartitions("arrival_month", *keys)
+        out = cut(df, name).repartitionByRange("arrival_month", *keys).sortWithinPartitions("arrival_month", *keys)
         writer = out.write.mode(mode).partitionBy("arrival_month")
         (writer.option("header", True) if flat else writer).format(fmt).save(f"{path}/{name}")

@@ -1,8 +1,7 @@
 """Configuration of a run: everything the operators must not hard-code.
 
-A property's venues, units and spellings are data.  They are small by nature (a
-directory of rooms, a handful of venues), so they live in one immutable object; the
-loader checks their size before they are allowed onto the driver.
+Venues are folded into expressions and therefore are values; units and spellings are
+rows, given as values or as tables of any size, and reach the data by joins.
 """
 
 from __future__ import annotations
@@ -12,19 +11,11 @@ from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Configuration tables larger than this are refused instead of being collected.
-MAX_CONFIG_ROWS = 20_000
-
-# Texts listed inside one report cell; longer lists stay in their flat child table.
-MAX_INLINE = 64
-
 # --- Fixed values of the input formats and of the matching rules ---------------------
 
 NOTE_FIELDS = ("guest_notes", "reservation_notes", "comments_notes")
 
 OUTSIDE_PHRASES = ("off property", "og", "outside guest")
-SHORTHAND_TOKENS = ("gh", "hg", "lm", "ek", "sz")
-NON_UNIT_TERMS = ("RUNWAY", "WINECELLAR", "WINE", "CELLAR", "PUB")
 KNOWN_STATUSES = ("Reserved",)
 
 ACCEPT_SCORE = 72
@@ -126,36 +117,28 @@ class Settings:
     misspellings: tuple[tuple[str, str], ...] = ()
     outside_phrases: tuple[str, ...] = OUTSIDE_PHRASES
     outside_whole_word: bool = False
-    shorthand: tuple[str, ...] = SHORTHAND_TOKENS
-    non_unit_terms: tuple[str, ...] = NON_UNIT_TERMS
+    # A site's own shorthand in tags, words that are never units, and where pets may stay.
+    shorthand: tuple[str, ...] = ()
+    non_unit_terms: tuple[str, ...] = ()
     known_statuses: tuple[str, ...] = KNOWN_STATUSES
-    pet_category: str = "Cabins"
+    pet_category: str | None = None
     accept_score: int = ACCEPT_SCORE
     ambiguity_margin: int = AMBIGUITY_MARGIN
     component_score: int = COMPONENT_SCORE
     deduplicate: bool = True
     arrivals: ArrivalsLayout = field(default_factory=ArrivalsLayout)
     bookings: BookingsLayout = field(default_factory=BookingsLayout)
+    unit_rows: DataFrame | None = field(default=None, compare=False)
+    spelling_rows: DataFrame | None = field(default=None, compare=False)
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)
 
-    @property
-    def alias_table(self) -> dict[str, str]:
-        """Token -> unit (abbreviation, else full name).
-
-        A misspelling wins over an abbreviation, an abbreviation over a full name;
-        blocked terms resolve to nothing.
-        """
-        by_full = {_letters(u.full_name): u.abbreviation or u.full_name for u in self.units}
-        by_code = {u.abbreviation: u.abbreviation for u in self.units if u.abbreviation}
-        spelled = {t: code for t, code in self.misspellings if code in by_code}
-        table = {**by_full, **by_code, **spelled}
-        return {t: u for t, u in table.items() if t and t not in self.non_unit_terms}
-
     def units_table(self, spark: SparkSession) -> DataFrame:
-        """The directory as a literal inside the plan: its size is known, so joins with it
-        do not shuffle the other side.  The first unit of an abbreviation counts."""
+        """The directory, one row per abbreviation (and all units without one)."""
+        if self.unit_rows is not None:
+            named = self.unit_rows.where("abbreviation IS NOT NULL").dropDuplicates(["abbreviation"])
+            return named.unionByName(self.unit_rows.where("abbreviation IS NULL"))
         rows, seen = [], set()
         for u in self.units:
             if u.abbreviation is None or u.abbreviation not in seen:
@@ -165,32 +148,32 @@ class Settings:
                   "unit_type_code:string,max_guests:int,has_sofa_bed:boolean>>")
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
+    def aliases(self, spark: SparkSession) -> DataFrame:
+        """(token, unit): a misspelling wins over an abbreviation, that over a full name;
+        blocked terms name nothing."""
+        units = self.units_table(spark)
+        coded = units.where("abbreviation IS NOT NULL").select(F.col("abbreviation").alias("unit"))
+        spelled = self.spelling_rows
+        if spelled is None:
+            spelled = spark.range(1).select(F.inline(F.from_json(
+                F.lit(json.dumps([{"token": t, "abbreviation": c} for t, c in self.misspellings])),
+                "array<struct<token:string,abbreviation:string>>")))
+        letters = F.upper(F.regexp_replace("full_name", "[^A-Za-z]", ""))
+        named = (spelled.join(coded, F.col("abbreviation") == F.col("unit")).select("token", "unit", F.lit(0).alias("prio"))
+                 .unionByName(coded.select(F.col("unit").alias("token"), "unit", F.lit(1).alias("prio")))
+                 .unionByName(units.select(letters.alias("token"), F.coalesce("abbreviation", "full_name").alias("unit"), F.lit(2).alias("prio"))))
+        return (named.where((F.col("token") != "") & ~F.col("token").isin(*self.non_unit_terms))
+                .groupBy("token").agg(F.min_by("unit", F.struct("prio", "unit")).alias("unit")))
+
     @classmethod
     def from_tables(cls, venues: DataFrame, units: DataFrame | None = None,
                     misspellings: DataFrame | None = None, **rest) -> "Settings":
-        """Build settings from tables: venues(prio, keyword, venue), units(...),
-        misspellings(token, abbreviation)."""
-        vs = sorted(bounded_rows(venues), key=lambda r: r["prio"])
-        us = bounded_rows(units) if units is not None else []
-        ms = bounded_rows(misspellings) if misspellings is not None else []
-        return cls(
-            venues=tuple((r["keyword"], r["venue"]) for r in vs),
-            units=tuple(Unit(r["abbreviation"], r["full_name"], r["category"],
-                             r["unit_type_code"], r["max_guests"], bool(r["has_sofa_bed"]))
-                        for r in us),
-            misspellings=tuple((r["token"], r["abbreviation"]) for r in ms), **rest)
-
-
-def bounded_rows(table: DataFrame, limit: int = MAX_CONFIG_ROWS) -> list:
-    """Rows of a configuration table; refuses tables that are not configuration-sized."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"configuration table holds more than {limit} rows")
-    return rows
-
-
-def _letters(text: str) -> str:
-    return "".join(ch for ch in text if "A" <= ch <= "Z" or "a" <= ch <= "z").upper()
+        """Settings from tables: venues(prio, keyword, venue), units(...),
+        misspellings(token, abbreviation).  Only venues, which become part of the
+        expressions, are read here; units and misspellings stay tables."""
+        vs = sorted(venues.toLocalIterator(), key=lambda r: r["prio"])
+        return cls(venues=tuple((r["keyword"], r["venue"]) for r in vs), unit_rows=units,
+                   spelling_rows=misspellings, **rest)
 
 
 # Session settings the plans count on. AQE's skew join splits a hot join key even when

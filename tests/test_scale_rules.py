@@ -31,7 +31,7 @@ def hot(spark):
     said = [("Lantern", 3), ("Quarry", 3), ("Lantern", 3), ("Quarry", 5), ("Lantern", 9), ("Quarry", 3)]
     c.stay("hot", "Mora, Eva", "07/01/2026", "07/08/2026",
            comments=", ".join(f"{v} 7/{d} @ 7PM" for v, d in said))
-    for i in range(30):
+    for i in range(90):
         c.stay(f"same {i}", "Nash, Eva", "07/01/2026", "07/08/2026")
     booked = []
     for i in range(300):
@@ -55,8 +55,8 @@ def test_namesakes_are_counted_not_paired(hot):
     c, _, _, r = hot
     assert r.matching.candidates.where("booking_name = 'nash'").count() == 0  # one group: no ambiguity
     sets = r.matching.sets.where("booking_name = 'nash'").collect()
-    assert len(sets) == 1 and sets[0].leader_seq == c.stay_no["same 0"] and sets[0].group_size == 30
-    assert r.matches.where("booking_name = 'nash' AND group_size = 30").count() == 40
+    assert len(sets) == 1 and sets[0].leader_seq == c.stay_no["same 0"] and sets[0].group_size == 90
+    assert r.matches.where("booking_name = 'nash' AND group_size = 90").count() == 40
 
 
 def test_no_pairwise_joins_in_plans(hot):
@@ -69,3 +69,19 @@ def test_no_pairwise_joins_in_plans(hot):
 def test_shared_folder_is_the_sessions(spark, hot):
     from stayledger.plans.shared import run_folder
     assert run_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_large_groups_are_whole(hot):
+    c, _, _, r = hot
+    heads = [h for h in r.headers.collect() if h.stay_seq in {c.stay_no[f"same {i}"] for i in range(90)}]
+    assert len(heads) == 90 and all(h.group_size == 90 and h.other_units == 89 for h in heads)
+    assert r.groups.where("group_size = 90").count() == 90
+
+
+def test_accented_venue_in_the_other_case(spark):
+    c = Case()
+    c.stay("guest", "Amaro, Zora", "05/20/2031", "05/23/2031", comments="BRÛLERIE 5/21 @ 6PM")
+    c.book("table", "Zora Amaro", "May 21, 2031", "6:00", tags="brûlerie ALDER")
+    r = reconcile(*c.frames(spark), SETTINGS.with_(venues=(("brûlerie", "Brûlerie"),)))
+    assert [x.status for x in r.note_checks.collect()] == ["matched"]
+    assert r.matches.first().hinted_unit == "ALDER"

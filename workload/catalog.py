@@ -10,10 +10,10 @@ from stayledger import reconcile
 from stayledger.functions import text as T
 from stayledger.operators import mentions as N
 from stayledger.operators import stays as S
+from stayledger.operators.hints import with_hinted_unit
 from stayledger.operators.prepare import prepare_bookings, prepare_stays
 from stayledger.plans import report as R
 from stayledger.plans.reconcile import Reconciliation
-from stayledger.settings import MAX_INLINE
 from stayledger.sources import words as W
 from stayledger.sources.arrivals import parse_stays
 from stayledger.sources.exports import parse_bookings
@@ -71,17 +71,14 @@ def match_alternates(spark, sf_dir):
 
 
 def match_siblings(spark, sf_dir):
-    r = run(spark, sf_dir)
-    lists = (r.groups.where(F.col("group_size") <= MAX_INLINE).groupBy("group_id")
-             .agg(F.array_sort(F.collect_list("stay_seq")).alias("members")))
-    return (r.matches.where("group_id IS NOT NULL").join(lists, "group_id", "left")
-            .select("booking_seq", "stay_seq", "group_id", (F.col("group_size") - 1).alias("n_siblings"),
-                    F.array_join(F.expr("transform(filter(members, m -> m <> stay_seq), m -> CAST(m AS STRING))"), ",").alias("siblings")))
+    """The siblings of a match are the other rows of its group_id in `room_groups`."""
+    return run(spark, sf_dir).matches.where("group_id IS NOT NULL").select(
+        "booking_seq", "stay_seq", "group_id", (F.col("group_size") - 1).alias("n_siblings"))
 
 
 def resolve_unit_hint(spark, sf_dir):
-    return prepare_bookings(derive.bookings(spark, sf_dir), SETTINGS).where("unit_hint IS NOT NULL").select(
-        "booking_seq", "unit_hint", T.resolve_hint(F.col("unit_hint"), SETTINGS).alias("hinted_unit"))
+    bookings = prepare_bookings(derive.bookings(spark, sf_dir), SETTINGS).where("unit_hint IS NOT NULL")
+    return with_hinted_unit(bookings, SETTINGS).select("booking_seq", "unit_hint", "hinted_unit")
 
 
 def unit_lookup(spark, sf_dir):
@@ -159,7 +156,7 @@ def report_headers(spark, sf_dir):
     return run(spark, sf_dir).headers.select(
         "stay_seq", "confirmation_number", "guest_name", "arrival", "severity", "n_lines", "consortium", "breakfast",
         "pet", "bed_requested", "bed_alert", "capacity_alert", "pet_alert", "move_note", "group_id", "matched_by",
-        "group_size", "group_list", "is_duplicate", "occurrences")
+        "group_size", "other_units", "is_duplicate", "occurrences")
 
 
 def report_summary(spark, sf_dir):

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stayledger.settings import Settings, Unit
 
-SURNAMES = "Jackson,Sheeran,Depp,Hanks,Swift,Clarkson,Bieber,Cyrus,Hopkins,Garfield,Eastman,Turner,Wilson,Perry,Adams,Smith"
-FIRSTS = "John,Steve,Emma,Laura,Michael,Olivia,Daniel,Sophia,Grace,Kate,Annabelle,C.J.,Henry,Katy,Tom,Leo"
+SURNAMES = "Okafor,Lindqvist,Moreau,Tanaka,Petrovic,Castellan,Ibarra,Novakova,Brightwell,Haddad,Sandoval,Fenwick,Amaro,Delacourt,Vossler,Quill"
+FIRSTS = "Maren,Tobias,Ilse,Rafael,Noor,Jonas,Petra,Emeka,Lucia,Anton,Rosalind,T.K.,Hugo,Dalia,Wim,Zora"
 CODES = "ALDER,ASPEN,BEECH,BIRCH,CEDAR,HAZEL,LARCH,MAPLE,PINE,ROWAN,RDGOAK,STELM"
 NAMES = "Alder,Aspen,Beech,Birch,Cedar,Hazel,Larch,Maple,Pine,Rowan,Ridge Oak,St. Elm"
 WEEKDAYS = "MONDAY,TUESDAY,WEDNESDAY,THURSDAY,FRIDAY,SATURDAY,SUNDAY"
+MONTH_NAMES = "January,February,March,April,May,June,July,August,September,October,November,December"
 MONTHS = "Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec"
 CAPACITY = {0: 5, 4: 4, 1: 3, 2: 3, 6: 3, 7: 3, 11: None}
 SOFA = (0, 1, 2, 6, 7)
@@ -29,6 +30,9 @@ SETTINGS = Settings(
     units=tuple(Unit(c, n, _category(i), f"T{i % 5}", CAPACITY.get(i, 2), i in SOFA)
                 for i, (c, n) in enumerate(zip(CODES.split(","), NAMES.split(",")))),
     misspellings=(("ALDAR", "ALDER"), ("LARTCH", "LARCH")),
+    shorthand=("gh", "hg", "lm", "ek", "sz"),
+    non_unit_terms=("RUNWAY", "WINECELLAR", "WINE", "CELLAR", "PUB"),
+    pet_category="Cabins",
 )
 
 
@@ -61,12 +65,15 @@ def stays_sql(weekday: str) -> str:
   {_mdy('a')} AS arrival_date,
   CASE WHEN k%211=0 THEN 'TBD' ELSE {_mdy('d')} END AS departure_date,
   CASE WHEN k%31=0 THEN NULL ELSE CAST(1+k%5 AS INT) END AS guests_count,
-  CASE k%9 WHEN 1 THEN 'VIRTUOSO WELCOME' WHEN 2 THEN 'Please add a rollaway' WHEN 3 THEN 'PET AMENITIES' ELSE '' END AS guest_notes,
-  CASE k%8 WHEN 0 THEN 'BREAKFAST INCLLUDED'
-    WHEN 1 THEN 'REPEAT GUEST...' || {_pick(WEEKDAYS, weekday.format('n1'))} || ' LANTERN 7PM' ELSE '' END AS reservation_notes,
-  CASE k%6 WHEN 0 THEN 'Lantern ' || {_md('n1')} || ' @ 7PM'
-    WHEN 1 THEN 'Quarry ' || {_md('a')} || ' @ 6:30PM, Lantern ' || {_md('n1')} || ' @ 8pm'
-    WHEN 2 THEN {_md('a')} || ' & ' || CAST(day(n1) AS STRING) || '-quarry @ 7pm' ELSE '' END AS comments_notes
+  CASE k%9 WHEN 1 THEN 'Virtuoso client, fruit plate in the unit' WHEN 2 THEN 'would like a roll-away'
+    WHEN 3 THEN 'pet friendly unit, one terrier' ELSE '' END AS guest_notes,
+  CASE k%8 WHEN 0 THEN 'rate: breakfast incl. for two'
+    WHEN 1 THEN 'second visit this year / ' || {_pick(WEEKDAYS, weekday.format('n1'))} || ' LANTERN 7PM'
+    WHEN 2 THEN 'quarry on ' || {_pick(MONTH_NAMES, 'month(n1)-1')} || ' ' || CAST(day(n1) AS STRING) || 'th 8:15 pm' ELSE '' END AS reservation_notes,
+  CASE k%6 WHEN 0 THEN 'supper at Lantern ' || {_md('n1')} || ', 7PM'
+    WHEN 1 THEN 'Quarry ' || {_md('a')} || ' 6:30PM, then Lantern ' || {_md('n1')} || ' 8pm'
+    WHEN 2 THEN 'both nights quarry ' || {_md('a')} || ' & ' || CAST(day(n1) AS STRING) || ' 7 pm'
+    WHEN 3 THEN 'Lantern ' || {_md('a')} || '\n\n' || 'QUARRY ' || {_md('n1')} || ' & ' || {_md('a')} || ' at 8:00 PM' ELSE '' END AS comments_notes
 FROM ({BASE}) base"""
 
 
@@ -86,22 +93,18 @@ BOOKINGS = f"""SELECT e AS booking_seq,
 FROM (SELECT event_id AS e, base.* FROM {{events}} ev JOIN ({BASE}) base ON base.k = ev.event_id) eb"""
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """The given table; one that comes in fewer splits than there are cores (a single
-    small file) is spread over them, a large one is read as it lies."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return spark.sql(stays_sql("weekday({})"), orders=orders)
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
-    events = _table(spark, sf_dir, "events", "event_id").select("event_id")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    events = _table(spark, sf_dir, "events").select("event_id")
     return spark.sql(BOOKINGS, orders=orders, events=events)
 
 

@@ -276,14 +276,14 @@ _cte("heads", ("s", "dups", "found", "roster", "move_notes", "grp"), """SELECT s
     CASE WHEN moved_to_seq IS NOT NULL THEN 'moves to ' || moved_to_unit || ' on ' || s.departure_date
          WHEN moved_from_seq IS NOT NULL THEN 'moved from ' || moved_from_unit || ' on ' || s.arrival_date END AS move_note,
     g.group_id, g.matched_by, g.group_size,
-    (SELECT string_agg(CASE WHEN g.matched_by = 'same_surname' THEN o.unit || ' (' || o.guest_name || ')' ELSE o.unit END, ', ' ORDER BY o.stay_seq)
-       FROM s o JOIN grp og ON og.stay_seq = o.stay_seq WHERE og.group_id = g.group_id AND o.stay_seq <> s.stay_seq AND o.unit <> '') AS group_list,
+    (SELECT CASE WHEN g.group_id IS NOT NULL THEN count(*) END FROM s o JOIN grp og ON og.stay_seq = o.stay_seq
+       WHERE og.group_id = g.group_id AND o.stay_seq <> s.stay_seq AND o.unit <> '') AS other_units,
     FALSE AS is_duplicate, CAST(NULL AS BIGINT) AS occurrences
     FROM s LEFT JOIN (SELECT stay_seq, max(severity) AS worst, count(*) AS n FROM found GROUP BY 1) f ON f.stay_seq = s.stay_seq
     JOIN roster r ON r.stay_seq = s.stay_seq LEFT JOIN move_notes mn ON mn.stay_seq = s.stay_seq LEFT JOIN grp g ON g.stay_seq = s.stay_seq
     UNION ALL SELECT stay_seq, confirmation_number, guest_name, arrival, 3, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE, occurrences FROM dups""")
 _cte("printed", ("s0",), """SELECT 'arrivals-' || lpad(CAST(stay_seq // 1000 AS VARCHAR), 8, '0') AS doc, CAST(stay_seq % 1000 // 20 AS INT) + 1 AS page,
-    stay_seq % 20 AS slot, * FROM s0""")
+    stay_seq % 20 AS slot, * REPLACE (replace(comments_notes, chr(10) || chr(10), ' ') AS comments_notes) FROM s0""")
 
 
 def _with(needs: list[str], sql: str) -> str:
@@ -315,8 +315,8 @@ ORACLES: dict[str, str] = {
     "match_alternates": _with(["ranked", "b", "s"], """SELECT DISTINCT b.booking_name, b.booking_day AS night, r.stay_seq, s.guest_name, round(r.score, 6) AS score, r.stay_seq = r.leader AS is_leader
         FROM ranked r JOIN b USING (booking_seq) JOIN s ON s.stay_seq = r.stay_seq
         WHERE (r.outcome = 'tied' AND r.is_top) OR (r.outcome = 'near_tie' AND r.top - r.score < 8)"""),
-    "match_siblings": _with(["matches", "grp", "s"], """SELECT m.booking_seq, m.stay_seq, m.group_id, m.group_size - 1 AS n_siblings,
-        (SELECT string_agg(CAST(g.stay_seq AS VARCHAR), ',' ORDER BY g.stay_seq) FROM grp g WHERE g.group_id = m.group_id AND g.stay_seq <> m.stay_seq) AS siblings
+    "match_siblings": _with(["matches", "grp", "s"], """SELECT m.booking_seq, m.stay_seq, m.group_id,
+        (SELECT count(*) FROM grp g WHERE g.group_id = m.group_id AND g.stay_seq <> m.stay_seq) AS n_siblings
         FROM matches m WHERE m.group_id IS NOT NULL"""),
     "resolve_unit_hint": _with(["b"], "SELECT booking_seq, unit_hint, hinted_unit FROM b WHERE unit_hint IS NOT NULL"),
     "unit_lookup": _with(["s1", "units"], """SELECT s1.stay_seq, a.full_name AS by_code, f.abbreviation AS by_name FROM s1 LEFT JOIN units a ON a.abbreviation = s1.unit
