@@ -109,15 +109,20 @@ def probe_keys(text: str, score: int) -> str:
     return _keys(f"transform({_partner_lengths(l2, score)}, l1 -> {_with_edits('l1', l2, score, body)})")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, score: int) -> DataFrame:
-    """Pairs (kind, a, b) of distinct token-sorted strings whose similarity reaches `score`.
+def candidate_pairs(left: DataFrame, right: DataFrame, score: int, keys: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Pairs (*keys, a, b) of equal keys that share a segment where similar strings do."""
+    l = left.where("a <> ''").selectExpr(*keys, "a", f"explode({indexed_keys('a', score)}) AS seg")
+    r = right.where("b <> ''").selectExpr(*keys, "b", f"explode({probe_keys('b', score)}) AS seg")
+    return l.join(r, [*keys, "seg"]).select(*keys, "a", "b")
 
-    ``left`` has the columns ``kind, a`` and ``right`` ``kind, b``; only strings of one
-    kind are compared.  The join is an equi-join on segment keys; levenshtein
+
+def similar_pairs(left: DataFrame, right: DataFrame, score: int, keys: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Pairs (*keys, a, b) of distinct token-sorted strings whose similarity reaches `score`.
+
+    ``left`` has the columns ``*keys, a`` and ``right`` ``*keys, b``; only strings of equal
+    keys are compared.  The join is an equi-join on segment keys; levenshtein
     (code-generated) rejects most of what shares a key, and only the rest pays for the
     exact score.
     """
-    l = left.where("a <> ''").selectExpr("kind", "a", f"explode({indexed_keys('a', score)}) AS seg")
-    r = right.where("b <> ''").selectExpr("kind", "b", f"explode({probe_keys('b', score)}) AS seg")
-    pairs = l.join(r, ["kind", "seg"]).where(may_reach("a", "b", score)).select("kind", "a", "b").distinct()
+    pairs = candidate_pairs(left, right, score, keys).where(may_reach("a", "b", score)).distinct()
     return pairs.withColumn("ratio", F.expr(ratio("a", "b"))).where(F.col("ratio") >= score)

@@ -10,7 +10,9 @@ side.  Bookings take part in one join, with the finished set.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,21 +20,50 @@ from ..functions import text as T
 from ..settings import Settings
 from ..plans.shared import cut
 from .hints import hinted_units
-from .names import score_names
-from .stays import CLASS, occupancy, stay_classes
+from .names import block_of, score_names
+from .stays import CLASS, occupancy, occupied_spans
 
 SET = ["booking_name", "night"]
 
 
 @dataclass
 class Matching:
-    """Lazy results of matching; `sets` and `candidates` are the shared intermediates."""
+    """Lazy results of matching: a shared table is written when it is first asked for."""
 
-    matches: DataFrame
-    sets: DataFrame
-    candidates: DataFrame
+    stays: DataFrame
+    bookings: DataFrame
+    mentions: Callable[[], DataFrame]
+    settings: Settings
     classes: DataFrame
-    name_scores: DataFrame
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return cut(wanted_sets(self.bookings), "wanted_sets")
+
+    @cached_property
+    def name_scores(self) -> DataFrame:
+        return cut(score_names(*present_names(self.classes, self.wanted), self.settings), "name_scores")
+
+    @cached_property
+    def all_candidates(self) -> DataFrame:
+        return cut(candidate_names(self.classes, self.wanted, self.name_scores), "candidates")
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return cut(rank_sets(self.all_candidates, self.settings), "ranked_sets")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The plausible names of the ambiguous sets."""
+        return plausible_names(self.all_candidates, self.ranked, self.settings)
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        return _attributed(self)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return _resolve(self.bookings, self.sets, self.settings)
 
 
 def eligible(bookings: DataFrame) -> DataFrame:
@@ -45,6 +76,13 @@ def wanted_sets(bookings: DataFrame) -> DataFrame:
     return eligible(bookings).select("booking_name", F.col("booking_day").alias("night")).distinct()
 
 
+def present_names(classes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (stay_name, block) and (booking_name, block): who is there in which block of days."""
+    blocks = F.explode(F.sequence(block_of(F.col("from_day")), block_of(F.col("to_day"))))
+    stays = occupied_spans(classes, wanted).select(F.col("name_key").alias("stay_name"), blocks.alias("block"))
+    return stays.distinct(), wanted.select("booking_name", block_of(F.col("night")).alias("block")).distinct()
+
+
 def candidate_names(classes: DataFrame, wanted: DataFrame, name_scores: DataFrame) -> DataFrame:
     """J1 + J2: per (booking name, day) the stay names in house with their counts.
 
@@ -52,7 +90,8 @@ def candidate_names(classes: DataFrame, wanted: DataFrame, name_scores: DataFram
     surname can mean very many; it starts from the nights that really are occupied, which
     keeps (days of the surname) x (names it can mean) from being spelled out.
     """
-    nightly = occupancy(classes, wanted).withColumnRenamed("name_key", "stay_name")
+    meant = name_scores.select(F.col("stay_name").alias("name_key")).distinct()
+    nightly = occupancy(classes.join(meant, "name_key", "left_semi"), wanted).withColumnRenamed("name_key", "stay_name")
     bare = T.is_bare(F.col("booking_name"))
     by_day = wanted.join(name_scores.where(~bare), "booking_name").join(nightly, ["stay_name", "night"])
     by_night = name_scores.where(bare).join(nightly, "stay_name").join(wanted, SET)
@@ -118,18 +157,9 @@ def agreeing_stays(mentions: DataFrame, plausible: DataFrame) -> DataFrame:
             .where("n_stays = 1").drop("n_stays"))
 
 
-def match_bookings(stays: DataFrame, bookings: DataFrame, mentions: DataFrame,
-                   settings: Settings, classes: DataFrame | None = None) -> Matching:
-    """`stays` and `bookings` as prepared, `mentions` from the same stays."""
-    classes = cut(stay_classes(stays), "stay_classes") if classes is None else classes
-    wanted = cut(wanted_sets(bookings), "wanted_sets")
-    name_scores = cut(score_names(
-        classes.select(F.col("name_key").alias("stay_name")).distinct(),
-        wanted.select("booking_name").distinct(), settings), "name_scores")
-    candidates = cut(candidate_names(classes, wanted, name_scores), "candidates")
-    ranked = cut(rank_sets(candidates, settings), "ranked_sets")
-    plausible = plausible_names(candidates, ranked, settings)
-
+def _attributed(m: Matching) -> DataFrame:
+    """The ranked sets with what their bookings need to know."""
+    stays, classes, ranked, settings = m.stays, m.classes, m.ranked, m.settings
     # Attributes of the leading stay; its group by the class it belongs to.
     grouped = classes.where("group_id IS NOT NULL").select(*CLASS, "group_id", "group_size")
     attributes = (stays.select("stay_seq", *CLASS, "unit", "guests_count", "mention_bound")
@@ -137,7 +167,7 @@ def match_bookings(stays: DataFrame, bookings: DataFrame, mentions: DataFrame,
                   .select("stay_seq", T.strip(F.col("unit")).alias("stay_unit"), "guests_count",
                           "mention_bound", "group_id", "group_size"))
     # A group's units are those of the directory, so the set is bounded by the directory.
-    codes = settings.units_table(bookings.sparkSession).where("abbreviation IS NOT NULL").select(F.col("abbreviation").alias("code"))
+    codes = settings.units_table(stays.sparkSession).where("abbreviation IS NOT NULL").select(F.col("abbreviation").alias("code"))
     group_units = (attributes.where("group_id IS NOT NULL")
                    .select("group_id", F.upper("stay_unit").alias("code")).distinct().join(codes, "code")
                    .groupBy("group_id").agg(F.collect_set("code").alias("group_units")))
@@ -145,14 +175,13 @@ def match_bookings(stays: DataFrame, bookings: DataFrame, mentions: DataFrame,
                .join(group_units, "group_id", "left"))
 
     # Settled ties hang on the set: at most one entry per venue and clock time.
-    settled = (agreeing_stays(mentions, plausible)
+    settled = (agreeing_stays(m.mentions(), m.candidates)
                .join(attributes.select(F.col("stay_seq").alias("chosen_seq"), "mention_bound",
                                        "group_id", "group_size"), "chosen_seq")
                .groupBy(*SET).agg(F.collect_list(F.struct(
                    "venue", "note_clock", "chosen_seq", "mention_bound", "group_id",
                    "group_size")).alias("settled")))
-    sets = leaders.join(settled, SET, "left")
-    return Matching(_resolve(bookings, sets, settings), sets, plausible, classes, name_scores)
+    return leaders.join(settled, SET, "left")
 
 
 def _resolve(bookings: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:

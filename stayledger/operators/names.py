@@ -1,6 +1,8 @@
 """Which booking names can mean which stay names, and how well.
 
-Works on the distinct names of both sides.  A full booking name must agree with a full
+Works on the distinct names of both sides within blocks of days, because a name can only
+mean another if both are there on one day: the pairs looked at grow with the names of a
+block, not with those of all time.  A full booking name must agree with a full
 stay name in surname *and* first name, so those pairs are found through the two small
 vocabularies of surnames and first names: a booking name is rewritten to the surnames and
 first names it may stand for, and meets stay names by equality.  A hot surname therefore
@@ -48,46 +50,49 @@ def best_score(component_score: int) -> Column:
     return F.expr(f"if({agree('surname')} AND {agree('first')}, coalesce(array_max({scores}), 0D), 0D)")
 
 
+#: Days of a block.
+BLOCK_DAYS = 28
+
+
+def block_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BLOCK_DAYS)
+
+
+def vocabulary(names: DataFrame, prefix: str, as_: str) -> DataFrame:
+    """Distinct surnames and first names of a block, by kind."""
+    parts = F.array(*[F.struct(F.lit(p).alias("kind"), F.col(prefix + p).alias(as_)) for p in ("surname", "first")])
+    return names.select("block", F.inline(parts)).distinct()
+
+
 def score_names(stay_names: DataFrame, booking_names: DataFrame, settings: Settings) -> DataFrame:
-    """(booking_name, stay_name, score) for every pair reaching the acceptance score.
+    """(booking_name, stay_name, score) for every pair of a common block that reaches the
+    acceptance score.
 
-    `stay_names(stay_name)` and `booking_names(booking_name)` are distinct name keys.
+    `stay_names(stay_name, block)` and `booking_names(booking_name, block)` are distinct.
     """
-    s = cut(_features(stay_names, "stay_name", "s_"), "stay_names")
-    b = cut(_features(booking_names, "booking_name", "b_"), "booking_names")
+    s = cut(stay_names.join(_features(stay_names.select("stay_name").distinct(), "stay_name", "s_"), "stay_name"), "stay_names")
+    b = cut(booking_names.join(_features(booking_names.select("booking_name").distinct(), "booking_name", "b_"), "booking_name"), "booking_names")
     s_full, b_full = s.where("s_complete"), b.where("b_complete")
-
-    def vocabulary(names: DataFrame, prefix: str, as_: str) -> DataFrame:
-        parts = F.array(*[F.struct(F.lit(p).alias("kind"), F.col(prefix + p).alias(as_))
-                          for p in ("surname", "first")])
-        return names.select(F.inline(parts)).distinct()
-
     alike = cut(similar_pairs(vocabulary(s_full, "s_", "a"), vocabulary(b_full, "b_", "b"),
-                              settings.component_score), "alike_parts")
+                              settings.component_score, ("block", "kind")), "alike_parts")
 
     def part(kind: str) -> DataFrame:
-        return alike.where(F.col("kind") == kind).select(
-            F.col("a").alias("s_" + kind), F.col("b").alias("b_" + kind))
+        return alike.where(F.col("kind") == kind).select("block", F.col("a").alias("s_" + kind), F.col("b").alias("b_" + kind))
 
-    full = (b_full.join(part("surname"), "b_surname").join(part("first"), "b_first")
-            .join(s_full, ["s_surname", "s_first"]))
+    full = (b_full.join(part("surname"), ["block", "b_surname"]).join(part("first"), ["block", "b_first"])
+            .join(s_full, ["block", "s_surname", "s_first"]))
 
     def by_text(stays: DataFrame, bookings: DataFrame) -> DataFrame:
+        """Pairs with an incomplete name on either side: whole variants are compared."""
         st = stays.withColumn("a", F.explode(F.array_distinct(F.concat("s_texts", F.array("s_short")))))
         bt = bookings.withColumn("b", F.explode(F.array_distinct("b_texts")))
-        kind = F.lit("name").alias("kind")
-        pairs = similar_pairs(st.select(kind, "a").distinct(), bt.select(kind, "b").distinct(),
-                              settings.accept_score).select("a", "b")
-        return (bt.join(pairs, "b").join(st, "a").drop("a", "b")
-                .dropDuplicates(["booking_name", "stay_name"]))
-
-    # Pairs with an incomplete name on either side; skipped where there is none.
-    columns = s.columns + b.columns
-    found = full.select(*columns)
-    s_part, b_part = s.where("NOT s_complete"), b.where("NOT b_complete")
-    if not b_part.isEmpty():
-        found = found.unionByName(by_text(s, b_part).select(*columns))
-    if not s_part.isEmpty():
-        found = found.unionByName(by_text(s_part, b_full).select(*columns))
-    return (found.select("booking_name", "stay_name", best_score(settings.component_score).alias("score"))
+        pairs = similar_pairs(st.select("block", "a").distinct(), bt.select("block", "b").distinct(),
+                              settings.accept_score, ("block",)).select("block", "a", "b")
+        return bt.join(pairs, ["block", "b"]).join(st, ["block", "a"])
+
+    columns = [c for c in s.columns + b.columns if c != "block"]
+    found = (full.select(*columns).unionByName(by_text(s, b.where("NOT b_complete")).select(*columns))
+             .unionByName(by_text(s.where("NOT s_complete"), b_full).select(*columns)))
+    return (found.dropDuplicates(["booking_name", "stay_name"])
+            .select("booking_name", "stay_name", best_score(settings.component_score).alias("score"))
             .where(F.col("score") >= settings.accept_score))

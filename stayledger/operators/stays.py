@@ -52,19 +52,23 @@ def group_members(stays: DataFrame, classes: DataFrame | None = None) -> DataFra
 
 # --- J1: who is in house on which night ----------------------------------------------
 
-def occupancy(classes: DataFrame, days: DataFrame) -> DataFrame:
-    """Per (name, night): how many stays, the first of them, and their groups.
+def occupied_spans(classes: DataFrame, days: DataFrame) -> DataFrame:
+    """The classes with the first and last of their nights (from_day, to_day) that can match.
 
     `days(night)` are the days that have bookings.  Nights outside them cannot match and
-    are not generated, which also bounds stays with absurd departure dates.
+    are cut off, which also bounds stays with absurd departure dates.
     """
     lo, hi = (days.agg(f("night").alias("d")).scalar() for f in (F.min, F.max))
     from_day = F.greatest(F.col("arrival"), lo)
     to_day = F.least(F.date_sub(F.col("departure"), 1), hi)
-    spans = (classes.where(F.col("arrival").isNotNull() & F.col("departure").isNotNull())
-             .withColumns({"from_day": from_day, "to_day": to_day})
-             .where(F.col("from_day") <= F.col("to_day")))
-    return (spans.select("name_key", "n", "first_seq", "group_id",
+    return (classes.where(F.col("arrival").isNotNull() & F.col("departure").isNotNull())
+            .withColumns({"from_day": from_day, "to_day": to_day})
+            .where(F.col("from_day") <= F.col("to_day")))
+
+
+def occupancy(classes: DataFrame, days: DataFrame) -> DataFrame:
+    """Per (name, night): how many stays, the first of them, and their groups."""
+    return (occupied_spans(classes, days).select("name_key", "n", "first_seq", "group_id",
                          F.explode(F.sequence("from_day", "to_day")).alias("night"))
             .groupBy("name_key", "night")
             .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"),

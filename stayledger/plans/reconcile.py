@@ -14,7 +14,7 @@ from ..operators.prepare import prepare_bookings, prepare_stays
 from ..operators.stays import group_members, split_duplicates, stay_checks, stay_classes, unit_moves
 from ..settings import Settings, configure
 from . import report as R
-from .shared import cut
+from .shared import cut, discard
 
 
 ROSTER = ["stay_seq", "confirmation_number", "guest_name", "name_key", "unit", "unit_type", "arrival_date",
@@ -74,7 +74,7 @@ class Reconciliation:
 
     @cached_property
     def matching(self) -> M.Matching:
-        return M.match_bookings(self.roster, self.bookings, self.mentions, self.settings, self.classes)
+        return M.Matching(self.roster, self.bookings, lambda: self.mentions, self.settings, self.classes)
 
     @property
     def matches(self) -> DataFrame:
@@ -126,6 +126,10 @@ class Reconciliation:
     def write(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
         R.write_report(self.headers, self.lines, path, fmt, mode, self.groups, self._dates)
 
+    def close(self) -> None:
+        """Delete the tables of this session's runs; results not yet written are gone with them."""
+        discard(self.raw_stays.sparkSession)
+
     @property
     def _dates(self) -> DataFrame:
         own = self.roster.select("stay_seq", "arrival")

@@ -29,6 +29,14 @@ def run_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the session's tables, in whatever store the folder is."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and go on from the written table."""
     spark = df.sparkSession

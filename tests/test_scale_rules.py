@@ -85,3 +85,38 @@ def test_accented_venue_in_the_other_case(spark):
     r = reconcile(*c.frames(spark), SETTINGS.with_(venues=(("brûlerie", "Brûlerie"),)))
     assert [x.status for x in r.note_checks.collect()] == ["matched"]
     assert r.matches.first().hinted_unit == "ALDER"
+
+
+def test_candidates_follow_the_days_not_all_names(spark):
+    """Names that are never there together aren't compared: with twice the names over
+    twice the time, the share of all pairs that is looked at falls by half."""
+    from pyspark.sql import functions as F
+
+    from stayledger.functions.similarity import candidate_pairs
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(4, 9))) for _ in range(3000)})
+    rng.shuffle(names)
+    shares = []
+    for n in (200, 400, 800):
+        rows = spark.createDataFrame([(i // 50, "surname", name) for i, name in enumerate(names[:n])], "block int, kind string, a string")
+        pairs = candidate_pairs(rows, rows.withColumnRenamed("a", "b"), 85, ("block", "kind")).select("a", "b").distinct().where(F.col("a") != F.col("b"))
+        shares.append(pairs.count() / n ** 2)
+    assert shares[1] < 0.7 * shares[0] and shares[2] < 0.7 * shares[1]
+
+
+def written(spark):
+    import os
+
+    from stayledger.plans.shared import run_folder
+    folder = run_folder(spark)
+    return len(os.listdir(folder)) if os.path.isdir(folder) else 0
+
+
+@pytest.mark.parametrize("ask,most", [(lambda r: r.matching.name_scores, 7), (lambda r: r.groups, 3), (lambda r: r.moves, 2)])
+def test_only_needed_tables_are_written(spark, ask, most):
+    c = Case()
+    c.stay("a", "Amaro, Zora", "05/20/2031", "05/23/2031", comments="Lantern 5/21")
+    c.book("b", "Zora Amaro", "May 21, 2031")
+    before = written(spark)
+    ask(reconcile(*c.frames(spark), SETTINGS)).collect()
+    assert 0 < written(spark) - before <= most
