@@ -13,7 +13,7 @@ from .shared import cut
 PAGE_SIZE = 10
 
 LINE_COLUMNS = ["stay_seq", "line_kind", "severity", "reasons", "booking_seq", "mention_ord", "venue",
-                "booking_day", "booking_time", "party_size", "booking_name", "notes_tags", "detail"]
+                "booking_day", "booking_time", "party_size", "booking_name", "set_name", "notes_tags", "detail"]
 
 
 def _reasons() -> dict:
@@ -54,10 +54,24 @@ def booking_lines(checked: DataFrame) -> DataFrame:
         F.when(F.col("hard").isNotNull(), T.RED).when(F.size("soft") > 0, T.YELLOW)
         .otherwise(T.GREEN).alias("severity"),
         reasons.alias("reasons"), "booking_seq", F.lit(None).cast("int").alias("mention_ord"), "venue",
-        "booking_day", "booking_time", "party_size", F.col("guest_name").alias("booking_name"), "notes_tags",
+        "booking_day", "booking_time", "party_size", F.col("guest_name").alias("booking_name"),
+        F.col("booking_name").alias("set_name"), "notes_tags",
         F.coalesce(conflict, F.when(F.col("hard").isNull(), party), F.lit("")).alias("detail"))
 
 
+def line_alternates(lines: DataFrame, alternates: DataFrame) -> DataFrame:
+    """The other plausible guests of every ambiguous line, as rows.
+
+    A line names its set (set_name, booking_day); a set's guests are listed once, however
+    many bookings share it.
+    """
+    asked = lines.where(F.array_contains("reasons", "ambiguous") | F.array_contains("reasons", "resolved_by_note"))
+    others = alternates.select(F.col("booking_name").alias("set_name"), F.col("night").alias("booking_day"),
+                               F.col("stay_seq").alias("alternate_seq"), F.col("guest_name").alias("alternate_name"), "score")
+    return (asked.select("booking_seq", "stay_seq", "set_name", "booking_day").join(others, ["set_name", "booking_day"])
+            .where("alternate_seq <> stay_seq"))
+
+
 def mention_lines(checks: DataFrame) -> DataFrame:
     """Mentions that no booking answers."""
     return (checks.where("status = 'note_without_reservation'").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,7 +14,9 @@ from stayledger.operators import stays as S
 from stayledger.operators.hints import with_hinted_unit
 from stayledger.operators.prepare import prepare_bookings, prepare_stays
 from stayledger.plans import report as R
+from stayledger.plans.flow import words_to_report
 from stayledger.plans.reconcile import Reconciliation
+from stayledger.plans.shared import run_folder
 from stayledger.sources import words as W
 from stayledger.sources.arrivals import parse_stays
 from stayledger.sources.exports import parse_bookings
@@ -152,11 +155,36 @@ def report_lines(spark, sf_dir):
         "stay_seq", "line_kind", "severity", _joined("reasons"), "booking_seq", "mention_ord", "detail")
 
 
+def line_alternates(spark, sf_dir):
+    r = run(spark, sf_dir)
+    return R.line_alternates(r.lines, r.alternates).select("booking_seq", "stay_seq", "alternate_seq", "alternate_name", F.round("score", 6).alias("score"))
+
+
+def words_to_report_query(spark, sf_dir):
+    """The rendered documents, written as files and read as a folder, up to the headers."""
+    words = (render.stay_words(spark, sf_dir).unionByName(render.booking_words(spark, sf_dir))
+             .unionByName(render.document_words(spark, sf_dir)))
+    folder = f"{run_folder(spark)}/words-{uuid.uuid4().hex}"
+    words.write.parquet(folder)
+    return words_to_report(W.read_words(spark, folder), SETTINGS).headers.select(*HEADER)
+
+
+def written_report(spark, sf_dir):
+    """Rows by table and month of a report that was written and read back."""
+    folder = f"{run_folder(spark)}/report-{uuid.uuid4().hex}"
+    run(spark, sf_dir).write(folder)
+    counts = [spark.read.parquet(f"{folder}/{t}").groupBy("arrival_month").agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(t))
+              for t in ("report_header", "report_line", "report_group")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).withColumn("arrival_month", F.col("arrival_month").cast("string"))
+
+
+HEADER = ["stay_seq", "confirmation_number", "guest_name", "arrival", "severity", "n_lines", "consortium", "breakfast",
+          "pet", "bed_requested", "bed_alert", "capacity_alert", "pet_alert", "move_note", "group_id", "matched_by",
+          "group_size", "other_units", "is_duplicate", "occurrences"]
+
+
 def report_headers(spark, sf_dir):
-    return run(spark, sf_dir).headers.select(
-        "stay_seq", "confirmation_number", "guest_name", "arrival", "severity", "n_lines", "consortium", "breakfast",
-        "pet", "bed_requested", "bed_alert", "capacity_alert", "pet_alert", "move_note", "group_id", "matched_by",
-        "group_size", "other_units", "is_duplicate", "occurrences")
+    return run(spark, sf_dir).headers.select(*HEADER)
 
 
 def report_summary(spark, sf_dir):
@@ -204,5 +232,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stay_fields, booking_fields, inhouse_join, name_score, match_bookings_query, unmatched_bookings,
         match_alternates, match_siblings, resolve_unit_hint, unit_lookup, room_groups, room_moves, move_notes,
         note_entries, note_mentions, ambiguous_weekdays, note_cross_check, capacity, bed_request, pet_policy,
-        perks, duplicates, report_lines, report_headers, report_summary, report_page, note_profile,
+        perks, duplicates, report_lines, line_alternates, words_to_report_query, written_report, report_headers, report_summary, report_page, note_profile,
         display_fields, classify_docs, lines, parse_stays_query, parse_bookings_query)}

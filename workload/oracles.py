@@ -291,7 +291,16 @@ _cte("printed", ("s0",), """SELECT 'arrivals-' || lpad(CAST(stay_seq // 1000 AS
     stay_seq % 20 AS slot, * REPLACE (replace(comments_notes, chr(10) || chr(10), ' ') AS comments_notes) FROM s0""")
 
 
-def _with(needs: list[str], sql: str) -> str:
+# The records as the parsers number and read them: by document path, then in the document.
+_EXPORT = "'export-' || CASE WHEN source_date = 'n/a' THEN 'undated' ELSE replace(replace(source_date, ',', ''), ' ', '-') END"
+PARSED = {
+    "s0": f"""SELECT * REPLACE ((stay_seq // 1000) * 4294967296 + stay_seq % 1000 + 1 AS stay_seq, CASE WHEN departure_date = 'TBD' THEN '' ELSE departure_date END AS departure_date,
+        replace(comments_notes, chr(10) || chr(10), ' ') AS comments_notes) FROM ({duck_stays()}) w""",
+    "b0": f"""SELECT * EXCLUDE (doc, before) REPLACE ((before + dense_rank() OVER (ORDER BY doc) - 1) * 4294967296 + row_number() OVER (PARTITION BY doc ORDER BY booking_seq) AS booking_seq)
+        FROM (SELECT *, {_EXPORT} AS doc, (SELECT count(DISTINCT stay_seq // 1000) FROM ({duck_stays()}) w0) AS before FROM ({duck_bookings()}) w1) w2"""}
+
+
+def _with(needs: list[str], sql: str, swap: dict[str, str] | None = None) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -302,7 +311,7 @@ def _with(needs: list[str], sql: str) -> str:
 
     for name in needs:
         visit(name)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({(swap or {}).get(n, CTE[n][1])})" for n in order) + "\n" + sql
 
 
 _FIELDS = "['guest_notes', 'reservation_notes', 'comments_notes'][field_ord + 1]"
@@ -344,6 +353,14 @@ ORACLES: dict[str, str] = {
     "perks": _with(["roster"], "SELECT stay_seq, consortium, breakfast, pet FROM roster WHERE consortium OR breakfast OR pet"),
     "duplicates": _with(["dups"], "SELECT stay_seq, confirmation_number, occurrences FROM dups"),
     "report_lines": _with(["lines"], "SELECT stay_seq, line_kind, severity, reasons, booking_seq, mention_ord, detail FROM lines"),
+    "line_alternates": _with(["ranked", "matches", "blines", "s"], """SELECT r.booking_seq, m.stay_seq, r.stay_seq AS alternate_seq, s.guest_name AS alternate_name, round(r.score, 6) AS score
+        FROM ranked r JOIN matches m USING (booking_seq) JOIN s ON s.stay_seq = r.stay_seq
+        WHERE ((r.outcome = 'tied' AND r.is_top) OR (r.outcome = 'near_tie' AND r.top - r.score < 8)) AND r.stay_seq <> m.stay_seq
+          AND booking_seq IN (SELECT booking_seq FROM blines WHERE reasons = 'ambiguous' OR contains(reasons, 'resolved_by_note'))"""),
+    "words_to_report": _with(["heads"], "SELECT * FROM heads", PARSED),
+    "written_report": _with(["heads", "lines", "grp", "s1"], """SELECT table_name, coalesce(strftime(arrival, '%Y-%m'), 'unknown') AS arrival_month, count(*) AS n FROM (
+        SELECT 'report_header' AS table_name, stay_seq FROM heads UNION ALL SELECT 'report_line', stay_seq FROM lines
+        UNION ALL SELECT 'report_group', stay_seq FROM grp) t JOIN (SELECT stay_seq, arrival FROM s1) d USING (stay_seq) GROUP BY 1, 2"""),
     "report_headers": _with(["heads"], "SELECT * FROM heads"),
     "report_summary": _with(["heads", "moves", "grp"], """SELECT count(*) AS total, count(*) FILTER (severity = 3) AS red, count(*) FILTER (severity = 2) AS yellow,
         count(*) FILTER (severity = 1) AS blue, count(*) FILTER (severity = 0) AS green, (SELECT count(*) FROM moves) AS unit_moves,
