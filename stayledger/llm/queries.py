@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (bpe_automaton, embedding_dedup, html_wrapper, line_frequency, line_runs, masked_lm, ordinal_quality, simhash, source_mix,
                toxicity)
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules,
                                    op6_html_extraction, op7_toxicity, op8_line_dedup, op9_bpe_automaton, op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
