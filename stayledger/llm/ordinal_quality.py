@@ -2,13 +2,15 @@
 
 Grades 0 < 1 < ... < K share one weight vector and have ordered thresholds:
     P(grade > k) = sigmoid(w . x - threshold_k),  threshold_0 < threshold_1 < ...
-x holds the square roots of the shares of a text's hashed byte trigrams (a unit vector).
+x holds the square roots of the shares of a text's hashed byte trigrams, and hashed tokens
+of the text's shape: how much it repeats words and lines, and its length.
 The model gives every document its expected grade and the probability of the grades
 from `pass_grade` on, by which documents are selected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,11 +45,26 @@ class Model:
 
 
 def features(text: bytes, bits: int) -> np.ndarray:
-    """Square roots of trigram shares by hash; texts under three bytes are padded by zero bytes."""
+    """Square roots of trigram shares by hash, and a weight of 1/2 for each token of the
+    text's shape; texts under three bytes are padded by zero bytes."""
     b = np.frombuffer(text.ljust(3, b"\0"), np.uint8).astype(np.uint32)
     packed = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
     at = (packed * np.uint32(2654435761)) >> np.uint32(32 - bits)
-    return np.sqrt(np.bincount(at, minlength=1 << bits) / len(at))
+    x = np.sqrt(np.bincount(at, minlength=1 << bits) / len(at))
+    for token in shape_tokens(text):
+        x[zlib.crc32(token) % (1 << bits)] += 0.5
+    return x
+
+
+def shape_tokens(text: bytes) -> list[bytes]:
+    """Tenths of words that equal the one before, of distinct words and of repeated lines,
+    and the logarithm of the number of words."""
+    words = text.split()
+    lines = [line for line in text.split(b"\n") if line and not line.isspace()]
+    n = max(1, len(words))
+    same = sum(map(bytes.__eq__, words, words[1:]))
+    return [b"same %d" % (10 * same // n), b"distinct %d" % (10 * len(set(words)) // n),
+            b"lines %d" % (10 * (len(lines) - len(set(lines))) // max(1, len(lines))), b"length %d" % len(words).bit_length()]
 
 
 def held_out(key: Column) -> Column:
