@@ -19,12 +19,13 @@ SLICES = 32
 
 def deciding_bookings(matches: DataFrame) -> DataFrame:
     """Per stay the bookings that can be assigned to a mention, as one ordered array."""
-    w = (Window.partitionBy("stay_seq", "booking_day", "venue", "slice").orderBy("booking_seq"))
+    place = ["stay_seq", "booking_day", "venue"]
+    first = lambda *more: F.row_number().over(Window.partitionBy(*place, *more).orderBy("booking_seq"))
     return (matches.where("stay_seq IS NOT NULL AND mention_bound > 0")
             .select("stay_seq", "booking_seq", "booking_day", "venue", "booking_clock", "mention_bound",
                     F.pmod(F.xxhash64("booking_seq"), F.lit(SLICES)).alias("slice"))
-            .withColumn("nth", F.row_number().over(w))
-            .where("nth <= mention_bound")
+            .withColumn("nth", first("slice")).where("nth <= mention_bound")
+            .withColumn("nth", first()).where("nth <= mention_bound")
             .groupBy("stay_seq")
             .agg(F.array_sort(F.collect_list(F.struct(
                 "booking_seq", F.col("booking_day").alias("day"), "venue",

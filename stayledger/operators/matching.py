@@ -16,6 +16,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import notes as N
 from ..functions import text as T
 from ..settings import Settings
 from ..plans.shared import cut
@@ -136,13 +137,16 @@ def plausible_names(candidates: DataFrame, sets: DataFrame, settings: Settings)
         (gap == 0) | ((F.col("outcome") == "near_tie") & (gap < settings.ambiguity_margin)))
 
 
-def agreeing_stays(mentions: DataFrame, plausible: DataFrame) -> DataFrame:
+def agreeing_stays(mentions: DataFrame, plausible: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per ambiguous set and (venue, time) the stay whose notes alone agree.
 
-    Mentions are counted per (name, day, venue, time) before they meet the sets.
+    Mentions are counted per (name, day, venue, time) before they meet the sets.  The days
+    of an ambiguous weekday are those of the stay that bookings can be for.
     """
-    dates = F.when(F.col("resolved_date").isNotNull(), F.array("resolved_date")).otherwise(
-        F.col("candidate_dates"))
+    lo, hi = (wanted.agg(f("night").alias("d")).scalar() for f in (F.min, F.max))
+    from_day, end = F.greatest("arrival", lo), F.least("departure", F.date_add(hi, 1))
+    dates = F.when(F.col("resolved_date").isNotNull(), F.array("resolved_date")).when(
+        F.col("is_ambiguous") & (from_day < end), N.weekday_dates(F.col("weekday"), from_day, end))
     timed = (mentions.withColumn("note_clock", T.clock(F.col("time_text")))
              .where(F.col("note_clock").isNotNull())
              .select("name_key", "stay_seq", "venue", "note_clock", "arrival", "departure",
@@ -175,7 +179,7 @@ def _attributed(m: Matching) -> DataFrame:
                .join(group_units, "group_id", "left"))
 
     # Settled ties hang on the set: at most one entry per venue and clock time.
-    settled = (agreeing_stays(m.mentions(), m.candidates)
+    settled = (agreeing_stays(m.mentions(), m.candidates, m.wanted)
                .join(attributes.select(F.col("stay_seq").alias("chosen_seq"), "mention_bound",
                                        "group_id", "group_size"), "chosen_seq")
                .groupBy(*SET).agg(F.collect_list(F.struct(

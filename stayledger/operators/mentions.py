@@ -25,7 +25,8 @@ def note_entries(stays: DataFrame, settings: Settings) -> DataFrame:
 def note_mentions(stays: DataFrame, settings: Settings) -> DataFrame:
     """Mentions in note order; `date_ord` tells the days of an "A & B" entry apart.
 
-    A pure projection of the stays: nothing is shuffled.
+    A pure projection of the stays: nothing is shuffled.  The days an ambiguous weekday may
+    mean are not spelled out, as a stay may be of any length; see `notes.weekday_dates`.
     """
     e = F.col("entry")
     month, day, day2 = N.numeric_date(e)
@@ -54,8 +55,6 @@ def note_mentions(stays: DataFrame, settings: Settings) -> DataFrame:
     df = df.withColumns({
         "days": F.array_compact(F.array(F.coalesce(first, weekday_day), second)),
         "is_ambiguous": F.col("times_in_stay") > 1,
-        "candidate_dates": F.when(F.col("times_in_stay") > 1,
-                                  N.weekday_dates(F.col("weekday"), arrival, departure)),
         "flags": F.array_compact(F.array(
             F.when(F.col("style") == "no_stay_dates", F.lit("unparseable_stay_dates")),
             F.when(named & first.isNull(), F.lit("date_outside_stay_window")),
@@ -64,7 +63,7 @@ def note_mentions(stays: DataFrame, settings: Settings) -> DataFrame:
     keep = [c for c in ("name_key", "arrival", "departure") if c in stays.columns]
     return df.select(
         "stay_seq", *keep, "field_ord", "source_field", "entry_ord", "venue", "time_text",
-        "weekday_text", "weekday", "is_ambiguous", "candidate_dates", "flags",
+        "weekday_text", "weekday", "is_ambiguous", "flags",
         F.col("entry").alias("raw_text"),
         F.posexplode_outer("days").alias("date_ord", "resolved_date")
     ).withColumn("date_ord", F.coalesce("date_ord", F.lit(0)))

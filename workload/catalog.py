@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stayledger import reconcile
 from stayledger.functions import text as T
+from stayledger.functions.notes import weekday_dates
 from stayledger.operators import mentions as N
 from stayledger.operators import stays as S
 from stayledger.operators.hints import with_hinted_unit
@@ -108,7 +109,8 @@ def note_entries(spark, sf_dir):
 
 
 def note_mentions(spark, sf_dir):
-    return N.note_mentions(run(spark, sf_dir).stays, SETTINGS).select(
+    dates = F.when(F.col("is_ambiguous"), weekday_dates(F.col("weekday"), F.col("arrival"), F.col("departure")))
+    return N.note_mentions(run(spark, sf_dir).stays, SETTINGS).withColumn("candidate_dates", dates).select(
         "stay_seq", "source_field", "entry_ord", "date_ord", "venue", "resolved_date", "time_text", "weekday_text",
         "is_ambiguous", _joined("flags"), "raw_text",
         F.array_join(F.col("candidate_dates").cast("array<string>"), ",").alias("candidate_dates"))

@@ -6,6 +6,8 @@ fold - and shares nothing with the operators but the derived inputs.
 
 from __future__ import annotations
 
+from stayledger.functions import notes as N
+from stayledger.functions import text as T
 from stayledger.operators.names import BLOCK_DAYS
 from stayledger.settings import MONTHS, WEEKDAYS
 
@@ -150,10 +152,8 @@ _cte("ranked", ("cands",), """SELECT *, top = score AS is_top, CASE WHEN one_gro
         FROM cands WINDOW w AS (PARTITION BY booking_seq)) q WINDOW w AS (PARTITION BY booking_seq)) q2
       WINDOW w AS (PARTITION BY booking_seq)) q3""")
 
-_TIME = r"\b(\d{1,2})(?::(\d{2}))?\s*([AaPp][Mm])\b"
-_NUM = r"\b(\d{1,2})/(\d{1,2})(?:\s*&\s*(?:\d{1,2}/)?(\d{1,2}))?\b"
-_DAY = "(?i)\\b(" + "|".join(WEEKDAYS) + ")\\b"
-_SPELL = "(?i)\\b(" + "|".join(MONTHS) + ")\\s+(\\d{1,2})(?:st|nd|rd|th)?\\b"
+# The marked patterns of the grammar, without Java's flag for Unicode classes.
+_TIME, _NUM, _DAY, _SPELL = (p.replace("(?U)", "").replace("(?iU)", "(?i)") for p in (N.TIME, N.NUMERIC, N.WEEKDAY, N.SPELLED))
 _months = "[" + ", ".join(_quoted(m) for m in MONTHS) + "]"
 _days = "[" + ", ".join(_quoted(d) for d in WEEKDAYS) + "]"
 _cte("pieces", ("s",), r"""SELECT stay_seq, arrival, departure, field_ord, seg, piece, pos FROM (
@@ -263,10 +263,9 @@ _cte("lines", ("found", "s", "dups"), """SELECT * FROM found
     UNION ALL SELECT stay_seq, 'placeholder', 1, 'nothing_to_compare', NULL, NULL, '' FROM s WHERE stay_seq NOT IN (SELECT stay_seq FROM found)
     UNION ALL SELECT stay_seq, 'duplicate', 3, 'duplicate_confirmation', NULL, NULL, 'copies set aside: ' || occurrences FROM dups""")
 _all_notes = "(guest_notes || ' ' || reservation_notes || ' ' || comments_notes)"
-_BED = (r"(?i)sofa[\s-]?bed|pull[\s-]?out|sleeper\s+sofa|sofa\s+sleeper|roll[\s-]?away|(extra|additional)\s+bed"
-        r"|fold[\s-]?out|\bcots?\b")
-_cte("roster", ("s", "units"), f"""SELECT s.stay_seq, regexp_matches({_all_notes}, '(?i)virtuoso') AS consortium,
-    regexp_matches({_all_notes}, '(?i)breakfast\\s+incl\\w*') AS breakfast, regexp_matches({_all_notes}, '(?i)pet\\s+(amenit\\w*|friendly)') AS pet,
+_BED, _BREAKFAST, _PET, _CONSORTIUM = (p.replace("(?U)", "") for p in (T.EXTRA_BED, T.BREAKFAST, T.PET, T.CONSORTIUM))
+_cte("roster", ("s", "units"), f"""SELECT s.stay_seq, regexp_matches({_all_notes}, '{_CONSORTIUM}') AS consortium,
+    regexp_matches({_all_notes}, '{_BREAKFAST}') AS breakfast, regexp_matches({_all_notes}, '{_PET}') AS pet,
     regexp_matches({_all_notes}, '{_BED}') AS bed_request, category, has_sofa_bed, max_guests, guests_count
     FROM s LEFT JOIN units u ON u.abbreviation = trim(s.unit)""")
 _cte("moves", ("s",), """SELECT e.stay_seq AS earlier_seq, l.stay_seq AS later_seq, e.name_key, e.departure_date AS move_date, e.unit AS earlier_unit,
