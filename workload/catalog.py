@@ -220,7 +220,7 @@ def parse_stays_query(spark, sf_dir):
     return parse_stays(render.stay_words(spark, sf_dir), SETTINGS).select(
         "doc", "rec_no", "source_page", "confirmation_number", "guest_name", "unit", "unit_type", "status", "arrival_date",
         "departure_date", "guests_count", "guests_share", "rate_plan", "guest_notes", "reservation_notes",
-        "comments_notes", _joined("flags"))
+        "comments_notes", "address", "last_stay_property", "lifetime_nights", "lifetime_stays", "booking_agency", "iata", _joined("flags"))
 
 
 def parse_bookings_query(spark, sf_dir):

@@ -12,6 +12,7 @@ from stayledger.operators.names import BLOCK_DAYS
 from stayledger.settings import MONTHS, WEEKDAYS
 
 from .derive import SETTINGS, duck_bookings, duck_stays
+from .render import more
 
 
 def _lcs(a: str, b: str) -> str:
@@ -380,10 +381,18 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT doc, page, slot, 2, 'Guest Notes: ' || guest_notes FROM printed WHERE guest_notes <> ''
         UNION ALL SELECT doc, page, slot, 3, 'Reservation Notes: ' || reservation_notes FROM printed WHERE reservation_notes <> ''
         UNION ALL SELECT doc, page, slot, 4, 'Comments / Notes: ' || comments_notes FROM printed WHERE comments_notes <> ''
-        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || count(*) FROM printed GROUP BY doc) q"""),
+        UNION ALL SELECT doc, page, slot, 5, {line} FROM printed WHERE {line} <> ''
+        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || (count(*) + max(stay_seq // 1000) % 2) FROM printed GROUP BY doc) q""".replace("{line}", f"trim({more(0)} || ' ' || {more(1)})")),
     "parse_stays": _with(["printed"], """SELECT doc, stay_seq % 1000 + 1 AS rec_no, page AS source_page, confirmation_number, guest_name, unit, unit_type, status, arrival_date,
-        CASE WHEN departure_date = 'TBD' THEN '' ELSE departure_date END AS departure_date, guests_count, 0 AS guests_share, 'LEIS' AS rate_plan, guest_notes, reservation_notes, comments_notes,
-        CASE WHEN unit = '' THEN 'missing_room_name' ELSE '' END AS flags FROM printed"""),
+        CASE WHEN departure_date = 'TBD' THEN '' ELSE departure_date END AS departure_date, guests_count, 0 AS guests_share, 'LEIS' AS rate_plan,
+        guest_notes || CASE WHEN stay_seq % 7 = 1 AND guest_notes <> '' AND reservation_notes = '' AND comments_notes = '' THEN ' more of it' ELSE '' END AS guest_notes,
+        reservation_notes || CASE WHEN stay_seq % 7 = 1 AND reservation_notes <> '' AND comments_notes = '' THEN ' more of it' ELSE '' END AS reservation_notes,
+        comments_notes || CASE WHEN stay_seq % 7 = 1 AND comments_notes <> '' THEN chr(10) || chr(10) || 'more of it' ELSE '' END AS comments_notes,
+        CASE WHEN stay_seq % 7 = 0 THEN '12 Quay Lane' ELSE '' END AS address, CASE WHEN stay_seq % 7 = 2 THEN 'NORTH WING' ELSE '' END AS last_stay_property,
+        CASE WHEN stay_seq % 7 = 2 THEN '10' ELSE '' END AS lifetime_nights, CASE WHEN stay_seq % 7 = 2 THEN '4' ELSE '' END AS lifetime_stays,
+        CASE WHEN stay_seq % 7 = 3 THEN 'Harbour Tours' ELSE '' END AS booking_agency, CASE WHEN stay_seq % 7 = 3 THEN '555' ELSE '' END AS iata,
+        concat_ws(';', CASE WHEN stay_seq % 7 = 5 THEN 'unrecognized_row:''odd mark here''' END, CASE WHEN unit = '' THEN 'missing_room_name' END,
+          CASE WHEN stay_seq // 1000 % 2 = 1 THEN 'count_mismatch: parsed ' || count(*) OVER (PARTITION BY doc) || ' vs report total ' || (count(*) OVER (PARTITION BY doc) + 1) END) AS flags FROM printed"""),
     "parse_bookings": _with(["b"], """SELECT 'export-' || CASE WHEN source_date = 'n/a' THEN 'undated' ELSE replace(replace(source_date, ',', ''), ' ', '-') END AS doc,
         row_number() OVER (PARTITION BY source_date ORDER BY booking_seq) AS rec_no, CASE WHEN source_date = 'n/a' THEN '' ELSE source_date END AS source_date, booking_time, party_size, guest_name,
         '(518) 555-0100' AS phone, notes_tags, venue, unit_hint, is_outside, CASE WHEN venue IS NULL THEN 'no_restaurant_detected' ELSE '' END AS flags FROM b"""),
