@@ -72,9 +72,19 @@ class ArrivalsLayout:
     party: tuple[float, float] = (435, 460)
     rate: tuple[float, float] = (490, 574)
     label_boundary: float = 160.0
+    labels: tuple[tuple[str, str], ...] = tuple(LABELS.items())
+    inline_labels: tuple[tuple[str, str], ...] = tuple(INLINE_LABELS.items())
+    continued: tuple[str, ...] = CONTINUATION_FIELDS
+    # Fields whose value holds inline labels, and an agency with its number after a mark.
+    inline_field: str = "last_stay_property"
+    agency_fields: tuple[str, str] = ("booking_agency", "iata")
+    agency_mark: str = "IATA:"
+    # Words that mark a line as a repetition of the stay dates.
+    dates_line: tuple[str, ...] = ("Stay", "Date")
     furniture_prefixes: tuple[str, ...] = (
         "Arrivals with Details", "PROPERTY:", "USER:", "Room Guest Name",
         "Room Type Confirmation", "Stay Date (Days)", "Room Type Rate Plan Rate")
+    range_line: tuple[str, str] = ("Between", "and")
     total_label: str = "Total Reservations"
     # Owner's name printed after the time stamp in the page head; "" accepts any owner.
     stamp_owner: str = ""
@@ -95,6 +105,11 @@ class BookingsLayout:
     notes: tuple[float, float] = (275, 355)
     filter_bar: tuple[float, float] = (60, 350)
     head_top: float = 60.0
+    # Furniture: how lines begin, what they contain, what they are, and the words of a day bar.
+    line_starts: tuple[str, ...] = ("Time Party", "Notes & Tags")
+    line_parts: tuple[str, ...] = ("Guest Details", "Total Covers")
+    whole_lines: tuple[str, ...] = ("Tags",)
+    day_words: tuple[str, ...] = ("Today", "Future Day", "Yesterday")
     footer_phrases: tuple[str, ...] = (
         "About", "Discover", "Languages", "Content Guidelines", "Accessibility Statement",
         "Business Resource Center", "Terms of Service", "Privacy Policy",
