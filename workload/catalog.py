@@ -171,6 +171,16 @@ def words_to_report_query(spark, sf_dir):
     return words_to_report(W.read_words(spark, folder), SETTINGS).headers.select(*HEADER)
 
 
+def incremental_load(spark, sf_dir):
+    """Documents a second run takes in, after a first one that saw the booking exports."""
+    folder, ledger = (f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("words", "ledger"))
+    render.booking_words(spark, sf_dir).write.parquet(folder)
+    W.advance_ledger(W.read_words(spark, folder), ledger)
+    render.stay_words(spark, sf_dir).write.mode("append").parquet(folder)
+    changed = W.changed_documents(W.read_words(spark, folder), W.read_ledger(spark, ledger))
+    return changed.groupBy("doc").agg(F.count(F.lit(1)).alias("n_words"), F.max("page").alias("pages"))
+
+
 def written_report(spark, sf_dir):
     """Rows by table and month of a report that was written and read back."""
     folder = f"{run_folder(spark)}/report-{uuid.uuid4().hex}"
@@ -234,5 +244,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stay_fields, booking_fields, inhouse_join, name_score, match_bookings_query, unmatched_bookings,
         match_alternates, match_siblings, resolve_unit_hint, unit_lookup, room_groups, room_moves, move_notes,
         note_entries, note_mentions, ambiguous_weekdays, note_cross_check, capacity, bed_request, pet_policy,
-        perks, duplicates, report_lines, line_alternates, words_to_report_query, written_report, report_headers, report_summary, report_page, note_profile,
+        perks, duplicates, report_lines, line_alternates, words_to_report_query, incremental_load, written_report, report_headers, report_summary, report_page, note_profile,
         display_fields, classify_docs, lines, parse_stays_query, parse_bookings_query)}

@@ -314,6 +314,16 @@ def _with(needs: list[str], sql: str, swap: dict[str, str] | None = None) -> str
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({(swap or {}).get(n, CTE[n][1])})" for n in order) + "\n" + sql
 
 
+_MORE = f"trim({more(0)} || ' ' || {more(1)})"
+PRINTED = r"""
+        SELECT DISTINCT doc, page, CAST(-1 AS BIGINT) AS slot, 0 AS k, 'Arrivals with Details' AS txt FROM printed
+        UNION ALL SELECT doc, page, slot, 0, concat_ws(' ', nullif(unit, ''), guest_name, status, arrival_date, coalesce(CAST(guests_count AS VARCHAR), 'n'), '/ 0 LEIS') FROM printed
+        UNION ALL SELECT doc, page, slot, 1, concat_ws(' ', unit_type, confirmation_number, departure_date) FROM printed
+        UNION ALL SELECT doc, page, slot, 2, 'Guest Notes: ' || guest_notes FROM printed WHERE guest_notes <> ''
+        UNION ALL SELECT doc, page, slot, 3, 'Reservation Notes: ' || reservation_notes FROM printed WHERE reservation_notes <> ''
+        UNION ALL SELECT doc, page, slot, 4, 'Comments / Notes: ' || comments_notes FROM printed WHERE comments_notes <> ''
+        UNION ALL SELECT doc, page, slot, 5, @ FROM printed WHERE @ <> ''
+        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || (count(*) + max(stay_seq // 1000) % 2) FROM printed GROUP BY doc""".replace("@", _MORE)
 _FIELDS = "['guest_notes', 'reservation_notes', 'comments_notes'][field_ord + 1]"
 
 ORACLES: dict[str, str] = {
@@ -357,6 +367,7 @@ ORACLES: dict[str, str] = {
         FROM ranked r JOIN matches m USING (booking_seq) JOIN s ON s.stay_seq = r.stay_seq
         WHERE ((r.outcome = 'tied' AND r.is_top) OR (r.outcome = 'near_tie' AND r.top - r.score < 8)) AND r.stay_seq <> m.stay_seq
           AND booking_seq IN (SELECT booking_seq FROM blines WHERE reasons = 'ambiguous' OR contains(reasons, 'resolved_by_note'))"""),
+    "incremental_load": _with(["printed"], f"""SELECT doc, CAST(sum(len(string_split(txt, ' '))) AS BIGINT) AS n_words, max(page) AS pages FROM ({PRINTED}) p GROUP BY doc"""),
     "words_to_report": _with(["heads"], "SELECT * FROM heads", PARSED),
     "written_report": _with(["heads", "lines", "grp", "s1"], """SELECT table_name, coalesce(strftime(arrival, '%Y-%m'), 'unknown') AS arrival_month, count(*) AS n FROM (
         SELECT 'report_header' AS table_name, stay_seq FROM heads UNION ALL SELECT 'report_line', stay_seq FROM lines
@@ -374,15 +385,7 @@ ORACLES: dict[str, str] = {
     "classify_docs": _with(["printed", "b0"], """SELECT DISTINCT doc, 'arrivals' AS kind FROM printed
         UNION ALL SELECT DISTINCT 'export-' || CASE WHEN source_date = 'n/a' THEN 'undated' ELSE replace(replace(source_date, ',', ''), ' ', '-') END, 'bookings' FROM b0
         UNION ALL SELECT 'text-' || doc_id, NULL FROM documents"""),
-    "lines": _with(["printed"], r"""SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY slot, k) - 1 AS line_no, txt AS text FROM (
-        SELECT DISTINCT doc, page, CAST(-1 AS BIGINT) AS slot, 0 AS k, 'Arrivals with Details' AS txt FROM printed
-        UNION ALL SELECT doc, page, slot, 0, concat_ws(' ', nullif(unit, ''), guest_name, status, arrival_date, coalesce(CAST(guests_count AS VARCHAR), 'n'), '/ 0 LEIS') FROM printed
-        UNION ALL SELECT doc, page, slot, 1, concat_ws(' ', unit_type, confirmation_number, departure_date) FROM printed
-        UNION ALL SELECT doc, page, slot, 2, 'Guest Notes: ' || guest_notes FROM printed WHERE guest_notes <> ''
-        UNION ALL SELECT doc, page, slot, 3, 'Reservation Notes: ' || reservation_notes FROM printed WHERE reservation_notes <> ''
-        UNION ALL SELECT doc, page, slot, 4, 'Comments / Notes: ' || comments_notes FROM printed WHERE comments_notes <> ''
-        UNION ALL SELECT doc, page, slot, 5, {line} FROM printed WHERE {line} <> ''
-        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || (count(*) + max(stay_seq // 1000) % 2) FROM printed GROUP BY doc) q""".replace("{line}", f"trim({more(0)} || ' ' || {more(1)})")),
+    "lines": _with(["printed"], f"""SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY slot, k) - 1 AS line_no, txt AS text FROM ({PRINTED}) q"""),
     "parse_stays": _with(["printed"], """SELECT doc, stay_seq % 1000 + 1 AS rec_no, page AS source_page, confirmation_number, guest_name, unit, unit_type, status, arrival_date,
         CASE WHEN departure_date = 'TBD' THEN '' ELSE departure_date END AS departure_date, guests_count, 0 AS guests_share, 'LEIS' AS rate_plan,
         guest_notes || CASE WHEN stay_seq % 7 = 1 AND guest_notes <> '' AND reservation_notes = '' AND comments_notes = '' THEN ' more of it' ELSE '' END AS guest_notes,
