@@ -61,3 +61,26 @@ def test_nothing_else_imports_the_subpackage():
                 for n in names:
                     if n.endswith(".py"):
                         assert "llm" not in open(os.path.join(d, n)).read()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, make_docs, corpus, name):
+    """Nulls, empty and long texts, copies, repeated rows, columns of the operators' own names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = make_docs([*corpus, (410, None, None), (411, "x", None)]).withColumn("n_tokens", corpus_pipeline.F.lit("t"))
+    out = stage(spark, docs, SF)
+    own = [c for c in docs.columns if not (name == "tokens" and c == "n_tokens")]
+    assert [c for c in out.columns if c in own] == own
+    rows = out.collect()
+    texts = {(i, t) for i, t, _ in corpus} | {(411, "x"), (410, None)}
+    if name == "tokens":
+        assert len(rows) == len(corpus) + 2 and all(isinstance(r["n_tokens"], int) for r in rows)
+    elif name == "near_dedup":
+        assert len(rows) == len({r["text"] for r in rows}) and all((r["doc_id"], r["text"]) in texts for r in rows)
+    elif name == "source_mixing":
+        assert all(r["text"] and (r["key"], r["fp"]) == ("k", "f") for r in rows)
+    elif name == "quality_rules":
+        assert all(len(WORD.findall(r["text"])) > 0 for r in rows) and {404, 405} & {r["doc_id"] for r in rows}
+    else:
+        assert {400, 401, 402} <= {r["doc_id"] for r in rows}  # never held a line, so none was taken
+    assert stage(spark, docs.limit(0), SF).count() == 0
