@@ -90,13 +90,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, family: CrossPo
                               (F.col(label).cast("string") if label else F.lit("")).alias("label")), "vectors")
     sound = ("key is not null and label is not null and size(vec) > 0 and exists(vec, x -> x <> 0) "
              "and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    classes = cut(rows.where(sound).groupBy("label", "vec").agg(F.min("key").alias("cls"), F.count(F.lit(1)).alias("copies"))
-                  .withColumn("dims", F.size("vec")).withColumn("node", F.xxhash64("label", "vec")), "classes")
-
-    shown = _shown(classes, family)
+    classes = (rows.where(sound).groupBy("label", "vec").agg(F.min("key").alias("cls"), F.count(F.lit(1)).alias("copies"))
+               .withColumn("dims", F.size("vec")).withColumn("node", F.xxhash64("label", "vec")))
+    classes = cut(_hashed(classes, family), "classes")
+    # Only bucket numbers travel until a bucket is known to hold a pair.
+    shown = (classes.select("node", "label", "dims", F.posexplode("codes").alias("at", "bucket"))
+             .withColumn("own", F.col("at") % family.probes == 0).drop("at"))
     where = ["label", "dims", "bucket", "cell_a", "cell_b"]
     dealt = (cells(shown, ["label", "dims", "bucket"], "node", block, useful=F.col("own"))
-             .join(classes.select("node", "label", "dims", "cls", "copies", "vec"), ["node", "label", "dims"])
+             .join(classes.select("node", "label", "dims", "cls", "copies", "vec", "codes"), ["node", "label", "dims"])
              .withColumn("lab", F.xxhash64("label")))
     order = ["lab", *where[1:]]
     met = cut(dealt.repartition(*order).sortWithinPartitions(*order)
@@ -117,27 +119,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, family: CrossPo
                          F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def _shown(classes: DataFrame, family: CrossPolytope) -> DataFrame:
-    """Every class in its own and its probed buckets, with all its bucket numbers."""
+def _hashed(classes: DataFrame, family: CrossPolytope) -> DataFrame:
+    """The classes with the bucket numbers of all tables and probes, in this order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                x = _vectors(part.column("vec"))
-                codes = family.buckets(_unit(x))
-                n, tables, probes = codes.shape
-                at = np.repeat(np.arange(n), tables * probes)
-                own = np.tile(np.arange(probes) == 0, n * tables)
-                packed = pa.array([c.tobytes() for c in codes.reshape(n, -1)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(at)), part.column("label").take(pa.array(at)), part.column("dims").take(pa.array(at)),
-                     pa.array(codes.reshape(-1)), pa.array(own), packed.take(pa.array(at))],
-                    ["node", "label", "dims", "bucket", "own", "codes"])
+                codes = family.buckets(_unit(_vectors(part.column("vec"))))
+                yield part.append_column(pa.field("codes", pa.list_(pa.int64())), pa.array(list(codes.reshape(len(codes), -1)), pa.list_(pa.int64())))
 
-    return classes.select("node", "label", "dims", "vec").mapInArrow(
-        work, "node long, label string, dims int, bucket long, own boolean, codes binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(work, f"{schema}, codes array<long>")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -168,7 +162,7 @@ def _verify(order: list[str], threshold: float, family: CrossPolytope):
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                codes = np.frombuffer(b"".join(t["codes"].slice(s, e - s).to_pylist()), np.int64).reshape(e - s, family.tables, family.probes)
+                codes = t["codes"].slice(s, e - s).combine_chunks().flatten().to_numpy().reshape(e - s, family.tables, family.probes)
                 first = np.concatenate([_first_bucket(codes, i[k:k + 65536], j[k:k + 65536]) for k in range(0, len(i), 65536)]) == bucket[s]
                 i, j = i[first], j[first]
                 n = np.zeros(e - s, np.int64)
