@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.shared import cut
 from .common import kernel, raw
 
 #: Offsets of the context words.
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     """Count, start and train.  The driver gets the frequent words and entries' counts
     (at most shape.entries rows) and one averaged network, both of fixed size."""
     spark = docs.sparkSession
-    counts = word_counts(docs, text)
+    counts = cut(word_counts(docs, text), "word_counts")
     top = counts.orderBy(F.col("n").desc(), "word").limit(shape.frequent).collect()
     words = [bytes(r["word"]) for r in top]
     rest = counts.join(spark.createDataFrame([(w,) for w in words], "word binary"), "word", "left_anti")
