@@ -112,7 +112,7 @@ def written(spark):
     return len(os.listdir(folder)) if os.path.isdir(folder) else 0
 
 
-@pytest.mark.parametrize("ask,most", [(lambda r: r.matching.name_scores, 7), (lambda r: r.groups, 3), (lambda r: r.moves, 2)])
+@pytest.mark.parametrize("ask,most", [(lambda r: r.matching.name_scores, 8), (lambda r: r.groups, 3), (lambda r: r.moves, 2)])
 def test_only_needed_tables_are_written(spark, ask, most):
     c = Case()
     c.stay("a", "Amaro, Zora", "05/20/2031", "05/23/2031", comments="Lantern 5/21")
