@@ -87,12 +87,14 @@ def fit(docs: DataFrame, ratings: DataFrame, how: Fit = Fit(), key: str = "doc_i
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [features(t, how.bits).astype(np.float32).tobytes() for t in raw(batch.column("text"))]
+        x = [features(t, how.bits).astype(np.float16).tobytes() for t in raw(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), pa.array(x, pa.binary())], ["key", "grade", "x"])
 
     kind = found.schema["key"].dataType.simpleString()
     rows = sorted(kernel(found, work, f"key {kind}, grade int, x binary").limit(how.sample).toLocalIterator(), key=lambda r: (r["key"], r["grade"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), 1 << how.bits)
+    x = np.empty((len(rows), 1 << how.bits), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], np.float16)
     return solve(x, np.array([r["grade"] for r in rows], np.int64), how)
 
 
