@@ -51,7 +51,7 @@ def best_score(component_score: int) -> Column:
 
 
 #: Days of a block.
-BLOCK_DAYS = 28
+BLOCK_DAYS = 112
 
 
 def block_of(day: Column) -> Column:
