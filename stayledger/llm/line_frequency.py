@@ -65,7 +65,7 @@ def _name(line: bytes) -> int:
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts: list[list[int]] = [[], [], [], [], []]
     lines: list[list[dict]] = []
-    marks = []
+    marks, prints = [], []
     for text in raw(batch.column("text")):
         words = text.split()
         joined = b"".join(words)
@@ -73,16 +73,16 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
                                           duplicate_lines(text), repeated_words(words))):
             column.append(value)
         own: dict[bytes, int] = {}
-        for line in text.split(b"\n"):
-            line = normalised(line)
-            if line:
-                own[line] = own.get(line, 0) + line.count(b" ") + 1
+        whole = [line for line in map(normalised, text.split(b"\n")) if line]
+        for line in whole:
+            own[line] = own.get(line, 0) + line.count(b" ") + 1
         longest = min(own, key=lambda x: (-len(x), x), default=b"")
         marks.append(_name(longest))
+        prints.append(_name(b"\n".join(whole)))
         lines.append([{"line": _name(k), "words": v} for k, v in own.items()])
     columns = [batch.column("row"), batch.column("host"), *(pa.array(c, pa.int64()) for c in counts), pa.array(marks, pa.int64()),
-               pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))]
-    return pa.RecordBatch.from_arrays(columns, ["row", "host", *COUNTS, "mark", "lines"])
+               pa.array(prints, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))]
+    return pa.RecordBatch.from_arrays(columns, ["row", "host", *COUNTS, "mark", "print", "lines"])
 
 
 def quality(docs: DataFrame, max_documents: int = 10, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
@@ -95,18 +95,17 @@ def quality(docs: DataFrame, max_documents: int = 10, min_left_percent: int = 20
     base rules, or if less than `min_left_percent` % of its words are outside common lines.
     Null texts have no words (base_failed); a null host is a host of its own; rows of
     one key are judged one by one; an empty table gives an empty table."""
-    rows = _verdicts(docs, max_documents, min_left_percent, key, text, host)
+    measured = _measured(docs, key, text, host)
+    rows = _verdicts(measured, _common(measured, max_documents, "mark"), min_left_percent)
     return rows.select(F.col("row.key").alias(key), *COUNTS, "base_failed", "n_common_words", "kept")
 
 
-def _verdicts(docs: DataFrame, max_documents: int, min_left_percent: int, key: str, text: str, host: str) -> DataFrame:
-    measured = _measured(docs, key, text, host)
-    common = _common(measured, max_documents)
+def _verdicts(measured: DataFrame, common: DataFrame, min_left_percent: int) -> DataFrame:
     lost = (_lines(measured).join(common, ["host", "line"]).groupBy("row")
             .agg(F.sum("words").alias("n_common_words"), F.collect_list("line").alias("common")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = 100 * (F.col("n_words") - F.col("n_common_words")) >= min_left_percent * F.col("n_words")
-    return (measured.select("row", *COUNTS).join(lost, "row", "left")
+    return (measured.select("row", "host", *COUNTS).join(lost, "row", "left")
             .withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)))
             .withColumn("base_failed", failed).withColumn("kept", ~failed & verdict))
 
@@ -117,30 +116,38 @@ def _measured(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
     rows = docs.select(row.alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return cut(kernel(rows, _measure, f"row {kind}, host string, {BASE}, mark long, lines array<struct<line: long, words: long>>"), "measured")
+    return cut(kernel(rows, _measure, f"row {kind}, host string, {BASE}, mark long, print long, lines array<struct<line: long, words: long>>"), "measured")
 
 
 def _lines(measured: DataFrame) -> DataFrame:
-    return measured.select("row", "host", "mark", F.explode("lines").alias("l")).select("row", "host", "mark", "l.*")
+    return measured.select("row", "host", "mark", "print", F.explode("lines").alias("l")).select("row", "host", "mark", "print", "l.*")
 
 
-def _common(measured: DataFrame, max_documents: int) -> DataFrame:
-    """(host, line) of the lines above the limit.  Equal (host, line, mark) rows are merged
-    before the shuffle, then counts are summed."""
-    marked = _lines(measured).groupBy("host", "line", "mark").agg(F.lit(1).alias("one"))
-    return marked.groupBy("host", "line").agg(F.sum("one").alias("n")).where(F.col("n") > max_documents).select("host", "line")
+def _common(measured: DataFrame, max_documents: int, by: str) -> DataFrame:
+    """(host, line) of the lines with more than `max_documents` values of `by`.  Equal
+    (host, line, value) rows are merged before the shuffle, then counts are summed."""
+    merged = _lines(measured).groupBy("host", "line", by).agg(F.lit(1).alias("one"))
+    return merged.groupBy("host", "line").agg(F.sum("one").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
 
 def clean(docs: DataFrame, max_documents: int = 10, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
           host: str = "source") -> DataFrame:
-    """The documents `quality` keeps, without their common lines; all columns.
+    """The documents that pass the rules, without their common lines; all columns.
 
-    A verdict depends on text and host alone, so equal rows all stay or all go."""
+    A line is common if it is found in more than `max_documents` documents of the host that
+    differ in their whole normalised text.  Of the documents of a host that the same set of
+    common lines leaves with too little, that of the smallest key (null last) stays, whole:
+    near copies do not vanish as a group.  A verdict depends on key, text and host alone,
+    so equal rows all stay or all go."""
     row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"), F.xxhash64(F.col(host)).alias("host"))
-    judged = _verdicts(docs.select(row.alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host")),
-                       max_documents, min_left_percent, "_row", "_text", "_host")
-    good = (judged.where("kept").groupBy(F.col("row.key.key").alias("_key"), F.col("row.key.text").alias("_t"), F.col("row.key.host").alias("_h"))
-            .agg(F.first("common").alias("_common")))
+    measured = _measured(docs.select(row.alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host")), "_row", "_text", "_host")
+    judged = cut(_verdicts(measured, _common(measured, max_documents, "print"), min_left_percent)
+                 .where("not base_failed").select("host", F.col("row.key").alias("row"), "common", "kept"), "judged")
+    kept = judged.where("kept").groupBy("row").agg(F.first("common").alias("_common"))
+    least = F.min(F.struct(F.col("row.key").isNull(), F.col("row").alias("row")))
+    spared = (judged.where("not kept").groupBy("host", F.xxhash64(F.array_sort("common")).alias("common")).agg(least.alias("least"))
+              .select("least.row", F.lit(None).cast("array<long>").alias("_common")))
+    good = kept.unionByName(spared).select(F.col("row.key").alias("_key"), F.col("row.text").alias("_t"), F.col("row.host").alias("_h"), "_common")
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_t")) & (F.xxhash64(F.col(host)) == F.col("_h"))
     kept = docs.join(good, on).drop("_key", "_t", "_h")
 

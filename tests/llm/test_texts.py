@@ -135,6 +135,22 @@ def test_clean_strips_common_lines(make_docs):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(i, t.split("\n")[1]) for i, t, _ in rows]
 
 
+def test_clean_counts_documents_with_a_long_shared_line(make_docs):
+    notice = " ".join(f"notice{j}" for j in range(60))  # longer than any other line of its documents
+    rows = [(i, f"{notice}\n{' '.join(f'w{i}x{j}' for j in range(30))}", "h") for i in range(15)]
+    out = Q.clean(make_docs(rows))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(i, t.split("\n")[1]) for i, t, _ in rows]
+    copies = [(i, rows[0][1].upper(), "h") for i in range(30)]
+    assert sorted(r["text"] for r in Q.clean(make_docs(copies)).collect()) == sorted(t for _, t, _ in copies)
+
+
+def test_clean_keeps_one_of_a_group_edited_in_its_longest_line(make_docs):
+    shared = "\n".join(" ".join(f"s{i}x{j}" for j in range(20)) for i in range(8))
+    rows = [(i, f"{shared}\n{' '.join(f'long{j}' for j in range(25))} edit{i}", "h") for i in range(15)]
+    rows += [(100, " ".join(f"own{j}" for j in range(30)), "h")]
+    assert sorted((r["doc_id"], r["text"]) for r in Q.clean(make_docs(rows)).collect()) == [rows[0][:2], rows[-1][:2]]
+
+
 # --- line dedup
 
 def brute_runs(rows, least):
