@@ -60,9 +60,9 @@ def fingerprint_of(text: bytes, width: int) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def wide_fingerprint(text: bytes, width: int, count: int) -> bytes:
-    """`count` fingerprints of a text by as many hash functions, 64 bits each."""
-    hashes, out = shingle_hashes(text, width), []
+def wide_fingerprint(hashes: np.ndarray, count: int) -> bytes:
+    """`count` fingerprints of shingle hashes by as many hash functions, 64 bits each."""
+    out = []
     for k in range(count):
         h = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % 2 ** 64)  # hash functions out of one: a mixing step from another start
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -181,11 +181,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, block: i
             .select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component_id"))
 
 
-def most_bits(similarity: float, bits: int) -> int:
+def most_bits(similarity: float, bits: int, errors: float = 3) -> int:
     """Differing bits, of `bits`, that shingle sets of this Jaccard similarity reach: the
-    expected number and one standard error."""
+    expected number and so many standard errors."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + errors * np.sqrt(bits * share * (1 - share)))
 
 
 def _boxes(prints: list[bytes], per_word: int) -> np.ndarray:
@@ -203,7 +203,8 @@ def wide_links(prints: DataFrame, bits: int, max_bits: int, boxes: int, block: i
     a candidate if one of them is equal, and is followed from there as long as its
     differences stay within the proportional budget plus `slack`, then gets the full test.
     Of pairs that differ in a share p of the bits, about 1 - (1 - (1 - p) ** w) ** boxes
-    have an equal segment of width w (p 0.15, w 13, 25 boxes: 96 %)."""
+    have an equal segment of width w (p 0.15: 96 % with 25 boxes of
+    13 bits, 99.7 % with 30 of 10 or 11)."""
     per_word = boxes // (bits // BITS)
     ring = per_word * (bits // BITS)
 
@@ -256,24 +257,84 @@ def _chained(ring, starts, ends, seg, own, cross, max_bits, slack) -> tuple[np.n
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 5, boxes: int = 25, block: int = 4096,
+def verified_links(members: DataFrame, max_bits: int, similarity: float, block: int = 1024) -> DataFrame:
+    """(a, b): links between rows (component, node, fp, shingles: sorted distinct hashes) of one
+    component that connect them exactly as all pairs do that differ in at most `max_bits`
+    bits and have this Jaccard similarity of shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in runs(batches, ["component", "cell_a", "cell_b"]):
+            node, own = t["node"].to_numpy(), t["own_block"].to_numpy()
+            cross = t["cell_a"].to_numpy() != t["cell_b"].to_numpy()
+            words = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
+            column = t["shingles"].combine_chunks()
+            edges, values = column.offsets.to_numpy(), column.values.to_numpy()
+            sets = [values[x:y] for x, y in zip(edges, edges[1:])]
+            found = [pair for x, y in zip(starts.tolist(), ends.tolist()) for pair in _similar(words, sets, own, cross[x], x, y, max_bits, similarity)]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+    where = ["component", "cell_a", "cell_b"]
+    return (cells(members, ["component"], "node", block).repartition(*where).sortWithinPartitions(*where)
+            .select(*where, "node", "fp", "shingles", "own_block").mapInArrow(work, "a long, b long"))
+
+
+def _similar(words, sets, own, cross, start, end, max_bits, similarity) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of the rows from `start` to `end`: pairs that are
+    connected already are not looked at again."""
+    root, found = np.arange(start, end), []
+    for i in range(start, end):
+        ok = root[i - start + 1:] != root[i - start]
+        if cross:
+            ok &= own[i + 1:end] != own[i]
+        others = np.flatnonzero(ok) + i + 1
+        others = others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= max_bits]
+        for j in others.tolist():
+            if root[j - start] != root[i - start] and jaccard_at_least(sets[i], sets[j], similarity):
+                root[root == root[j - start]] = root[i - start]
+                found.append((i, j))
+    return found
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Of sorted distinct hashes."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 5, boxes: int = 30, block: int = 4096,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that of the smallest key (null last).
 
-    Near are texts whose fingerprints of 64 * `words` bits over `width`-word shingles differ
-    in no more bits than shingle sets of this Jaccard similarity do.  Texts without words
-    are one group; repeated rows are copies; all columns stay as they are."""
-    uid, mark = "_simhash_row", "_simhash_print"
+    Near are texts whose sets of `width`-word shingles have this Jaccard similarity or more, and
+    what such links connect.  Fingerprints of 64 * `words` bits over the sets only find the
+    candidates; the sets decide.  Texts without words are one group; repeated rows are copies;
+    all columns stay as they are."""
+    uid, mark, node = "_simhash_row", "_simhash_print", "_simhash_node"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = [wide_fingerprint(t, width, words) for t in raw(batch.column(text))]
-        return batch.append_column(pa.field(mark, pa.binary()), pa.array(prints, pa.binary()))
+        sets = [np.unique(shingle_hashes(t, width)) for t in raw(batch.column(text))]
+        prints, nodes = [wide_fingerprint(s, words) for s in sets], [xxhash.xxh3_64_intdigest(s.tobytes()) - 2 ** 63 for s in sets]
+        return batch.append_column(pa.field(mark, pa.binary()), pa.array(prints, pa.binary())).append_column(
+            pa.field(node, pa.int64()), pa.array(nodes, pa.int64()))
+
+    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in raw(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "node", "fp")), pa.array(sets, pa.list_(pa.int64()))],
+                                          ["component", "node", "fp", "shingles"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = cut(kernel(docs, work, f"{schema}, {mark} binary").withColumn(uid, F.monotonically_increasing_id()), "marked")
+    marked = cut(kernel(docs, work, f"{schema}, {mark} binary, {node} long").withColumn(uid, F.monotonically_increasing_id()), "marked")
     best = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), F.col(uid).alias("uid"))).alias("best")
-    classes = cut(marked.groupBy(F.xxhash64(mark).alias("node")).agg(F.first(mark).alias("fp"), best), "classes")
+    classes = cut(marked.groupBy(F.col(node).alias("node")).agg(F.first(mark).alias("fp"), best), "classes")
     bits = BITS * words
-    found = components(wide_links(classes, bits, most_bits(similarity, bits), boxes, block))
+    most = most_bits(similarity, bits)
+    near = components(wide_links(classes, bits, most, boxes, block)).withColumnRenamed("node", "_node")
+    near = classes.join(near, F.col("node") == F.col("_node")).select("component", "node", "fp", F.col("best.uid").alias("uid"))
+    near = near.join(marked.select(F.col(uid).alias("uid"), F.col(text).alias("text")), "uid").select("component", "node", "fp", "text")
+    members = cut(kernel(near, shingled, "component long, node long, fp binary, shingles array<long>"), "members")
+    found = components(verified_links(members, most, similarity))
     rooted = classes.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best"))
     return marked.join(rooted.select(F.col("best.uid").alias(uid)), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

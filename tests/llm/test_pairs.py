@@ -94,6 +94,26 @@ def test_stage_keeps_one_of_each_group(make_docs, corpus):
     assert S.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_stage_against_all_pairs(make_docs, block, monkeypatch):
+    """Groups around the limit: links are the pairs of similarity 0.8 or more, no others."""
+    monkeypatch.setattr(S.verified_links, "__defaults__", (block,))
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(120, 400)))]
+        for n in range(5):
+            own = list(base)
+            for at in rng.choice(len(base), int(len(base) * rng.choice([0.005, 0.015, 0.02, 0.023, 0.026, 0.03, 0.04])), replace=False):
+                own[at] = f"e{g}n{n}a{at}"
+            rows.append((5 * g + n, " ".join(own), "s"))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(range(len(rows)), 2) if i // 5 == j // 5}
+    assert sum(0.65 < x < 0.8 for x in share.values()) > 100 and sum(0.8 <= x < 0.85 for x in share.values()) > 20
+    root = roots(range(len(rows)), [p for p, x in share.items() if x >= 0.8])
+    assert sorted(r["doc_id"] for r in S.one_of_each(make_docs(rows)).collect()) == sorted(set(root.values()))
+
+
 def test_wide_links_split_hot_cells(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 63, 5, dtype=np.uint64)
