@@ -10,9 +10,11 @@ become slots.  Merging goes on iteratively: inside a task page by page, then ove
 tasks' wrappers of a host in salted shares, then over the shares, so that a task only
 ever holds one wrapper of each of its hosts.
 
-The wrapper tells where the main text is: the `article` or `main` group, else the group
-whose slots vary most.  A page is then matched with its host's wrapper, and the
-slots inside that group are its text.
+Pages of a host are told apart by layout: those with text in an `article` or `main`, and the
+others by the path of the group with most words; each layout has its wrapper.  The wrapper
+tells where the main text is: the `article` or `main` group, else the group whose slots vary
+most, with siblings that vary alike.  A page is then matched with its layout's wrapper, and
+the slots inside that group are its text; if there is none, the page's own best group is.
 """
 
 from __future__ import annotations
@@ -169,7 +171,8 @@ def _optional(x: list) -> list:
 
 def main_paths(wrapper: list) -> list[str]:
     """Paths (labels joined by "/") of the groups that hold the main text: every outermost
-    article or main; else the group outside asides whose own blocks' slots vary most."""
+    article or main with a text; else the group outside asides whose own blocks' slots vary
+    most, and its siblings with at least a quarter of that."""
     named: list[str] = []
     weigh: list[tuple[int, int, str]] = []
 
@@ -177,8 +180,6 @@ def main_paths(wrapper: list) -> list[str]:
         """(varying words, words) of all slots inside."""
         if x[0].endswith("!"):
             return 0, 0
-        if x[0] in MAIN:
-            named.append(path)
         varying = words = 0
         direct = [0, 0]
         for y in x[2]:
@@ -189,6 +190,8 @@ def main_paths(wrapper: list) -> list[str]:
             varying, words = varying + v, words + w
             if y[0] == "#" or not any(z[0] not in ("#", *INLINE) for z in y[2]):
                 direct = [direct[0] + v, direct[1] + w]
+        if x[0] in MAIN and words:
+            named.append(path)
         if x[0] not in INLINE and x[0] != "p":
             weigh.append((direct[0], direct[1], path))
         return varying, words
@@ -197,7 +200,15 @@ def main_paths(wrapper: list) -> list[str]:
     if named:
         return [p for p in named if not any(p.startswith(q + "/") for q in named)]
     best = max(weigh, key=lambda x: (x[0], x[1]), default=None)
-    return [best[2]] if best and best[1] else []
+    if not best or not best[1]:
+        return []
+    by, parent = 0 if best[0] else 1, best[2].rpartition("/")[0]
+    return list(dict.fromkeys([best[2], *(x[2] for x in weigh if parent and x[2].rpartition("/")[0] == parent and 4 * x[by] >= best[by])]))
+
+
+def layout_of(paths: list[str]) -> str:
+    """What pages of a host are told apart by, from a page's own main paths."""
+    return "main" if any(p.rpartition("/")[2] in MAIN for p in paths) else paths[0] if paths else ""
 
 
 def main_text(html: str, paths: list[str]) -> str:
@@ -239,11 +250,20 @@ def host_of(url: str = "url"):
 HELD_HOSTS = 2_000
 
 
+def site_of(host: str, paths: list[str]) -> str:
+    """Host and layout in one; a host has no space."""
+    return f"{host} {layout_of(paths)}"
+
+
 def wrappers(pages: DataFrame, shares: int = 32) -> DataFrame:
-    """(host, wrapper as JSON) inferred from all pages (host, html)."""
+    """(host, wrapper as JSON) inferred from all pages (host, html); a host comes with its layout."""
+
+    def one(host: str, text: str | None) -> tuple[str, list]:
+        w = wrapper_of(page_tree(text or ""))
+        return site_of(host, main_paths(w)), w
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _folded(((h, wrapper_of(page_tree(t or ""))) for b in batches for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        yield from _folded((one(h, t) for b in batches for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _folded(((h, json.loads(w)) for b in batches for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
@@ -275,7 +295,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(key, url, text, n_chars): one row per page, from its whole html.
 
     Null html is empty and has an empty text; pages without a host in their url (or
-    without url) share one wrapper; repeated rows stay; an empty table gives an empty table;
+    without url) count as one host; repeated rows stay; an empty table gives an empty table;
     other columns are not read."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
 
@@ -289,10 +309,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h or "", p or []) for h, p in zip(b.column("html").to_pylist(), b.column("paths").to_pylist())]
+            texts = [main_text(h or "", p or []) or main_text(h or "", own or [])
+                     for h, p, own in zip(*(b.column(c).to_pylist() for c in ("html", "paths", "own")))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              [key, url, "text", "n_chars"])
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [main_paths(wrapper_of(page_tree(h or ""))) for h in b.column("html").to_pylist()]
+            sites = [site_of(h, p) for h, p in zip(b.column("host").to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "url", "html")), pa.array(sites, pa.string()), pa.array(own, pa.list_(pa.string()))],
+                                             ["key", "url", "html", "host", "own"])
+
     kind = rows.schema["key"].dataType.simpleString()
-    joined = rows.join(found, "host").select("key", "url", "html", "paths")
+    placed = rows.mapInArrow(place, f"key {kind}, url string, html string, host string, own array<string>")
+    joined = placed.join(found, "host", "left").select("key", "url", "html", "paths", "own")
     return joined.mapInArrow(read, f"`{key}` {kind}, `{url}` string, text string, n_chars long")

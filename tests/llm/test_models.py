@@ -187,6 +187,19 @@ def test_pages(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("url", ["http://mixed.example/{0}", None])
+def test_layouts_of_one_host(spark, url):
+    article = "<body><div>nav of the site</div><article><h1>Head {0}</h1><p>Article text number {0}.</p></article></body>"
+    story = "<body><div>nav of the site</div><section><div class=story><p>Story number {0} is here.</p><p>More of it, {0} times.</p></div></section></body>"
+    table = "<body><table><tr><td><p>Cell number {0} says much.</p></td></tr></table></body>"
+    pair = "<body><div><div><p>One part {0} of two.</p></div><section><p>Other part {0} of two.</p></section></div></body>"
+    want = ["Head {0}\nArticle text number {0}.", "Story number {0} is here.\nMore of it, {0} times.", "Cell number {0} says much.",
+            "One part {0} of two.\nOther part {0} of two."]
+    rows = [(10 * i + n, url and url.format(10 * i + n), h.format(10 * i + n)) for i in range(6) for n, h in enumerate((article, story, table, pair))]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want[i % 10].format(i) for i, _, _ in rows}
+
+
 def test_alignment():
     def w(h):
         return H.wrapper_of(H.page_tree(h))
