@@ -42,8 +42,13 @@ SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 
 #: Elements that never hold main text, and words of class names, ids and roles that say so.
 ASIDE = frozenset("head nav header footer aside form button select option input dialog menu".split())
-ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|menu|nav\w*|"
-                         r"breadcrumbs?|sidebar|side|header|footer|comments?|disqus|repl(?:y|ies)|share|social|related|widget|login|search|copyright)(?:$|[\s_-])", re.I)
+ASIDE_NAME = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|menu|nav\w*|"
+              r"breadcrumbs?|sidebar|side|header|footer|comments?|disqus|repl(?:y|ies)|share|social|related|widget|login|search|copyright)")
+#: Parts a whole token may have besides.
+PLAIN = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|list|bar|box|block|container|wrapper|section|area|inner|buttons?|links?|form)"
+ASIDE_NAMES = re.compile(rf"(?:{PLAIN}[_-])*{ASIDE_NAME}(?:[_-](?:{ASIDE_NAME}|{PLAIN}))*", re.I)
+#: Elements that names say nothing about.
+NAMELESS = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 MAIN = ("article", "main")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -57,7 +62,9 @@ DEEPEST = 60
 
 def page_tree(html: str) -> list:
     """['#root', items]: an item is a text, or [label, items, is_block].  The label is the tag
-    name, marked with "!" if tag, class, id or role say that it is no main text."""
+    name, marked with "!" if tag, or a whole class, id or role, say that it is no main text.
+    Names do not count on NAMELESS elements, on what holds the page's only articles, nor on
+    what holds the page's whole text."""
     root: list = ["#root", [], True]
     stack, names = [root], ["#root"]
     at = 0
@@ -79,7 +86,8 @@ def page_tree(html: str) -> list:
                 _close(stack, names, "p", ("table", "td", "th", "button", "object"))
             for other in SELF_CLOSING.get(name, ()):
                 _close(stack, names, other, ("ul", "ol", "dl", "table", "select"))
-            aside = name in ASIDE or any(ASIDE_NAMES.search(" ".join(filter(None, n))) for n in NAMES.findall(attributes or ""))
+            aside = name in ASIDE or name not in NAMELESS and any(
+                ASIDE_NAMES.fullmatch(token) for n in NAMES.findall(attributes or "") for x in n for token in x.split())
             node = [name + "!" * aside, [], name not in INLINE]
             stack[-1][1].append(node)
             if name not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
@@ -87,9 +95,51 @@ def page_tree(html: str) -> list:
                 names.append(name)
         elif close:
             _close(stack, names, close.lower(), ())
+    if "!" in "".join(x[0] for x in _nodes(root, True)):
+        _lift(root)
     return root
 
 
+def _nodes(top: list, asides: bool) -> Iterator[list]:
+    """The elements below `top`, with or without those in and of asides."""
+    for x in top[1]:
+        if not isinstance(x, str) and (asides or not x[0].endswith("!")):
+            yield x
+            yield from _nodes(x, asides)
+
+
+def _words(node: list, asides: bool = False) -> bool:
+    """Whether there is a word in it; outside asides, if not told else."""
+    return any(isinstance(y, str) and y.split() for x in (node, *_nodes(node, asides)) for y in x[1])
+
+
+def _lift(root: list) -> None:
+    """Take back marks by name that leave the page without its articles or without a text."""
+    if not any(x[0] in MAIN and _words(x) for x in _nodes(root, False)):
+        _holders(root)
+    while not _words(root):
+        outer = [x for y in (root, *_nodes(root, False)) for x in y[1] if not isinstance(x, str) and _by_name(x) and _words(x, True)]
+        if not outer:
+            break
+        for x in outer:
+            x[0] = x[0][:-1]
+
+
+def _by_name(node: list) -> bool:
+    return node[0].endswith("!") and node[0][:-1] not in ASIDE
+
+
+def _holders(node: list) -> bool:
+    """Whether it is or holds an article or main with a text; marks by name above one are taken back."""
+    found = node[0] in MAIN and _words(node)
+    for x in node[1]:
+        if not isinstance(x, str) and (_by_name(x) or not x[0].endswith("!")) and _holders(x):
+            found = True
+    if found and _by_name(node):
+        node[0] = node[0][:-1]
+    return found
+
+
 def _close(stack: list, names: list, name: str, barrier: tuple) -> None:
     for i in range(len(names) - 1, 0, -1):
         if names[i] == name:

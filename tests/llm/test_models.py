@@ -200,6 +200,24 @@ def test_layouts_of_one_host(spark, url):
     assert got == {i: want[i % 10].format(i) for i, _, _ in rows}
 
 
+NAMED = {
+    '<body class="has-sidebar"><article><p>Text {0}.</p></article><div class="sidebar">s</div></body>': "Text {0}.",
+    '<body class="search" id="header"><div id="page" class="header-fixed"><article class="post has-comments"><p>Text {0}.</p></article></div></body>': "Text {0}.",
+    '<body><div class="page header"><main class="alert"><p>Text {0}.</p></main></div><div class="copyright">c {0}</div></body>': "Text {0}.",
+    '<body><div id="search"><div><p>Only text {0}.</p></div></div></body>': "Only text {0}.",
+    '<body><article><h2 id="related-work">Related {0}</h2><section id="search-trees"><p id="side">Trees {0}</p></section>'
+    '<div id="side-effects"><p class="alert">Effects {0}</p></div><h3 class="notice">End</h3><div class="ad">Buy</div>'
+    '<div class="share-buttons">Share</div></article><div id="comments"><article>reader {0}</article></div></body>':
+        "Related {0}\nTrees {0}\nEffects {0}\nEnd",
+}
+
+
+def test_names_that_are_no_asides(spark):
+    rows = [(10 * i + n, f"http://named{n}.example/", h.format(10 * i + n)) for i in range(4) for n, h in enumerate(NAMED)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: list(NAMED.values())[i % 10].format(i) for i, _, _ in rows}
+
+
 def test_alignment():
     def w(h):
         return H.wrapper_of(H.page_tree(h))
