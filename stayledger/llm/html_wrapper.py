@@ -56,7 +56,8 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 #: White space of a text: that of HTML, and the fixed space.
 SPACE = re.compile(r"[\s ]+")
 
-#: Elements nested deeper than this are read as part of the one above.
+#: Elements nested deeper than this are read as part of the one at this depth, each with its own
+#: end and break; asides, articles and mains stay apart at any depth.
 DEEPEST = 60
 
 
@@ -90,8 +91,10 @@ def page_tree(html: str) -> list:
                 ASIDE_NAMES.fullmatch(token) for n in NAMES.findall(attributes or "") for x in n for token in x.split())
             node = [name + "!" * aside, [], name not in INLINE]
             stack[-1][1].append(node)
-            if name not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
-                stack.append(node)
+            if name not in VOID and not attributes.endswith("/"):
+                above = stack[-1][0]
+                apart = aside and not above.endswith("!") or name in MAIN and not above.endswith("!") and above not in MAIN
+                stack.append(node if len(stack) < DEEPEST or apart else stack[-1])
                 names.append(name)
         elif close:
             _close(stack, names, close.lower(), ())
@@ -143,6 +146,8 @@ def _holders(node: list) -> bool:
 def _close(stack: list, names: list, name: str, barrier: tuple) -> None:
     for i in range(len(names) - 1, 0, -1):
         if names[i] == name:
+            if stack[i] is stack[i - 1] and any(n not in INLINE for n in names[i:]):
+                stack[i][1].append(["div", [], True])  # where a block ends that is not a node
             del stack[i:], names[i:]
             return
         if names[i] in barrier:

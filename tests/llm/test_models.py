@@ -218,6 +218,16 @@ def test_names_that_are_no_asides(spark):
     assert got == {i: list(NAMED.values())[i % 10].format(i) for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("deep", [50, 58, 70, 3000])
+def test_text_after_deep_nesting(spark, deep):
+    inner = "<div>" * deep + "<p>deep {0}</p>own<nav>menu</nav> more" + "</div>" * deep
+    page = f"<body><div><article><p>first</p>{inner}<p>rest {{0}}</p></article></div><div>foot</div></body>"
+    low = "<div>" * deep + "<div>side</div><article><p>low {0}</p></article><div>foot</div>" + "</div>" * deep
+    rows = [(i, "http://deep.example/", page.format(i)) for i in range(3)] + [(9, "http://low.example/", low.format(9))]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"first\ndeep {i}\nown more\nrest {i}" for i in range(3)} | {9: "low 9"}
+
+
 def test_alignment():
     def w(h):
         return H.wrapper_of(H.page_tree(h))
