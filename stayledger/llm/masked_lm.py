@@ -2,11 +2,14 @@
 
 Every word is predicted from the words on both of its sides:
     h = tanh(sum over offsets k of E_k[word at k] + b)
-    p(word) = softmax(h Wc + bc)[class] * softmax(h U + B[class])[member]
+    p(word) = softmax(h Wc + bc)[class] * softmax(h U + B[class])[member] * P(word | entry)
 A document's score is the sum of the logarithms of these conditionals.
 
-The vocabulary comes from word counts over the whole corpus; other words share hashed
-entries.  Training reads the whole corpus too: from one common start, which is the
+The network's entries come from word counts over the whole corpus: frequent words have their
+own, where P(word | entry) is 1; the others share hashed entries, and their P is that of the
+word among all counted words of its entry.  The table of counts is as large as the corpus
+makes it and stays in Spark; words it does not have share what Witten-Bell smoothing leaves
+an entry, spelled in bytes.  Training reads the whole corpus too: from one common start, which is the
 unigram model of the counts, every partition trains a network in numpy on its own words,
 and the networks' steps are averaged, weighted by words.  The averages are summed in
 integers, so they don't depend on the order in which partitions end.
@@ -14,6 +17,7 @@ integers, so they don't depend on the order in which partitions end.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.shared import cut
 from .common import kernel, raw
@@ -195,9 +199,14 @@ def _entries(texts: list[bytes], vocabulary: Vocabulary, shape: Shape) -> tuple[
 
 @dataclass(frozen=True)
 class Model:
+    """`rare`: (word, log_share) of the words that share entries; `unseen`: the logarithm of what
+    each shared entry leaves to words that were not counted."""
+
     shape: Shape
     words: list[bytes]
     flat: np.ndarray
+    rare: DataFrame
+    unseen: list[float]
 
 
 def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
@@ -208,7 +217,12 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     top = counts.orderBy(F.col("n").desc(), "word").limit(shape.frequent).collect()
     words = [bytes(r["word"]) for r in top]
     rest = counts.join(spark.createDataFrame([(w,) for w in words], "word binary"), "word", "left_anti")
-    hashed = {r["h"]: r["n"] for r in rest.groupBy((F.crc32("word") % shape.hashed).alias("h")).agg(F.sum("n").alias("n")).collect()}
+    entry = F.crc32("word") % shape.hashed
+    rows = rest.groupBy(entry.alias("h")).agg(F.sum("n").alias("n"), F.count("n").alias("kinds")).collect()
+    hashed, kinds = {r["h"]: r["n"] for r in rows}, {r["h"]: r["kinds"] for r in rows}
+    whole = [hashed.get(h, 0) + kinds.get(h, 0) + 1 for h in range(shape.hashed)]
+    unseen = [math.log((kinds.get(h, 0) + 1) / n) for h, n in enumerate(whole)]
+    rare = rest.select("word", (F.log("n") - F.log(_of_entry(list(map(float, whole)), entry))).alias("log_share"))
     of_entries = np.zeros(shape.entries)
     of_entries[:len(top)] = [r["n"] for r in top]
     of_entries[shape.frequent:] = [hashed.get(h, 0) for h in range(shape.hashed)]
@@ -237,7 +251,11 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     flat = start.astype(np.float64)
     for r in moves.repartition("piece").mapInArrow(_summed, "piece int, weight long, moved array<long>").collect():
         flat[r["piece"] * PIECE:][:len(r["moved"])] += np.array(r["moved"], np.float64) / r["weight"] / SCALE
-    return Model(shape, words, flat.astype(np.float32))
+    return Model(shape, words, flat.astype(np.float32), rare, unseen)
+
+
+def _of_entry(values: list[float], entry: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), entry.cast("int") + 1)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,20 +277,37 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, n_tokens, log_prob, mean_log_prob): one row per document, from its whole text.
 
     Null and wordless texts have 0 tokens, log_prob 0 and a null mean; repeated rows get
-    equal scores but for rounding; an empty table gives an empty table."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    equal scores but for rounding; an empty table gives an empty table.  The network's part is
+    written with each document's words of shared entries; these meet the word counts in Spark."""
+    given = docs.sparkSession.sparkContext.broadcast((model.shape, model.words, model.flat))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = given.value
-        net, shape = Network(model.shape, model.flat), model.shape
-        ids, sizes = _entries(raw(batch.column(1)), Vocabulary(model.words, shape), shape)
+        shape, words, flat = given.value
+        net, vocabulary, texts = Network(shape, flat), Vocabulary(words, shape), raw(batch.column(1))
+        ids, sizes = _entries(texts, vocabulary, shape)
         logs = [net.log_prob(ids[at:at + shape.batch + 2 * REACH]) for at in range(0, len(ids) - 2 * REACH, shape.batch)]
         sums = np.r_[0.0, np.cumsum(np.concatenate(logs) if logs else np.zeros(0))]
-        ends = np.cumsum(sizes + REACH) - REACH
-        total = sums[ends] - sums[ends - sizes]
-        mean = np.divide(total, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=sizes == 0)],
-                                          [key, "n_tokens", "log_prob", "mean_log_prob"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return kernel(docs.select(key, text), work, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+        last = np.cumsum(sizes + REACH) - REACH
+        total = sums[last] - sums[last - sizes]
+        found, times, ends = [], [], [0]
+        for content in texts:
+            own = Counter(w for w in content.lower().split() if vocabulary[w] >= shape.frequent)
+            found += own.keys()
+            times += own.values()
+            ends.append(len(found))
+        pairs = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), rare], ["row", "n_tokens", "log_prob", "rare"])
+
+    row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    scored = cut(kernel(rows, work, f"row {kind}, n_tokens long, log_prob double, rare array<struct<word: binary, times: long>>"), "scored")
+    used = scored.select(F.col("row.n").alias("n"), F.explode("rare").alias("r")).select("n", "r.word", "r.times")
+    spelled = _of_entry(model.unseen, F.crc32("word") % model.shape.hashed) - (F.length("word") + 1) * math.log(257)
+    part = F.round(F.col("times") * F.coalesce("log_share", spelled) * SCALE).cast("long")  # whole numbers: no order of adding matters
+    shares = used.join(model.rare, "word", "left").groupBy("n").agg(F.sum(part).alias("part"))
+    total = F.col("log_prob") + F.coalesce("part", F.lit(0)) / SCALE
+    return (scored.select("row", F.col("row.n").alias("n"), "n_tokens", "log_prob").join(shares, "n", "left")
+            .select(F.col("row.key").alias(key), "n_tokens", total.alias("log_prob"),
+                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")))

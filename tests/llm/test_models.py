@@ -82,6 +82,23 @@ def test_scores(make_docs):
     assert np.array_equal(L.fit(docs, SMALL).flat, model.flat)
 
 
+def test_rare_words_have_their_own_probability(make_docs):
+    frequent = " ".join(f"f{i} " * 40 for i in range(SMALL.frequent))
+    rare = " ".join(f"r{i} " * (1 + i % 12) for i in range(600))
+    docs = make_docs([(1, frequent, "s"), (2, rare, "s")])
+    model = L.fit(docs, SMALL)
+    share = {bytes(r["word"]): math.exp(r["log_share"]) for r in model.rare.collect()}
+    assert len(share) == 600
+    total = [math.exp(x) for x in model.unseen]
+    for w, p in share.items():
+        total[zlib.crc32(w) % SMALL.hashed] += p
+    assert total == pytest.approx([1.0] * SMALL.hashed)
+    often, once = (next(w for w in (f"r{i}" for i in range(n, 600, 12)) if zlib.crc32(w.encode()) % SMALL.hashed == 3) for n in (11, 0))
+    unseen = next(w for w in (f"q{i}" for i in range(999)) if zlib.crc32(w.encode()) % SMALL.hashed == 3)
+    got = {r["doc_id"]: r["log_prob"] for r in L.score(make_docs([(n, w, "s") for n, w in enumerate((often, once, unseen))]), model).collect()}
+    assert got[0] - got[1] == pytest.approx(math.log(12), abs=1e-3) and got[1] - got[2] > 5
+
+
 def test_scores_of_nothing(make_docs):
     docs = make_docs([])
     assert L.score(docs, L.fit(docs, SMALL)).count() == 0
