@@ -63,4 +63,19 @@ WITH b AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replac
 t AS (SELECT page_id, string_agg(block, chr(10) ORDER BY i) AS text FROM b WHERE block <> '' GROUP BY page_id)
 SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN t USING (page_id)"""
 
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op2_source_mix": MIX, "op5_quality_rules": QUALITY, "op6_html_extraction": PAGES}
+SEARCH = f"""
+WITH t AS (SELECT n, doc_id, unnest(ts) AS term, len(ts) AS n_terms FROM (SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all({_LOWER.format('text')}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS ts FROM documents) q),
+c AS (SELECT count(DISTINCT n) AS docs, count(*) AS terms FROM t),
+f AS (SELECT term, count(DISTINCT n) AS df FROM t GROUP BY term),
+tf AS (SELECT n, doc_id, term, n_terms, count(*) AS tf FROM t GROUP BY ALL),
+i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM benchmark),
+a AS (SELECT item_id, term, count(*) AS asked FROM i GROUP BY ALL),
+s AS (SELECT item_id, n, doc_id, CAST(sum(asked * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n_terms * docs) // terms))))) AS BIGINT) AS score
+  FROM a JOIN tf USING (term) JOIN f USING (term), c GROUP BY item_id, n, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) q WHERE rank <= 20"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op2_source_mix": MIX, "op5_quality_rules": QUALITY, "op6_html_extraction": PAGES,
+                           "op13_ranked_search": SEARCH}

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe_automaton, embedding_dedup, html_wrapper, line_frequency, line_runs, masked_lm, ordinal_quality, simhash, source_mix,
-               toxicity)
+from . import (bpe_automaton, dual_tree, embedding_dedup, html_wrapper, line_frequency, line_runs, masked_lm, ordinal_quality, pii_anchors, simhash,
+               source_mix, token_alignment, toxicity)
 from .common import table
 from .oracles import ORACLES
 
@@ -60,7 +60,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade(docs, ordinal_quality.fit(docs, ratings))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_anchors.digest(pii_anchors.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules,
-                                   op6_html_extraction, op7_toxicity, op8_line_dedup, op9_bpe_automaton, op10_quality_classifier)}
+                                   op6_html_extraction, op7_toxicity, op8_line_dedup, op9_bpe_automaton, op10_quality_classifier,
+                                   op11_token_alignment, op12_pii_anchors, op13_ranked_search)}
 
 __all__ = ["ORACLES", "QUERIES"]
