@@ -33,6 +33,10 @@ from ..plans.shared import cut
 #: HTML's own sets of elements (fixed values of the format).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+#: Raw elements that reach to the end of the page if nothing ends them; of the others, only the tag is left out then.
+ENDLESS = frozenset("script style textarea title".split())
+#: What a head may hold; anything else ends it, with or without its end tag.
+HEAD = frozenset("base basefont bgsound link meta head html".split()) | RAW
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -45,14 +49,20 @@ ASIDE = frozenset("head nav header footer aside form button select option input
 ASIDE_NAME = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|menu|nav\w*|"
               r"breadcrumbs?|sidebar|side|header|footer|comments?|disqus|repl(?:y|ies)|share|social|related|widget|login|search|copyright)")
 #: Parts a whole token may have besides.
-PLAIN = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|list|bar|box|block|container|wrapper|section|area|inner|buttons?|links?|form)"
+PLAIN = (r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|list|bar|box|block|container|wrapper|section|area|inner|buttons?|links?|form|"
+         r"slot|unit|space|zone|tools?|toolbar|items?|thread|holder|outer|icons?|count)")
 ASIDE_NAMES = re.compile(rf"(?:{PLAIN}[_-])*{ASIDE_NAME}(?:[_-](?:{ASIDE_NAME}|{PLAIN}))*", re.I)
+#: Words that say so as any part of a class name, unless the name tells a state ("has-comments").
+ASIDE_PART = re.compile(r"comments?(?:list|form|area|box|body|thread|section|wrap|item)?|disqus\w*|advert\w*|ads(?:by\w+|ense)|ad(?:slot|box|unit)s?|"
+                        r"sponsor(?:ed|s|ship)?|promos?|newsletters?|subscribe|breadcrumbs?|shar(?:e|ing)(?:bar|box|links|tools)?|social|cookies?|consent|popup|modal|sidebar", re.I)
+STATES = frozenset("has no with without is show hide not".split())
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 #: Elements that names say nothing about.
 NAMELESS = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 MAIN = ("article", "main")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|([^<]+|<)", re.S)
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: White space of a text: that of HTML, and the fixed space.
 SPACE = re.compile(r"[\s ]+")
 
@@ -63,7 +73,7 @@ DEEPEST = 60
 
 def page_tree(html: str) -> list:
     """['#root', items]: an item is a text, or [label, items, is_block].  The label is the tag
-    name, marked with "!" if tag, or a whole class, id or role, say that it is no main text.
+    name, marked with "!" if tag, class, id or role say that it is no main text.
     Names do not count on NAMELESS elements, on what holds the page's only articles, nor on
     what holds the page's whole text."""
     root: list = ["#root", [], True]
@@ -76,19 +86,23 @@ def page_tree(html: str) -> list:
         at = found.end()
         close, name, attributes, text = found.groups()
         if text is not None:
+            if names[-1] == "head" and text.split():
+                _close(stack, names, "head", ())
             stack[-1][1].append(text)
         elif name:
             name = name.lower()
+            if names[-1] == "head" and name not in HEAD:
+                _close(stack, names, "head", ())
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                if not attributes.endswith("/"):
+                    end = RAW_ENDS[name].search(html, at)
+                    at = end.end() if end else len(html) if name in ENDLESS else at
                 continue
             if name in CLOSES_P and "p" in names:
                 _close(stack, names, "p", ("table", "td", "th", "button", "object"))
             for other in SELF_CLOSING.get(name, ()):
                 _close(stack, names, other, ("ul", "ol", "dl", "table", "select"))
-            aside = name in ASIDE or name not in NAMELESS and any(
-                ASIDE_NAMES.fullmatch(token) for n in NAMES.findall(attributes or "") for x in n for token in x.split())
+            aside = name in ASIDE or name not in NAMELESS and _named_aside(attributes)
             node = [name + "!" * aside, [], name not in INLINE]
             stack[-1][1].append(node)
             if name not in VOID and not attributes.endswith("/"):
@@ -103,6 +117,22 @@ def page_tree(html: str) -> list:
     return root
 
 
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+def _named_aside(attributes: str) -> bool:
+    """Whether a class, id or role is an aside's name as a whole, or a class in one of its parts."""
+    for kind, *values in NAMES.findall(attributes):
+        for token in "".join(values).split():
+            if ASIDE_NAMES.fullmatch(token):
+                return True
+            if kind.lower() == "class":
+                parts = PARTS.split(token)
+                if any(map(ASIDE_PART.fullmatch, parts)) and STATES.isdisjoint(x.lower() for x in parts):
+                    return True
+    return False
+
+
 def _nodes(top: list, asides: bool) -> Iterator[list]:
     """The elements below `top`, with or without those in and of asides."""
     for x in top[1]:
@@ -267,7 +297,7 @@ def layout_of(paths: list[str]) -> str:
 
 
 def main_text(html: str, paths: list[str]) -> str:
-    """Blocks of the groups at `paths`, in page order, joined by a newline."""
+    """Blocks of the groups at `paths`, in page order, with an empty line between them."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -294,7 +324,7 @@ def main_text(html: str, paths: list[str]) -> str:
 
     visit(page_tree(html), "#root", False)
     flush()
-    return "\n".join(blocks)
+    return "\n\n".join(blocks)
 
 
 def host_of(url: str = "url"):

@@ -60,7 +60,7 @@ WITH b AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replac
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM (
   SELECT page_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM (
     SELECT page_id, string_split_regex(replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<br>', ' '), '</?(?:p|h1)[^>]*>') AS parts FROM pages) q) q2),
-t AS (SELECT page_id, string_agg(block, chr(10) ORDER BY i) AS text FROM b WHERE block <> '' GROUP BY page_id)
+t AS (SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY i) AS text FROM b WHERE block <> '' GROUP BY page_id)
 SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN t USING (page_id)"""
 
 SEARCH = f"""

@@ -181,7 +181,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T %d</title><style>p{x:1}</style><sc
  split <b>bold</b> text<br>next line<p>Unclosed &lt;b&gt; &#233;&hellip;</p><ul><li>one %d<li>two</ul><div class="ad">Buy %d</div>
 <table><tr><td>c1<td>c2 %d</table><form><p>Your name</p></form><blockquote><p>quote %d</p></blockquote></article>
 <aside>more</aside><section id="comments"><p>reader %d</p></section><footer>foot %d</footer></body></html>"""
-WANT = "Head %d & more\nFirst para %d, split bold text next line\nUnclosed <b> é…\none %d\ntwo\nc1\nc2 %d\nquote %d"
+WANT = "Head %d & more\n\nFirst para %d, split bold text next line\n\nUnclosed <b> é…\n\none %d\n\ntwo\n\nc1\n\nc2 %d\n\nquote %d"
 
 
 def test_pages(spark):
@@ -198,7 +198,7 @@ def test_pages(spark):
     for i in range(12):
         assert text[i] == WANT.replace("%d", str(i))
     for i in range(6):
-        assert text[100 + i] == f"Text number {i} is here.\nMore of it, {i} times."
+        assert text[100 + i] == f"Text number {i} is here.\n\nMore of it, {i} times."
     assert text[200] == text[203] == "" and text[201] == "Just a text" and text[202] == "no tags < 5 & more"
     assert text[204] == "deep" and len(text[205]) == 60_000 * 5 - 1
     assert H.extract(df.limit(0)).count() == 0
@@ -210,8 +210,8 @@ def test_layouts_of_one_host(spark, url):
     story = "<body><div>nav of the site</div><section><div class=story><p>Story number {0} is here.</p><p>More of it, {0} times.</p></div></section></body>"
     table = "<body><table><tr><td><p>Cell number {0} says much.</p></td></tr></table></body>"
     pair = "<body><div><div><p>One part {0} of two.</p></div><section><p>Other part {0} of two.</p></section></div></body>"
-    want = ["Head {0}\nArticle text number {0}.", "Story number {0} is here.\nMore of it, {0} times.", "Cell number {0} says much.",
-            "One part {0} of two.\nOther part {0} of two."]
+    want = ["Head {0}\n\nArticle text number {0}.", "Story number {0} is here.\n\nMore of it, {0} times.", "Cell number {0} says much.",
+            "One part {0} of two.\n\nOther part {0} of two."]
     rows = [(10 * i + n, url and url.format(10 * i + n), h.format(10 * i + n)) for i in range(6) for n, h in enumerate((article, story, table, pair))]
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: want[i % 10].format(i) for i, _, _ in rows}
@@ -225,7 +225,7 @@ NAMED = {
     '<body><article><h2 id="related-work">Related {0}</h2><section id="search-trees"><p id="side">Trees {0}</p></section>'
     '<div id="side-effects"><p class="alert">Effects {0}</p></div><h3 class="notice">End</h3><div class="ad">Buy</div>'
     '<div class="share-buttons">Share</div></article><div id="comments"><article>reader {0}</article></div></body>':
-        "Related {0}\nTrees {0}\nEffects {0}\nEnd",
+        "Related {0}\n\nTrees {0}\n\nEffects {0}\n\nEnd",
 }
 
 
@@ -242,7 +242,7 @@ def test_text_after_deep_nesting(spark, deep):
     low = "<div>" * deep + "<div>side</div><article><p>low {0}</p></article><div>foot</div>" + "</div>" * deep
     rows = [(i, "http://deep.example/", page.format(i)) for i in range(3)] + [(9, "http://low.example/", low.format(9))]
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"first\ndeep {i}\nown more\nrest {i}" for i in range(3)} | {9: "low 9"}
+    assert got == {i: f"first\n\ndeep {i}\n\nown more\n\nrest {i}" for i in range(3)} | {9: "low 9"}
 
 
 def test_alignment():
@@ -267,4 +267,25 @@ def test_against_plain_patterns(spark):
     for r in pages.collect():
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
-        assert got[r["page_id"]] == "\n".join(filter(None, blocks))
+        assert got[r["page_id"]] == "\n\n".join(filter(None, blocks))
+
+
+ODD_PAGES = [
+    ("<html><head><title>t</title><meta charset=utf-8><body><article><p>open head {0}</p></article></body>", "open head {0}"),
+    ("<head><link rel=x href=y>just text {0}", "just text {0}"),
+    ("<article><svg/><object/><p>after drawings {0}</p></article>", "after drawings {0}"),
+    ("<article><svg><path d=1><p>unended {0}</p></article>", "unended {0}"),
+    ("<article><script src=a.js></script><p data-x=it's>it is {0}</p><p title=\"a > b\">x</p></article>", "it is {0}\n\nx"),
+    ("<article><p>story {0}</p><div class=comment-body><p>me too</p></div><ul><li class=comments-list-item>first</li></ul><ins class=adsbygoogle>Buy</ins>"
+     "<div class='box ad-slot'>Buy</div><div class=article-share-tools>Share</div><div class=has-comments>kept</div></article>", "story {0}\n\nkept"),
+    ("<body><div id=wrap><div class=story><p>short {0}</p></div><ol class=commentlist><li>a reader says {0} this and</li><li>that {0} and more</li></ol></div></body>",
+     "short {0}"),
+    ("<body class=has-sidebar><div class=content-with-sidebar><section id=market-share><p>share {0} of it</p></section></div></body>", "share {0} of it")]
+
+
+def test_odd_pages_in_any_partitioning(spark):
+    rows = [(100 * i + n, f"http://odd{n}.example/{i}", page.format(i)) for i in range(7) for n, (page, _) in enumerate(ODD_PAGES)]
+    want = {100 * i + n: text.format(i) for i in range(7) for n, (_, text) in enumerate(ODD_PAGES)}
+    for parts in (1, 7, 50):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r["page_id"]: r["text"] for r in H.extract(df).collect()} == want, parts
