@@ -39,9 +39,11 @@ def note_entries(text: Column, settings: Settings) -> Column:
 
 
 def mention_bound(text: Column, settings: Settings) -> Column:
-    """Upper bound of the mentions in a text: its entries with a venue, of two days at most."""
-    said = F.filter(note_entries(text, settings), lambda e: has_venue(e, settings))
-    return F.coalesce(F.size(said), F.lit(0)) * 2
+    """Upper bound of the mentions in a text: every entry with a venue has one of its words
+    for itself, and two days at most."""
+    low = F.lower(text)
+    words = [(F.length(low) - F.length(F.replace(low, F.lit(k.lower()), F.lit("")))) / len(k.lower()) for k, _ in settings.venues]
+    return (2 * F.coalesce(sum(words, F.lit(0)), F.lit(0))).cast("int")
 
 
 def time_token(c: Column) -> Column:

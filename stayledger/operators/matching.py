@@ -21,8 +21,8 @@ from ..functions import text as T
 from ..settings import Settings
 from ..plans.shared import cut
 from .hints import hinted_units
-from .names import block_of, score_names
-from .stays import CLASS, occupancy, occupied_spans
+from .names import score_names
+from .stays import CLASS, OCCUPIED, occupancy, occupied_spans, on_nights, top_level, under_nodes
 
 SET = ["booking_name", "night"]
 
@@ -35,7 +35,11 @@ class Matching:
     bookings: DataFrame
     mentions: Callable[[], DataFrame]
     settings: Settings
-    classes: DataFrame
+    stay_classes: Callable[[], DataFrame]
+
+    @property
+    def classes(self) -> DataFrame:
+        return self.stay_classes()
 
     @cached_property
     def wanted(self) -> DataFrame:
@@ -43,7 +47,7 @@ class Matching:
 
     @cached_property
     def name_scores(self) -> DataFrame:
-        return cut(score_names(*present_names(self.classes, self.wanted), self.settings), "name_scores")
+        return cut(score_names(*present_spans(self.stays, self.wanted), self.settings), "name_scores")
 
     @cached_property
     def all_candidates(self) -> DataFrame:
@@ -77,26 +81,29 @@ def wanted_sets(bookings: DataFrame) -> DataFrame:
     return eligible(bookings).select("booking_name", F.col("booking_day").alias("night")).distinct()
 
 
-def present_names(classes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (stay_name, block) and (booking_name, block): who is there in which block of days."""
-    blocks = F.explode(F.sequence(block_of(F.col("from_day")), block_of(F.col("to_day"))))
-    stays = occupied_spans(classes, wanted).select(F.col("name_key").alias("stay_name"), blocks.alias("block"))
-    return stays.distinct(), wanted.select("booking_name", block_of(F.col("night")).alias("block")).distinct()
+def present_spans(stays: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of nights of every stay name and of every booking name."""
+    spans = occupied_spans(stays, wanted).select(F.col("name_key").alias("name"), "from_day", "to_day")
+    return spans, wanted.select(F.col("booking_name").alias("name"), F.col("night").alias("from_day"), F.col("night").alias("to_day"))
 
 
 def candidate_names(classes: DataFrame, wanted: DataFrame, name_scores: DataFrame) -> DataFrame:
     """J1 + J2: per (booking name, day) the stay names in house with their counts.
 
-    A full name means few stay names, so its days are looked up one by one.  A bare
-    surname can mean very many; it starts from the nights that really are occupied, which
-    keeps (days of the surname) x (names it can mean) from being spelled out.
+    Days meet the nodes of stays by equality, so the length of a stay does not count.  A full
+    name means few stay names, so its days are looked up one by one.  A bare surname can mean
+    very many; it starts from the nodes that really are occupied, which keeps (days of the
+    surname) x (names it can mean) from being spelled out.
     """
     meant = name_scores.select(F.col("stay_name").alias("name_key")).distinct()
-    nightly = occupancy(classes.join(meant, "name_key", "left_semi"), wanted).withColumnRenamed("name_key", "stay_name")
+    known = classes.join(meant, "name_key", "left_semi")
+    nodes = occupancy(known, wanted).withColumnRenamed("name_key", "stay_name")
+    under = under_nodes(wanted, top_level(occupied_spans(classes, wanted)))
     bare = T.is_bare(F.col("booking_name"))
-    by_day = wanted.join(name_scores.where(~bare), "booking_name").join(nightly, ["stay_name", "night"])
-    by_night = name_scores.where(bare).join(nightly, "stay_name").join(wanted, SET)
-    return by_day.unionByName(by_night)
+    columns = [*SET, "stay_name", "score", *OCCUPIED]
+    by_day = under.join(name_scores.where(~bare), "booking_name").join(nodes, ["stay_name", "node"]).select(*columns)
+    by_node = name_scores.where(bare).join(nodes, "stay_name").join(under, ["booking_name", "node"]).select(*columns)
+    return on_nights(by_day.unionByName(by_node), [*SET, "stay_name", "score"])
 
 
 def rank_sets(candidates: DataFrame, settings: Settings) -> DataFrame:

@@ -1,13 +1,16 @@
 """Which booking names can mean which stay names, and how well.
 
-Works on the distinct names of both sides within blocks of days, because a name can only
-mean another if both are there on one day: the pairs looked at grow with the names of a
-block, not with those of all time.  A full booking name must agree with a full
+Works on the distinct names of both sides.  A full booking name must agree with a full
 stay name in surname *and* first name, so those pairs are found through the two small
 vocabularies of surnames and first names: a booking name is rewritten to the surnames and
 first names it may stand for, and meets stay names by equality.  A hot surname therefore
 never pairs up everybody who carries it.  Names lacking a part (a bare surname above all)
 have no such gate; their whole variants are matched instead.
+
+A name can only mean another if both are there on one night.  Nights of a name are bitmaps,
+one BIGINT for 64 days.  Names meet within blocks of such words, which bounds the strings
+compared to those of one time; pairs are then kept if two bitmaps share a bit, so the result
+holds exactly the pairs with a common night, however long the blocks are.
 """
 
 from __future__ import annotations
@@ -15,25 +18,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.similarity import ratio, similar_pairs
+from ..functions.similarity import ratio, reached, similar_pairs, spread
 from ..plans.shared import cut
 from ..settings import Settings
 
 
-def _features(names: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Everything the score needs of a name, worked out once per distinct name."""
-    k = F.col(key)
-    df = names.select(key, T.surname(k).alias("surname"), T.first_name(k).alias("first"),
-                      T.is_bare(k).alias("bare"), T.name_variants(k).alias("variants"),
-                      T.strip(F.substring_index(k, ",", 1)).alias("before_comma"))
+#: Days of a bitmap, and bitmaps of a block in which names meet; results don't depend on either.
+WORD_DAYS, BLOCK_WORDS = 64, 8
+
+
+def word_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / WORD_DAYS)
+
+
+def night_words(spans: DataFrame) -> DataFrame:
+    """(name, words): bitmaps of the nights of the spans (name, from_day, to_day), as an array of (word, nights).
+
+    A span has one row per 64 days, so a stay of years is a few dozen rows.
+    """
+    lo, hi = (F.pmod(F.unix_date(d) - F.col("word") * WORD_DAYS, F.lit(WORD_DAYS)).cast("int") for d in ("from_day", "to_day"))
+    first = F.when(word_of(F.col("from_day")) == F.col("word"), lo).otherwise(0)
+    last = F.when(word_of(F.col("to_day")) == F.col("word"), hi).otherwise(WORD_DAYS - 1)
+    bits = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (last - first)), first)")
+    words = spans.withColumn("word", F.explode(F.sequence(word_of(F.col("from_day")), word_of(F.col("to_day")))))
+    words = (words.select("name", "word", first.alias("first"), last.alias("last")).withColumn("bits", bits)
+             .groupBy("name", "word").agg(F.bit_or("bits").alias("nights")))
+    return words.groupBy("name").agg(F.collect_list(F.struct("word", "nights")).alias("words"))
+
+
+def _with_features(names: DataFrame) -> DataFrame:
+    """Everything the score needs of a name, beside what is there."""
+    k = F.col("name")
+    df = names.select("*", T.surname(k).alias("_surname"), T.first_name(k).alias("_first"))
     return df.select(
-        F.col(key),
-        T.sort_tokens(F.col("surname")).alias(prefix + "surname"),
-        T.sort_tokens(F.col("first")).alias(prefix + "first"),
-        F.col("bare").alias(prefix + "bare"),
-        F.transform("variants", T.sort_tokens).alias(prefix + "texts"),
-        T.sort_tokens(F.col("before_comma")).alias(prefix + "short"),
-        F.coalesce((F.col("surname") != "") & (F.col("first") != ""), F.lit(False)).alias(prefix + "complete"))
+        *names.columns,
+        T.sort_tokens(F.col("_surname")).alias("surname"),
+        T.sort_tokens(F.col("_first")).alias("first"),
+        T.is_bare(k).alias("bare"),
+        F.transform(T.name_variants(k), T.sort_tokens).alias("texts"),
+        T.sort_tokens(T.strip(F.substring_index(k, ",", 1))).alias("short"),
+        F.coalesce((F.col("_surname") != "") & (F.col("_first") != ""), F.lit(False)).alias("complete"))
 
 
 def best_score(component_score: int) -> Column:
@@ -50,49 +74,70 @@ def best_score(component_score: int) -> Column:
     return F.expr(f"if({agree('surname')} AND {agree('first')}, coalesce(array_max({scores}), 0D), 0D)")
 
 
-#: Days of a block.
-BLOCK_DAYS = 112
+def _forms(names: DataFrame, as_: str, settings: Settings, kinds: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The strings names may be found by, once each: kind, the similarity it needs, and the blocks it is in."""
+    least = {"surname": settings.component_score, "first": settings.component_score}
+
+    def structs(kind: str, what: str, when: Column) -> Column:
+        need = least.get(kind, settings.accept_score)
+        return F.when(when, F.transform(F.expr(what), lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(need).alias("least"), t.alias(as_))))
+
+    forms = F.flatten(F.array_compact(F.array(*[structs(kind, *how) for kind, how in kinds.items()])))
+    return (names.select("blocks", F.inline(forms)).withColumn("block", F.explode("blocks"))
+            .groupBy("kind", "least", as_).agg(F.collect_set("block").alias("blocks")))
+
+
+TEXTS, STAY_TEXTS = "array_distinct(texts)", "array_distinct(concat(texts, array(short)))"
+
+
+def name_pairs(stays: DataFrame, bookings: DataFrame, settings: Settings) -> DataFrame:
+    """(booking_name, stay_name) that may be alike, of those that are there in one block: names with `blocks` and features."""
+    whole, part = F.col("complete"), ~F.col("complete")
+    own = {"surname": ("array(surname)", whole), "first": ("array(first)", whole)}
+    left = _forms(stays, "a", settings, own | {"any": (STAY_TEXTS, F.lit(True)), "partial": (STAY_TEXTS, part)})
+    right = _forms(bookings, "b", settings, own | {"any": (TEXTS, part), "partial": (TEXTS, whole)})
+    right = right.join(left.select("kind").distinct(), "kind", "left_semi")  # mostly, no stay lacks a part
+    alike = cut(similar_pairs(left, right, "least", ("kind", "least"), "blocks").select("kind", "a", "b"), "alike_forms")
 
+    def of(kind: str, a: str, b: str) -> DataFrame:
+        return alike.where(F.col("kind") == kind).select(F.col("a").alias(a), F.col("b").alias(b))
 
-def block_of(day: Column) -> Column:
-    return F.floor(F.unix_date(day) / BLOCK_DAYS)
+    s = stays.select(F.col("name").alias("stay_name"), "texts", "short", "complete", F.col("surname").alias("s_surname"),
+                     F.col("first").alias("s_first"), F.explode("blocks").alias("block"))
+    b = bookings.select(F.col("name").alias("booking_name"), "texts", "complete", F.col("surname").alias("b_surname"),
+                        F.col("first").alias("b_first"), F.explode("blocks").alias("block"))
+    full = (b.where("complete").select("booking_name", "block", "b_surname", "b_first")
+            .join(of("surname", "s_surname", "b_surname"), "b_surname").join(of("first", "s_first", "b_first"), "b_first")
+            .join(s.where("complete").select("stay_name", "block", "s_surname", "s_first"), ["block", "s_surname", "s_first"]))
 
+    def by_text(kind: str, bookings: DataFrame, stays: DataFrame) -> DataFrame:
+        """Pairs with an incomplete name on either side: whole variants are alike."""
+        bt = bookings.select("booking_name", "block", F.explode(F.expr(TEXTS)).alias("b"))
+        st = stays.select("stay_name", "block", F.explode(F.expr(STAY_TEXTS)).alias("a"))
+        return bt.join(of(kind, "a", "b"), "b").join(st, ["block", "a"])
 
-def vocabulary(names: DataFrame, prefix: str, as_: str) -> DataFrame:
-    """Distinct surnames and first names of a block, by kind."""
-    parts = F.array(*[F.struct(F.lit(p).alias("kind"), F.col(prefix + p).alias(as_)) for p in ("surname", "first")])
-    return names.select("block", F.inline(parts)).distinct()
+    found = [full, by_text("any", b.where(part), s), by_text("partial", b.where(whole), s.where(part))]
+    pairs = [df.select("booking_name", "stay_name") for df in found]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
-def score_names(stay_names: DataFrame, booking_names: DataFrame, settings: Settings) -> DataFrame:
-    """(booking_name, stay_name, score) for every pair of a common block that reaches the
+def score_names(stay_spans: DataFrame, booking_spans: DataFrame, settings: Settings, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(booking_name, stay_name, score) for exactly the pairs that share a night and reach the
     acceptance score.
 
-    `stay_names(stay_name, block)` and `booking_names(booking_name, block)` are distinct.
+    Both sides are spans of nights, (name, from_day, to_day).
     """
-    s = cut(stay_names.join(_features(stay_names.select("stay_name").distinct(), "stay_name", "s_"), "stay_name"), "stay_names")
-    b = cut(booking_names.join(_features(booking_names.select("booking_name").distinct(), "booking_name", "b_"), "booking_name"), "booking_names")
-    s_full, b_full = s.where("s_complete"), b.where("b_complete")
-    alike = cut(similar_pairs(vocabulary(s_full, "s_", "a"), vocabulary(b_full, "b_", "b"),
-                              settings.component_score, ("block", "kind")), "alike_parts")
-
-    def part(kind: str) -> DataFrame:
-        return alike.where(F.col("kind") == kind).select("block", F.col("a").alias("s_" + kind), F.col("b").alias("b_" + kind))
-
-    full = (b_full.join(part("surname"), ["block", "b_surname"]).join(part("first"), ["block", "b_first"])
-            .join(s_full, ["block", "s_surname", "s_first"]))
-
-    def by_text(stays: DataFrame, bookings: DataFrame) -> DataFrame:
-        """Pairs with an incomplete name on either side: whole variants are compared."""
-        st = stays.withColumn("a", F.explode(F.array_distinct(F.concat("s_texts", F.array("s_short")))))
-        bt = bookings.withColumn("b", F.explode(F.array_distinct("b_texts")))
-        pairs = similar_pairs(st.select("block", "a").distinct(), bt.select("block", "b").distinct(),
-                              settings.accept_score, ("block",)).select("block", "a", "b")
-        return bt.join(pairs, ["block", "b"]).join(st, ["block", "a"])
-
-    columns = [c for c in s.columns + b.columns if c != "block"]
-    found = (full.select(*columns).unionByName(by_text(s, b.where("NOT b_complete")).select(*columns))
-             .unionByName(by_text(s.where("NOT s_complete"), b_full).select(*columns)))
-    return (found.dropDuplicates(["booking_name", "stay_name"])
-            .select("booking_name", "stay_name", best_score(settings.component_score).alias("score"))
-            .where(F.col("score") >= settings.accept_score))
+    sides = [night_words(spans).withColumn("side", F.lit(side)) for side, spans in (("stay", stay_spans), ("booking", booking_spans))]
+    blocks = F.array_distinct(F.transform("words", lambda w: F.floor(w["word"] / block_words)))
+    names = cut(_with_features(sides[0].unionByName(sides[1]).withColumn("blocks", blocks)), "names")
+    stays, bookings = names.where("side = 'stay'"), names.where("side = 'booking'")
+    pairs = name_pairs(stays, bookings, settings)
+    s = stays.select(F.col("name").alias("stay_name"), F.inline("words").alias("word", "s_nights"))
+    b = bookings.select(F.col("name").alias("booking_name"), F.inline("words").alias("word", "b_nights"))
+    together = (pairs.join(b, "booking_name").join(s, ["stay_name", "word"])
+                .where("(s_nights & b_nights) <> 0").select("booking_name", "stay_name").distinct())
+    features = ["surname", "first", "bare", "texts", "short"]
+    known = spread(together, "booking_name", "stay_name")
+    for side, key, prefix in ((stays, "stay_name", "s_"), (bookings, "booking_name", "b_")):
+        known = known.join(side.select(F.col("name").alias(key), *[F.col(f).alias(prefix + f) for f in features]), key)
+    return known.select("booking_name", "stay_name", reached(best_score(settings.component_score), F.lit(settings.accept_score)).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..plans.shared import cut
@@ -66,22 +66,67 @@ def occupied_spans(classes: DataFrame, days: DataFrame) -> DataFrame:
             .where(F.col("from_day") <= F.col("to_day")))
 
 
+# Nights as nodes of a binary tree over the days: node (level, i) stands for the days from i * 2^level
+# on, 2^level of them.  A span of nights is covered by at most two nodes a level, and a day lies under
+# one node a level, so neither side spells out nights and both meet by equality.
+
+def _node(level: str, i: str) -> str:
+    return f"shiftleft({i}, 6) | {level}"
+
+
+def cover(from_day: str, to_day: str) -> Column:
+    """Nodes whose days are exactly those from `from_day` to `to_day`, both included."""
+    lo, hi = f"CAST(unix_date({from_day}) AS BIGINT)", f"(CAST(unix_date({to_day}) AS BIGINT) + 1)"
+    levels = f"sequence(0, CAST(floor(log2({hi} - {lo})) AS INT))"
+    at = f"named_struct('l', shiftright({lo} + shiftleft(1L, j) - 1, j), 'r', shiftright({hi}, j))"
+    nodes = (f"array(if(x.l < x.r AND x.l & 1 = 1, {_node('j', 'x.l')}, NULL), "
+             f"if(x.l < x.r AND x.r & 1 = 1, {_node('j', '(x.r - 1)')}, NULL))")
+    return F.expr(f"array_compact(flatten(transform({levels}, j -> transform(array({at}), x -> {nodes})[0])))")
+
+
+def under_nodes(days: DataFrame, levels: Column) -> DataFrame:
+    """`days(night, ...)` once for every node over the night, up to the given level."""
+    return (days.withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
+            .withColumn("node", F.expr(_node("level", "shiftright(CAST(unix_date(night) AS BIGINT), level)"))).drop("level"))
+
+
+def top_level(spans: DataFrame) -> Column:
+    """Level of the largest node that the longest span can have."""
+    return spans.agg(F.coalesce(F.floor(F.log2(F.max(F.datediff("to_day", "from_day")) + 1)), F.lit(0)).cast("int").alias("n")).scalar()
+
+
+OCCUPIED = {"n": F.sum, "first_seq": F.min, "group_lo": F.min, "group_hi": F.max, "n_grouped": F.sum}
+
+
 def occupancy(classes: DataFrame, days: DataFrame) -> DataFrame:
-    """Per (name, night): how many stays, the first of them, and their groups."""
-    return (occupied_spans(classes, days).select("name_key", "n", "first_seq", "group_id",
-                         F.explode(F.sequence("from_day", "to_day")).alias("night"))
-            .groupBy("name_key", "night")
-            .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"),
-                 F.min("group_id").alias("group_lo"), F.max("group_id").alias("group_hi"),
-                 F.sum(F.when(F.col("group_id").isNotNull(), F.col("n")).otherwise(0)).alias("n_grouped")))
+    """Per (name, node): how many stays cover it, the first of them, and their groups.
+
+    What a name has on a night is the sum, or the least, of the nodes over it; see `on_nights`.
+    """
+    grouped = F.when(F.col("group_id").isNotNull(), F.col("n")).otherwise(0)
+    return (occupied_spans(classes, days)
+            .select("name_key", "n", "first_seq", F.col("group_id").alias("group_lo"), F.col("group_id").alias("group_hi"),
+                    grouped.alias("n_grouped"), F.explode(cover("from_day", "to_day")).alias("node"))
+            .groupBy("name_key", "node").agg(*[f(c).alias(c) for c, f in OCCUPIED.items()]))
+
+
+def on_nights(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum up the nodes over each night: one row per `keys`."""
+    return found.groupBy(*keys).agg(*[f(c).alias(c) for c, f in OCCUPIED.items()])
 
 
 def inhouse_counts(classes: DataFrame, bookings: DataFrame) -> DataFrame:
-    """J1 per booking: number of stays in house on its day and the first of them."""
+    """J1 per booking: number of stays in house on its day and the first of them.
+
+    A stay is a few nodes whatever its length; nodes are counted before they meet the days.
+    """
     dated = bookings.where("booking_day IS NOT NULL").select("booking_seq", F.col("booking_day").alias("night"))
     days = cut(dated.select("night").distinct(), "booking_days")
-    nightly = (occupancy(classes, days).groupBy("night")
-               .agg(F.sum("n").alias("in_house"), F.min("first_seq").alias("first_stay")))
+    spans = occupied_spans(classes, days)
+    nodes = (spans.select("n", "first_seq", F.explode(cover("from_day", "to_day")).alias("node"))
+             .groupBy("node").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")))
+    nightly = (under_nodes(days, top_level(spans)).join(nodes, "node")
+               .groupBy("night").agg(F.sum("n").alias("in_house"), F.min("first_seq").alias("first_stay")))
     return (dated.join(nightly, "night")
             .select("booking_seq", "in_house", "first_stay"))
 
@@ -135,42 +180,44 @@ def move_notes(stays: DataFrame, moves: DataFrame | None = None) -> DataFrame:
 
 # --- G4, G5: repeated confirmation numbers -------------------------------------------
 
-def split_duplicates(stays: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first-seen stays, later copies with `occurrences`); blank numbers pass through.
-
-    Copies are found on (stay_seq, number) alone; the stays then meet the few ids of
-    copies, so no note is shuffled by number and blank numbers don't gather.
+def mark_copies(stays: DataFrame) -> DataFrame:
+    """Stays with `occurrences`: null for the first of a confirmation number, else how many later copies
+    that number has.  Blank numbers are first-seen each, and get a key of their own so they don't gather.
     """
-    numbers = stays.where(F.col("confirmation_number") != "").select("confirmation_number", "stay_seq")
-    repeated = (numbers.groupBy("confirmation_number")
-                .agg(F.min("stay_seq").alias("kept_seq"), (F.count(F.lit(1)) - 1).alias("occurrences"))
-                .where("occurrences > 0"))
-    copies = cut(numbers.join(repeated, "confirmation_number").where("stay_seq <> kept_seq").select("stay_seq", "occurrences"), "copies")
-    return stays.join(copies, "stay_seq", "left_anti"), stays.join(copies, "stay_seq")
+    number = F.when(F.col("confirmation_number") != "", F.concat(F.lit("#"), "confirmation_number")).otherwise(F.col("stay_seq").cast("string"))
+    seen = Window.partitionBy("_number")
+    return (stays.withColumn("_number", number)
+            .withColumns({"_first": F.min("stay_seq").over(seen), "_n": F.count(F.lit(1)).over(seen)})
+            .withColumn("occurrences", F.when(F.col("stay_seq") != F.col("_first"), F.col("_n") - 1))
+            .drop("_number", "_first", "_n"))
 
 
 # --- J8-J10, F27, F28: roster checks -------------------------------------------------
 
+BADGES = ["consortium", "breakfast", "pet", "bed_request"]
+
+
+def note_badges() -> dict[str, Column]:
+    """what the notes of a stay say about it."""
+    text = T.all_notes()
+    return {"consortium": T.has_consortium_perk(text), "breakfast": T.has_breakfast(text), "pet": T.has_pet(text),
+            "bed_request": T.requests_extra_bed(text)}
+
+
 def stay_checks(stays: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
-    """Perk badges and unit rule violations, one row per stay.
+    """Perk badges and unit rule violations, one row per stay; `stays` have their badges.
 
     `units` has one row per abbreviation; being a directory it is small enough for the
     optimizer to broadcast by its size, so stays do not move.
     """
-    text = T.all_notes()
     u = units.where(F.col("abbreviation").isNotNull()).select(
         F.col("abbreviation").alias("unit_code"), "category", "max_guests", "has_sofa_bed")
-    base = stays.select(
-        "stay_seq", "guests_count", T.strip(F.col("unit")).alias("unit_code"),
-        T.has_consortium_perk(text).alias("consortium"),
-        T.has_breakfast(text).alias("breakfast"),
-        T.has_pet(text).alias("pet"),
-        T.requests_extra_bed(text).alias("bed_request"))
+    base = stays.select("stay_seq", "guests_count", T.strip(F.col("unit")).alias("unit_code"), *BADGES)
     j = base.join(u, "unit_code", "left")
     known = F.col("category").isNotNull()
     over = F.col("guests_count") > F.col("max_guests")
     return j.select(
-        "stay_seq", "consortium", "breakfast", "pet", "bed_request",
+        "stay_seq", *BADGES,
         F.when(over, F.col("max_guests")).alias("over_capacity_max"),
         F.when(over, F.col("guests_count")).alias("over_capacity_guests"),
         F.when(F.col("bed_request") & known, F.col("has_sofa_bed")).alias("bed_satisfied"),

@@ -11,7 +11,7 @@ from ..operators import crosscheck as C
 from ..operators import matching as M
 from ..operators.mentions import note_mentions
 from ..operators.prepare import prepare_bookings, prepare_stays
-from ..operators.stays import group_members, split_duplicates, stay_checks, stay_classes, unit_moves
+from ..operators.stays import BADGES, group_members, mark_copies, note_badges, stay_checks, stay_classes, unit_moves
 from ..settings import Settings, configure
 from . import report as R
 from .shared import cut, discard
@@ -19,6 +19,8 @@ from .shared import cut, discard
 
 ROSTER = ["stay_seq", "confirmation_number", "guest_name", "name_key", "unit", "unit_type", "arrival_date",
           "departure_date", "arrival", "departure", "guests_count", "mention_bound"]
+BOOKING = ["booking_seq", "guest_name", "booking_name", "booking_day", "source_date", "booking_time", "party_size", "venue",
+           "is_outside", "unit_hint", "notes_tags"]
 
 
 @dataclass
@@ -30,30 +32,34 @@ class Reconciliation:
     settings: Settings
 
     @cached_property
-    def _prepared(self) -> tuple[DataFrame, DataFrame | None]:
-        stays = prepare_stays(self.raw_stays, self.settings)
-        return split_duplicates(stays) if self.settings.deduplicate else (stays, None)
+    def _roster(self) -> DataFrame:
+        """The stays without their notes but with what these say of the stay; repeated records are marked by their `occurrences`."""
+        stays = prepare_stays(self.raw_stays, self.settings).withColumns(note_badges()).select(*ROSTER, *BADGES)
+        marked = mark_copies(stays) if self.settings.deduplicate else stays.withColumn("occurrences", F.lit(None).cast("bigint"))
+        return cut(marked, "roster")
 
     @property
-    def stays(self) -> DataFrame:
-        return self._prepared[0]
-
-    @cached_property
     def roster(self) -> DataFrame:
-        """The stays without their notes: what everything but note mining works on."""
-        return cut(self.stays.select(*ROSTER), "roster")
+        """The first-seen stays without their notes: what everything but note mining works on."""
+        return self._roster.where("occurrences IS NULL").drop("occurrences")
 
     @property
     def duplicates(self) -> DataFrame | None:
-        return self._prepared[1]
+        return self._roster.where("occurrences IS NOT NULL") if self.settings.deduplicate else None
+
+    @property
+    def noted(self) -> DataFrame:
+        """The first-seen stays with their notes."""
+        stays = prepare_stays(self.raw_stays, self.settings)
+        return stays if self.duplicates is None else stays.join(self.duplicates.select("stay_seq"), "stay_seq", "left_anti")
 
     @cached_property
     def bookings(self) -> DataFrame:
-        return prepare_bookings(self.raw_bookings, self.settings)
+        return cut(prepare_bookings(self.raw_bookings, self.settings).select(*BOOKING), "bookings")
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return cut(note_mentions(self.stays, self.settings), "mentions")
+        return cut(note_mentions(self.noted, self.settings), "mentions")
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -70,11 +76,11 @@ class Reconciliation:
     @cached_property
     def roster_checks(self) -> DataFrame:
         units = self.settings.units_table(self.raw_stays.sparkSession)
-        return stay_checks(self.stays, units, self.settings)
+        return stay_checks(self.roster, units, self.settings)
 
     @cached_property
     def matching(self) -> M.Matching:
-        return M.Matching(self.roster, self.bookings, lambda: self.mentions, self.settings, self.classes)
+        return M.Matching(self.roster, self.bookings, lambda: self.mentions, self.settings, lambda: self.classes)
 
     @property
     def matches(self) -> DataFrame:

@@ -105,12 +105,12 @@ def move_notes(spark, sf_dir):
 
 
 def note_entries(spark, sf_dir):
-    return N.note_entries(run(spark, sf_dir).stays, SETTINGS).select("stay_seq", "field_ord", "entry_ord", "entry")
+    return N.note_entries(run(spark, sf_dir).noted, SETTINGS).select("stay_seq", "field_ord", "entry_ord", "entry")
 
 
 def note_mentions(spark, sf_dir):
     dates = F.when(F.col("is_ambiguous"), weekday_dates(F.col("weekday"), F.col("arrival"), F.col("departure")))
-    return N.note_mentions(run(spark, sf_dir).stays, SETTINGS).withColumn("candidate_dates", dates).select(
+    return N.note_mentions(run(spark, sf_dir).noted, SETTINGS).withColumn("candidate_dates", dates).select(
         "stay_seq", "source_field", "entry_ord", "date_ord", "venue", "resolved_date", "time_text", "weekday_text",
         "is_ambiguous", _joined("flags"), "raw_text",
         F.array_join(F.col("candidate_dates").cast("array<string>"), ",").alias("candidate_dates"))

@@ -30,8 +30,8 @@ SETTINGS = Settings(
     units=tuple(Unit(c, n, _category(i), f"T{i % 5}", CAPACITY.get(i, 2), i in SOFA)
                 for i, (c, n) in enumerate(zip(CODES.split(","), NAMES.split(",")))),
     misspellings=(("ALDAR", "ALDER"), ("LARTCH", "LARCH")),
-    shorthand=("gh", "hg", "lm", "ek", "sz"),
-    non_unit_terms=("RUNWAY", "WINECELLAR", "WINE", "CELLAR", "PUB"),
+    shorthand=("rq", "wl", "tbc"),
+    non_unit_terms=("ATRIUM", "BOATHOUSE", "BOAT", "TERRACE"),
     pet_category="Cabins",
 )
 
@@ -85,7 +85,7 @@ BOOKINGS = f"""SELECT e AS booking_seq,
     WHEN 2 THEN fn || ' ' || substr(sn, 1, 3) || substr(sn, 5)
     WHEN 3 THEN {_pick(FIRSTS, 'e%16')} || ' ' || sn ELSE fn || ' ' || sn END AS guest_name,
   CASE e%6 WHEN 0 THEN 'lantern ' || {_pick(CODES, 'k%12')}
-    WHEN 1 THEN 'Quarry''s ' || {_pick(NAMES, 'k%12')} || ' GH'
+    WHEN 1 THEN 'Quarry''s ' || {_pick(NAMES, 'k%12')} || ' RQ'
     WHEN 2 THEN 'lantern'
     WHEN 3 THEN 'lantern- ' || lower({_pick(NAMES, 'k%12')})
     WHEN 4 THEN 'quarry ' || {_pick(CODES, '(k+5)%12')}
@@ -93,18 +93,20 @@ BOOKINGS = f"""SELECT e AS booking_seq,
 FROM (SELECT event_id AS e, base.* FROM {{events}} ev JOIN ({BASE}) base ON base.k = ev.event_id) eb"""
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a given table.  A table here is one small file, which Spark reads in one task; its rows are dealt out
+    before text is made of them."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), columns[0])
 
 
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     return spark.sql(stays_sql("weekday({})"), orders=orders)
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    events = _table(spark, sf_dir, "events").select("event_id")
+    orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    events = _table(spark, sf_dir, "events", "event_id")
     return spark.sql(BOOKINGS, orders=orders, events=events)
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from stayledger.functions import notes as N
 from stayledger.functions import text as T
-from stayledger.operators.names import BLOCK_DAYS
 from stayledger.settings import MONTHS, WEEKDAYS
 
 from .derive import SETTINGS, duck_bookings, duck_stays
@@ -45,10 +44,6 @@ def _has_venue(t: str) -> str:
     return "(" + " OR ".join(f"contains(lower({t}), '{k}')" for k, _ in SETTINGS.venues) + ")"
 
 
-def _block(d: str) -> str:
-    return f"(date_diff('day', DATE '1970-01-01', CAST({d} AS DATE)) // {BLOCK_DAYS})"
-
-
 def _sorted_tokens(t: str) -> str:
     return f"array_to_string(list_sort(string_split_regex(trim({t}), '\\s+')), ' ')"
 
@@ -333,9 +328,9 @@ ORACLES: dict[str, str] = {
     "booking_fields": _with(["b"], """SELECT booking_seq, booking_day, booking_clock, venue, is_outside, unit_hint, CASE WHEN venue IS NULL THEN 'no_restaurant_detected' ELSE '' END AS flags,
         NOT contains(booking_name, ',') AND NOT contains(booking_name, ' ') AS bare FROM b"""),
     "inhouse_join": _with(["b", "s"], """SELECT b.booking_seq, count(*) AS in_house, min(s.stay_seq) AS first_stay FROM b JOIN s ON s.arrival <= b.booking_day AND b.booking_day < s.departure GROUP BY 1"""),
-    "name_score": _with(["scores", "s", "b"], f"""SELECT booking_name, stay_name, round(score, 6) AS score FROM scores sc WHERE EXISTS (
+    "name_score": _with(["scores", "s", "b"], """SELECT booking_name, stay_name, round(score, 6) AS score FROM scores sc WHERE EXISTS (
         SELECT 1 FROM s JOIN b ON b.booking_name = sc.booking_name AND s.name_key = sc.stay_name AND NOT b.is_outside
-          AND s.departure > s.arrival AND {_block('b.booking_day')} BETWEEN {_block('s.arrival')} AND {_block('s.departure - 1')})"""),
+          AND s.arrival <= b.booking_day AND b.booking_day < s.departure)"""),
     "match_bookings": _with(["matches"], "SELECT booking_seq, match_method, stay_seq, round(confidence, 6) AS confidence, flags, n_alternates, group_id FROM matches"),
     "unmatched_bookings": _with(["matches"], "SELECT booking_seq, guest_name, source_date, flags AS reason FROM matches WHERE match_method = 'none'"),
     "match_alternates": _with(["ranked", "b", "s"], """SELECT DISTINCT b.booking_name, b.booking_day AS night, r.stay_seq, s.guest_name, round(r.score, 6) AS score, r.stay_seq = r.leader AS is_leader
