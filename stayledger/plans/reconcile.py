@@ -113,12 +113,17 @@ class Reconciliation:
 
     @property
     def lines(self) -> DataFrame:
-        return R.report_lines(self.roster, self._checked, self.mention_checks, self.duplicates)
+        return self.lines_with(self.duplicates)
+
+    def lines_with(self, duplicates: DataFrame | None) -> DataFrame:
+        return R.report_lines(self.roster, self._checked, self.mention_checks, duplicates)
 
     @property
     def headers(self) -> DataFrame:
-        return R.report_headers(self.roster, self._checked, self.mention_checks, self.groups,
-                                self.roster_checks, self.duplicates)
+        return self.headers_with(self.duplicates)
+
+    def headers_with(self, duplicates: DataFrame | None) -> DataFrame:
+        return R.report_headers(self.roster, self._checked, self.mention_checks, self.groups, self.roster_checks, duplicates)
 
     @property
     def summary(self) -> DataFrame:

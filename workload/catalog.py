@@ -16,6 +16,7 @@ from stayledger.operators.hints import with_hinted_unit
 from stayledger.operators.prepare import prepare_bookings, prepare_stays
 from stayledger.plans import report as R
 from stayledger.plans.flow import words_to_report
+from stayledger.plans.incremental import History
 from stayledger.plans.reconcile import Reconciliation
 from stayledger.plans.shared import run_folder
 from stayledger.sources import words as W
@@ -181,6 +182,29 @@ def incremental_load(spark, sf_dir):
     return changed.groupBy("doc").agg(F.count(F.lit(1)).alias("n_words"), F.max("page").alias("pages"))
 
 
+def incremental_report(spark, sf_dir):
+    """Headers after three states of a folder: some documents missing, one cut short and one too many; then as they
+    should be; then seen once more.  Records are named by document and place."""
+    words = (render.stay_words(spark, sf_dir).unionByName(render.booking_words(spark, sf_dir)))
+    late = (F.crc32(F.col("doc").cast("binary")) % 5 == 0) & (F.col("doc") != "arrivals-00000000")
+    short = F.col("doc") == "arrivals-00000000"
+    folder = f"{run_folder(spark)}/words-{uuid.uuid4().hex}"
+    for name, part in (("kept", words.where(~late & ~short)), ("late", words.where(late)), ("whole", words.where(short)),
+                       ("short", words.where(short & (F.col("page") <= 2))),
+                       ("extra", words.where(short & (F.col("page") > 2)).withColumn("doc", F.lit("arrivals-00000000b")))):
+        part.write.parquet(f"{folder}/{name}")
+    history = History(spark, f"{folder}/history", SETTINGS)
+    for state in (["kept", "short", "extra"], ["kept", "late", "whole"], ["kept", "late", "whole"]):
+        history.advance(W.read_words(spark, [f"{folder}/{part}" for part in state]))
+    docs = history.table("documents").select("doc", "label")
+    heads = history.table("report_header").withColumn("label", F.shiftright("stay_seq", 32))
+    first = docs.select(F.col("doc").alias("group_doc"), F.col("label").alias("group_label"))
+    place = lambda seq: F.col(seq).bitwiseAND((1 << 32) - 1)
+    return (heads.join(docs, "label").join(first, F.shiftright("group_id", 32) == F.col("group_label"), "left")
+            .select("doc", place("stay_seq").alias("rec_no"), *[c for c in HEADER if c not in ("stay_seq", "group_id")],
+                    F.concat_ws("/", "group_doc", place("group_id").cast("string")).alias("group_first")))
+
+
 def written_report(spark, sf_dir):
     """Rows by table and month of a report that was written and read back."""
     folder = f"{run_folder(spark)}/report-{uuid.uuid4().hex}"
@@ -244,5 +268,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stay_fields, booking_fields, inhouse_join, name_score, match_bookings_query, unmatched_bookings,
         match_alternates, match_siblings, resolve_unit_hint, unit_lookup, room_groups, room_moves, move_notes,
         note_entries, note_mentions, ambiguous_weekdays, note_cross_check, capacity, bed_request, pet_policy,
-        perks, duplicates, report_lines, line_alternates, words_to_report_query, incremental_load, written_report, report_headers, report_summary, report_page, note_profile,
+        perks, duplicates, report_lines, line_alternates, words_to_report_query, incremental_load, incremental_report, written_report, report_headers, report_summary, report_page, note_profile,
         display_fields, classify_docs, lines, parse_stays_query, parse_bookings_query)}

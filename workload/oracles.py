@@ -363,6 +363,8 @@ ORACLES: dict[str, str] = {
         WHERE ((r.outcome = 'tied' AND r.is_top) OR (r.outcome = 'near_tie' AND r.top - r.score < 8)) AND r.stay_seq <> m.stay_seq
           AND booking_seq IN (SELECT booking_seq FROM blines WHERE reasons = 'ambiguous' OR contains(reasons, 'resolved_by_note'))"""),
     "incremental_load": _with(["printed"], f"""SELECT doc, CAST(sum(len(string_split(txt, ' '))) AS BIGINT) AS n_words, max(page) AS pages FROM ({PRINTED}) p GROUP BY doc"""),
+    "incremental_report": _with(["heads"], """SELECT 'arrivals-' || lpad(CAST(stay_seq // 4294967296 AS VARCHAR), 8, '0') AS doc, stay_seq % 4294967296 AS rec_no, * EXCLUDE (stay_seq, group_id),
+        CASE WHEN group_id IS NULL THEN '' ELSE 'arrivals-' || lpad(CAST(group_id // 4294967296 AS VARCHAR), 8, '0') || '/' || (group_id % 4294967296) END AS group_first FROM heads""", PARSED),
     "words_to_report": _with(["heads"], "SELECT * FROM heads", PARSED),
     "written_report": _with(["heads", "lines", "grp", "s1"], """SELECT table_name, coalesce(strftime(arrival, '%Y-%m'), 'unknown') AS arrival_month, count(*) AS n FROM (
         SELECT 'report_header' AS table_name, stay_seq FROM heads UNION ALL SELECT 'report_line', stay_seq FROM lines
