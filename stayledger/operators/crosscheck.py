@@ -3,8 +3,9 @@
 The assignment is greedy in note order and uses a booking once, so it is sequential
 within a stay - but only as many bookings as the stay has mentions can ever be used.  In
 each (day, venue) the first `mention_bound` bookings therefore decide the outcome; the
-others are "not in the notes" whatever happens.  The fold sees a few rows per stay even
-when one stay holds a large share of all bookings.
+others are "not in the notes" whatever happens.  These are a queue: of equal day and venue the
+first is always taken first, so the fold's state is the heads of a stay's queues, and a mention
+looks at heads, not at bookings.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ SLICES = 32
 
 
 def deciding_bookings(matches: DataFrame) -> DataFrame:
-    """Per stay the bookings that can be assigned to a mention, as one ordered array."""
+    """Per stay the bookings that can be assigned to a mention, as queues by day and venue."""
     place = ["stay_seq", "booking_day", "venue"]
     first = lambda *more: F.row_number().over(Window.partitionBy(*place, *more).orderBy("booking_seq"))
     return (matches.where("stay_seq IS NOT NULL AND mention_bound > 0")
@@ -26,46 +27,46 @@ def deciding_bookings(matches: DataFrame) -> DataFrame:
                     F.pmod(F.xxhash64("booking_seq"), F.lit(SLICES)).alias("slice"))
             .withColumn("nth", first("slice")).where("nth <= mention_bound")
             .withColumn("nth", first()).where("nth <= mention_bound")
-            .groupBy("stay_seq")
-            .agg(F.array_sort(F.collect_list(F.struct(
-                "booking_seq", F.col("booking_day").alias("day"), "venue",
-                F.col("booking_clock").alias("clock")))).alias("booked")))
+            .groupBy("stay_seq", F.col("booking_day").alias("day"), "venue")
+            .agg(F.array_sort(F.collect_list(F.struct("booking_seq", F.col("booking_clock").alias("clock")))).alias("line"))
+            .groupBy("stay_seq").agg(F.collect_list(F.struct("day", "venue", "line")).alias("queues")))
 
 
-def _settle_weekday(m: Column, booked: Column) -> Column:
+def _settle_weekday(m: Column, queues: Column) -> Column:
     """An ambiguous weekday means the one day on which the stay has a booking there."""
     days = F.array_distinct(F.transform(
-        F.filter(booked, lambda b: (b["venue"] == m["venue"]) & (F.weekday(b["day"]) == m["weekday"])),
-        lambda b: b["day"]))
+        F.filter(queues, lambda q: (q["venue"] == m["venue"]) & (F.weekday(q["day"]) == m["weekday"])),
+        lambda q: q["day"]))
     return F.when(m["is_ambiguous"] & (F.size(days) == 1), F.element_at(days, 1))
 
 
+QUEUES = "array<struct<day:date,venue:string,line:array<struct<booking_seq:bigint,clock:int>>>>"
+
+#: N5 for one mention: of the queues' heads, the first of the best kind.  0: that day and venue, 1: that day, another
+#: venue, 2: that venue, another day.
+PICK = """array_min(filter(transform(queues, (q, i) -> named_struct(
+    'kind', if(q.day = m.day, if(coalesce(q.venue = m.venue, false), 0, 1), if(q.venue = m.venue, 2, NULL)),
+    'seq', try_element_at(q.line, element_at(s.heads, i + 1)).booking_seq, 'queue', i)),
+  x -> x.kind IS NOT NULL AND x.seq IS NOT NULL AND m.day IS NOT NULL))"""
+ASSIGNED = f"""aggregate(said, named_struct('heads', transform(queues, q -> 1), 'taken', CAST(array() AS array<struct<booking_seq:bigint,day:date,venue:string,clock:int>>)),
+  (s, m) -> transform(array({PICK}), p -> named_struct(
+    'heads', if(p IS NULL, s.heads, transform(s.heads, (h, i) -> if(i = p.queue, h + 1, h))),
+    'taken', concat(s.taken, array(if(p IS NULL, NULL, transform(array(element_at(queues, p.queue + 1)), q -> named_struct(
+      'booking_seq', p.seq, 'day', q.day, 'venue', q.venue, 'clock', element_at(q.line, element_at(s.heads, p.queue + 1)).clock))[0])))))[0],
+  s -> s.taken)"""
+
+
 def mention_checks(mentions: DataFrame, matches: DataFrame) -> DataFrame:
     """One row per mention with the booking it takes, if any."""
     per_stay = mentions.groupBy("stay_seq").agg(F.array_sort(F.collect_list(F.struct(
         "field_ord", "entry_ord", "date_ord", "venue", "resolved_date", "is_ambiguous", "weekday",
         "source_field", "raw_text", "time_text"))).alias("said"))
     j = per_stay.join(deciding_bookings(matches), "stay_seq", "left")
-    booked = F.coalesce("booked", F.array().cast(
-        "array<struct<booking_seq:bigint,day:date,venue:string,clock:int>>"))
-    j = j.withColumn("booked", booked)
-    said = F.transform("said", lambda m: m.withField("settled_date", _settle_weekday(m, F.col("booked"))))
+    j = j.withColumn("queues", F.coalesce("queues", F.array().cast(QUEUES)))
+    said = F.transform("said", lambda m: m.withField("settled_date", _settle_weekday(m, F.col("queues"))))
     j = j.withColumn("said", F.transform(said, lambda m: m.withField(
         "day", F.coalesce(m["resolved_date"], m["settled_date"]))))
-
-    def take(used: Column, m: Column) -> Column:
-        free = F.filter("booked", lambda b: ~F.exists(used, lambda u: u["booking_seq"].eqNullSafe(b["booking_seq"])))
-        same_day = lambda b: b["day"] == m["day"]
-        same_venue = lambda b: F.coalesce(b["venue"] == m["venue"], F.lit(False))
-        first = lambda keep: F.try_element_at(F.filter(free, keep), F.lit(1))
-        pick = F.when(m["day"].isNotNull(), F.coalesce(
-            first(lambda b: same_day(b) & same_venue(b)),
-            first(lambda b: same_day(b) & ~same_venue(b)),
-            first(same_venue)))
-        return F.concat(used, F.array(pick))
-
-    start = F.slice("booked", 1, 0)  # an empty array of the bookings' own type
-    j = j.withColumn("taken", F.aggregate("said", start, take))
+    j = j.withColumn("taken", F.expr(ASSIGNED))
     rows = (j.select("stay_seq", F.posexplode(F.arrays_zip("said", "taken")).alias("mention_ord", "x"))
             .select("stay_seq", "mention_ord", "x.said.*", F.col("x.taken").alias("b")))
     hit = F.col("b").isNotNull()

@@ -134,8 +134,10 @@ class Reconciliation:
             heads = heads.unionByName(self.duplicates.select(F.lit(R.T.RED).alias("severity")))
         return R.summary(heads, self.moves, self.groups)
 
-    def write(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-        R.write_report(self.headers, self.lines, path, fmt, mode, self.groups, self._dates)
+    def write(self, path: str, fmt: str = "parquet", keep_other_months: bool = False) -> str:
+        """Publish headers, lines and group members below `path`; `report.read_report` reads them."""
+        tables = {"report_header": self.headers, "report_line": self.lines, "report_group": self.groups}
+        return R.write_report(tables, self._dates, path, fmt, keep_other_months)
 
     def close(self) -> None:
         """Delete the tables of this session's runs; results not yet written are gone with them."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+from functools import cached_property, reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..functions.text import any_of
 from ..operators.hints import with_hinted_unit
 from ..operators.stays import move_notes
 from ..settings import NOTE_FIELDS, Settings
+from .publish import children, publish, published
 from .shared import cut
 
 PAGE_SIZE = 10
@@ -102,7 +107,7 @@ def group_notes(members: DataFrame) -> DataFrame:
     """Per member its group and how many other units with a name it has.
 
     The units themselves are the group's rows in `group_members`, the third table of a
-    written report: a header never grows with its group.
+    written report, and as text in `group_cells`: a header never grows with its group.
     """
     sized = members.where("unit <> ''").groupBy("group_id").agg(F.count(F.lit(1)).alias("named_units"))
     return (members.join(sized, "group_id", "left")
@@ -166,24 +171,67 @@ def select_headers(headers: DataFrame, severities: list[int] | None = None,
     return headers
 
 
-def sort_headers(headers: DataFrame, by: str = "arrival") -> DataFrame:
+def sort_keys(by: str = "arrival") -> list[Column]:
     """By 'arrival', 'severity' (worst first) or 'name'; ties keep the report's order."""
-    base = ["is_duplicate", F.col("arrival").asc_nulls_last(), "stay_seq"]
-    first = {"arrival": [], "severity": [F.col("severity").desc()], "name": [F.lower("guest_name")]}[by]
-    return headers.orderBy(*first, *base)
+    first = {"arrival": [], "severity": [F.col("severity").desc()], "name": [F.lower("guest_name").asc()]}[by]
+    return [*first, F.col("is_duplicate").asc(), F.col("arrival").asc_nulls_last(), F.col("stay_seq").asc()]
 
 
-def page_of(headers: DataFrame, page: int = 1, by: str = "arrival", page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page; numbers past the end give the last page.
+def sort_headers(headers: DataFrame, by: str = "arrival") -> DataFrame:
+    return headers.orderBy(*sort_keys(by))
+
 
-    Counting and sorting work on the narrow keys of the headers, written once; the wide
-    columns are fetched for the rows of the page only.
+@dataclass
+class Pages:
+    """Pages of a report whose headers are evaluated once.
+
+    The narrow sort keys are dealt to ranges and written once per order; the number of rows
+    of each range is all that comes to the driver.  A page is sought in the one or two ranges it
+    lies in, and only the files of these are read.
     """
-    keys = cut(headers.select("stay_seq", "is_duplicate", "arrival", "severity", "guest_name"), "header_keys")
-    last = max(1, -(-keys.count() // page_size))
-    page = min(max(1, page), last)
-    chosen = sort_headers(keys, by).offset((page - 1) * page_size).limit(page_size)
-    return sort_headers(headers.join(chosen.select("stay_seq", "is_duplicate"), ["stay_seq", "is_duplicate"], "left_semi"), by)
+
+    headers: DataFrame
+    page_size: int = PAGE_SIZE
+
+    @cached_property
+    def table(self) -> DataFrame:
+        return cut(self.headers, "headers")
+
+    @cached_property
+    def _ranges(self) -> dict[str, tuple[DataFrame, list[tuple[int, int]]]]:
+        return {}
+
+    def _sorted(self, by: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """Keys by range, and (range, rows) in order."""
+        if by not in self._ranges:
+            keys = self.table.select("stay_seq", "is_duplicate", "arrival", "severity", "guest_name")
+            ranged = keys.repartitionByRange(*sort_keys(by)).withColumn("range", F.spark_partition_id())
+            written = cut(ranged, f"by_{by}", ["range"])
+            sizes = written.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+            self._ranges[by] = written, [(r["range"], r["n"]) for r in sizes]
+        return self._ranges[by]
+
+    def page(self, page: int = 1, by: str = "arrival") -> DataFrame:
+        """One page, in order; numbers past either end give the first or the last page."""
+        written, sizes = self._sorted(by)
+        total = sum(n for _, n in sizes)
+        page = min(max(1, page), max(1, -(-total // self.page_size)))
+        first, last = (page - 1) * self.page_size, page * self.page_size
+        spans, start = [], 0
+        for number, n in sizes:
+            if start < last and start + n > first:
+                spans.append((number, first - start, last - start))
+            start += n
+        nth = F.row_number().over(Window.partitionBy("range").orderBy(*sort_keys(by)))
+        here = any_of([(F.col("range") == r) & (F.col("nth") > lo) & (F.col("nth") <= hi) for r, lo, hi in spans])
+        keys = written.where(F.col("range").isin([r for r, _, _ in spans])).withColumn("nth", nth).where(here)
+        chosen = self.table.join(keys.select("stay_seq", "is_duplicate"), ["stay_seq", "is_duplicate"], "left_semi")
+        return sort_headers(chosen, by)
+
+
+def page_of(headers: DataFrame, page: int = 1, by: str = "arrival", page_size: int = PAGE_SIZE) -> DataFrame:
+    """One page; who asks for several keeps the `Pages`."""
+    return Pages(headers, page_size).page(page, by)
 
 
 def summary(headers: DataFrame, moves: DataFrame, members: DataFrame) -> DataFrame:
@@ -212,25 +260,76 @@ def display_fields(bookings: DataFrame, settings: Settings) -> DataFrame:
         T.shown_unit(F.col("is_outside"), F.col("unit_hint"), F.col("hinted_unit")).alias("shown_unit"))
 
 
-def write_report(headers: DataFrame, lines: DataFrame, path: str, fmt: str = "parquet",
-                 mode: str = "errorifexists", groups: DataFrame | None = None, roster: DataFrame | None = None) -> None:
-    """K2: headers, lines and group members below `path`, split by arrival month, in
-    report order inside.
+def group_cells(members: DataFrame, size: int = 64) -> DataFrame:
+    """(group_id, cell, units): the units of a group as text, `size` of them in a numbered cell, blank ones left out.
+
+    A group's cells in order, joined by ", ", are its whole list, at any size.  Places are counted
+    in ranges of (group, stay), so a group that holds most stays is spread over tasks.
+    """
+    named = members.where("unit <> ''").select("group_id", "stay_seq", "unit")
+    ranged = cut(named.repartitionByRange("group_id", "stay_seq").withColumn("range", F.spark_partition_id()), "group_ranges")
+    counts = ranged.groupBy("group_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("group_id").orderBy("range")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("group_id", "range").orderBy("stay_seq"))
+    placed = ranged.withColumn("inside", inside).join(counts.select("group_id", "range", before.alias("before")), ["group_id", "range"])
+    place = F.col("before") + F.col("inside") - 1
+    units = F.array_sort(F.collect_list(F.struct(place.alias("place"), "unit")))
+    return (placed.groupBy("group_id", F.floor(place / size).cast("long").alias("cell"))
+            .agg(F.array_join(F.transform(units, lambda u: u["unit"]), ", ").alias("units")))
+
+
+# --- K2: a report as files -------------------------------------------------------------
+
+PREFIX = "report-"
+
+
+def write_report(tables: dict[str, DataFrame], stays: DataFrame, path: str, fmt: str = "parquet", keep_other_months: bool = False) -> str:
+    """K2: publish `tables` (name -> rows with a stay_seq) below `path`, split by the arrival month of their stay
+    in `stays` (stay_seq, arrival), in report order inside.
 
-    Lines and members take the month of their stay from `roster` (stay_seq, arrival), or
-    from the headers where it isn't given.  Ranges are drawn over written tables, so
-    nothing is evaluated twice.
+    A report is written aside, with a manifest of its months and rows, and published by one rename; a
+    run that fails leaves the report before as it was, and a run that is repeated replaces
+    itself.  With `keep_other_months`, months this run has no row of stay as they were: the manifest
+    points to the reports that hold them.
     """
+    spark = stays.sparkSession
     month = F.coalesce(F.date_format("arrival", "yyyy-MM"), F.lit("unknown")).alias("arrival_month")
-    stays = (headers if roster is None else roster).select("stay_seq", month)
-    flat = fmt == "csv"
-    body = lines.withColumn("reasons", F.array_join("reasons", ";")) if flat else lines
-    tables = [("report_header", headers.withColumn("arrival_month", month), ["is_duplicate", "arrival", "stay_seq"]),
-              ("report_line", body.join(stays, "stay_seq"), ["stay_seq", "line_kind", "booking_seq", "mention_ord"])]
-    if groups is not None:
-        tables.append(("report_group", groups.join(stays, "stay_seq"), ["group_id", "stay_seq"]))
-    for name, df, keys in tables:
-        # Ranges end inside a stay if need be, so a stay with very many lines is split.
-        out = cut(df, name).repartitionByRange("arrival_month", *keys).sortWithinPartitions("arrival_month", *keys)
-        writer = out.write.mode(mode).partitionBy("arrival_month")
-        (writer.option("header", True) if flat else writer).format(fmt).save(f"{path}/{name}")
+    months = stays.select("stay_seq", month).dropDuplicates(["stay_seq"])
+    before = published(spark, path, PREFIX)
+    version = f"{PREFIX}{sum(n.startswith(PREFIX) for n in children(spark, path)):08d}"
+
+    def write(folder: str) -> None:
+        held = None
+        for name, df in tables.items():
+            arrays = [c for c, t in df.dtypes if t.startswith("array")] if fmt == "csv" else []
+            flat = df.withColumns({c: F.array_join(c, ";") for c in arrays}) if arrays else df
+            keys = [c for c in ("is_duplicate", "arrival", "group_id", "stay_seq", "line_kind", "booking_seq", "mention_ord") if c in df.columns]
+            # Ranges are drawn over a written table, so nothing is evaluated twice; they end inside a stay if need be.
+            out = cut(flat.join(months, "stay_seq"), name)
+            ranged = out.repartitionByRange("arrival_month", *keys).sortWithinPartitions("arrival_month", *keys)
+            ranged.write.partitionBy("arrival_month").option("header", True).format(fmt).save(f"{folder}/{name}")
+            rows = out.groupBy("arrival_month").agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(name).alias("table_name"), "arrival_month", F.lit(version).alias("version"), "n_rows")
+            held = rows if held is None else held.unionByName(rows)
+        if keep_other_months and before:
+            held = held.unionByName(manifest(spark, path).join(held.select("arrival_month").distinct(), "arrival_month", "left_anti"))
+        held.coalesce(1).write.parquet(f"{folder}/manifest")  # a row per table and month
+
+    return publish(spark, path, version, write)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, arrival_month, version, n_rows) of the report that was published last."""
+    return spark.read.parquet(f"{published(spark, path, PREFIX)}/manifest")
+
+
+def read_report(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
+    """A table of the report that was published last, with arrival_month."""
+    held: dict[str, list[str]] = {}
+    for r in manifest(spark, path).where(F.col("table_name") == table).collect():  # a row per month
+        held.setdefault(r["version"], []).append(r["arrival_month"])
+    parts = []
+    for version, months in sorted(held.items()):
+        rows = spark.read.option("header", True).format(fmt).load(f"{path}/{version}/{table}")
+        parts.append(rows.withColumn("arrival_month", F.col("arrival_month").cast("string")).where(F.col("arrival_month").isin(months)))
+    return reduce(DataFrame.unionByName, parts)

@@ -37,9 +37,9 @@ def discard(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and go on from the written table."""
+def cut(df: DataFrame, label: str, split_by: list[str] | None = None) -> DataFrame:
+    """Write `df` to the shared folder, in a folder per value of `split_by`, and go on from the written table."""
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(split_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

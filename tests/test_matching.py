@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from build import SETTINGS, Case
+from pyspark.sql import functions as F
 
 from stayledger import reconcile
 
@@ -217,11 +218,48 @@ def test_pages_and_sink(spark, result, case, tmp_path):
     order = R.in_report_order(heads).collect()
     assert order[-1].is_duplicate and order[0].arrival == min(r.arrival for r in order)
     for fmt in ("parquet", "json", "csv"):
-        R.write_report(heads, result.lines, str(tmp_path / fmt), fmt, groups=result.groups)
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        assert reader.format(fmt).load(str(tmp_path / fmt / "report_header")).count() == n
-        assert reader.format(fmt).load(str(tmp_path / fmt / "report_line")).count() == result.lines.count()
-        assert reader.format(fmt).load(str(tmp_path / fmt / "report_group")).count() == result.groups.count()
+        path = str(tmp_path / fmt)
+        result.write(path, fmt)
+        assert R.read_report(spark, path, "report_header", fmt).count() == n
+        assert R.read_report(spark, path, "report_line", fmt).count() == result.lines.count()
+        assert R.read_report(spark, path, "report_group", fmt).count() == result.groups.count()
+
+
+def test_reports_are_published_whole(spark, result, tmp_path):
+    from stayledger.plans import report as R
+    path = str(tmp_path / "report")
+    result.write(path)
+
+    def shown():
+        return sorted(map(str, R.read_report(spark, path, "report_header").collect()))
+
+    first = shown()
+    broken = {"report_header": result.headers, "report_line": result.lines.withColumn("x", F.raise_error(F.lit("lost")))}
+    with pytest.raises(Exception, match="lost"):
+        R.write_report(broken, result._dates, path)
+    assert shown() == first
+    result.write(path)  # again: the same report, not twice its rows
+    assert shown() == first
+    july = {"report_header": result.headers.where("arrival < DATE'2026-07-10'")}
+    R.write_report(july, result._dates, path, keep_other_months=True)
+    months = {r.arrival_month: r.version for r in R.manifest(spark, path).where("table_name = 'report_header'").collect()}
+    assert set(months.values()) == {"report-00000001", "report-00000002"}
+    kept = [r for r in R.read_report(spark, path, "report_header").collect()]
+    assert {r.stay_seq for r in kept if months[r.arrival_month] == "report-00000001"} == {
+        r.stay_seq for r in result.headers.collect() if r.arrival is None or f"{r.arrival:%Y-%m}" not in months or months[f"{r.arrival:%Y-%m}"] == "report-00000001"}
+
+
+@pytest.mark.parametrize("size", [3, 64])
+def test_cells_of_a_group_are_its_whole_list(spark, size):
+    from stayledger.plans import report as R
+    rows = [(1 if i % 5 else 2, i, "" if i % 7 == 0 else f"U{i}") for i in range(400)]
+    members = spark.createDataFrame(rows, "group_id bigint, stay_seq bigint, unit string")
+    cells = R.group_cells(members, size).orderBy("group_id", "cell").collect()
+    for g in (1, 2):
+        own = [c for c in cells if c.group_id == g]
+        whole = [u for k, _, u in rows if k == g and u]
+        assert ", ".join(c.units for c in own) == ", ".join(whole)
+        assert [c.cell for c in own] == list(range(len(own))) and all(len(c.units.split(", ")) <= size for c in own)
 
 
 def test_invariants(result, case):

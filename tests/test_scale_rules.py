@@ -51,6 +51,26 @@ def test_greedy_over_many_bookings(hot):
     assert n == len(booked) - sum(x.booking_seq is not None for x in rows)
 
 
+def test_greedy_over_many_mentions(spark):
+    """Hundreds of mentions and thousands of bookings of one stay, taken from queues."""
+    import datetime as dt
+
+    from stayledger.operators.crosscheck import mention_checks
+    rng = random.Random(4)
+    day = lambda: dt.date(2026, 7, rng.randint(1, 6))
+    venues = ["Lantern", "Quarry", None]
+    said = [(rng.choice(venues[:2]), day()) for _ in range(300)]
+    booked = [(i, rng.choice(venues), day()) for i in range(3000)]
+    mentions = spark.createDataFrame(
+        [(1, 0, n, 0, v, d, False, None, "guest_notes", "x", None) for n, (v, d) in enumerate(said)],
+        "stay_seq bigint, field_ord int, entry_ord int, date_ord int, venue string, resolved_date date, is_ambiguous boolean, weekday int, "
+        "source_field string, raw_text string, time_text string")
+    matches = spark.createDataFrame([(1, i, d, v, 1900, 300) for i, v, d in booked],
+                                    "stay_seq bigint, booking_seq bigint, booking_day date, venue string, booking_clock int, mention_bound int")
+    rows = sorted(mention_checks(mentions, matches).collect(), key=lambda x: x.mention_ord)
+    assert [x.booking_seq for x in rows] == greedy(said, booked)
+
+
 def test_namesakes_are_counted_not_paired(hot):
     c, _, _, r = hot
     assert r.matching.candidates.where("booking_name = 'nash'").count() == 0  # one group: no ambiguity

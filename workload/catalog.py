@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -206,14 +207,26 @@ def incremental_report(spark, sf_dir):
 
 
 def written_report(spark, sf_dir):
-    """Rows by table and month of a report that was written and read back."""
+    """Every value of a report that was written and read back, one text a row."""
     folder = f"{run_folder(spark)}/report-{uuid.uuid4().hex}"
     run(spark, sf_dir).write(folder)
-    counts = [spark.read.parquet(f"{folder}/{t}").groupBy("arrival_month").agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(t))
-              for t in ("report_header", "report_line", "report_group")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).withColumn("arrival_month", F.col("arrival_month").cast("string"))
+    columns = {"report_header": HEADER, "report_group": GROUP,
+               "report_line": ["stay_seq", "line_kind", "severity", "reasons", "booking_seq", "mention_ord", "detail"]}
 
+    def shown(table: str) -> DataFrame:
+        rows = R.read_report(spark, folder, table)
+        cells = [F.array_join(c, ";") if t.startswith("array") else F.col(c).cast("string") for c, t in rows.select(*columns[table]).dtypes]
+        text = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in cells])
+        return rows.select(F.lit(table).alias("table_name"), "arrival_month", text.alias("row_text"))
 
+    return shown("report_header").unionByName(shown("report_line")).unionByName(shown("report_group"))
+
+
+def group_cells(spark, sf_dir):
+    return R.group_cells(run(spark, sf_dir).groups, size=2)
+
+
+GROUP = ["group_id", "matched_by", "group_size", "stay_seq", "unit", "guest_name"]
 HEADER = ["stay_seq", "confirmation_number", "guest_name", "arrival", "severity", "n_lines", "consortium", "breakfast",
           "pet", "bed_requested", "bed_alert", "capacity_alert", "pet_alert", "move_note", "group_id", "matched_by",
           "group_size", "other_units", "is_duplicate", "occurrences"]
@@ -228,8 +241,11 @@ def report_summary(spark, sf_dir):
 
 
 def report_page(spark, sf_dir):
-    chosen = R.select_headers(run(spark, sf_dir).headers, [T.RED, T.YELLOW], "an")
-    return R.page_of(chosen, page=2, by="severity").select("stay_seq", "guest_name", "severity")
+    """First, middle and last page by severity, the second by name and by arrival."""
+    pages = R.Pages(R.select_headers(run(spark, sf_dir).headers, [T.RED, T.YELLOW], "an"))
+    asked = [("severity", 1), ("severity", 7), ("severity", 1_000_000), ("name", 2), ("arrival", 2)]
+    shown = [pages.page(n, by).select(F.lit(by).alias("sorted_by"), F.lit(n).alias("page"), "stay_seq", "guest_name", "severity") for by, n in asked]
+    return reduce(DataFrame.unionByName, shown)
 
 
 def note_profile(spark, sf_dir):
@@ -268,5 +284,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stay_fields, booking_fields, inhouse_join, name_score, match_bookings_query, unmatched_bookings,
         match_alternates, match_siblings, resolve_unit_hint, unit_lookup, room_groups, room_moves, move_notes,
         note_entries, note_mentions, ambiguous_weekdays, note_cross_check, capacity, bed_request, pet_policy,
-        perks, duplicates, report_lines, line_alternates, words_to_report_query, incremental_load, incremental_report, written_report, report_headers, report_summary, report_page, note_profile,
+        perks, duplicates, report_lines, line_alternates, group_cells, words_to_report_query, incremental_load, incremental_report, written_report, report_headers, report_summary, report_page, note_profile,
         display_fields, classify_docs, lines, parse_stays_query, parse_bookings_query)}

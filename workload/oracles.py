@@ -80,6 +80,14 @@ NAME_PARTS = """
   END AS swapped
 """
 
+HEADER = ["stay_seq", "confirmation_number", "guest_name", "arrival", "severity", "n_lines", "consortium", "breakfast", "pet", "bed_requested", "bed_alert",
+          "capacity_alert", "pet_alert", "move_note", "group_id", "matched_by", "group_size", "other_units", "is_duplicate", "occurrences"]
+
+
+def _cells(columns: list[str]) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
 # --- building blocks, in order of dependency -------------------------------------------
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -366,15 +374,24 @@ ORACLES: dict[str, str] = {
     "incremental_report": _with(["heads"], """SELECT 'arrivals-' || lpad(CAST(stay_seq // 4294967296 AS VARCHAR), 8, '0') AS doc, stay_seq % 4294967296 AS rec_no, * EXCLUDE (stay_seq, group_id),
         CASE WHEN group_id IS NULL THEN '' ELSE 'arrivals-' || lpad(CAST(group_id // 4294967296 AS VARCHAR), 8, '0') || '/' || (group_id % 4294967296) END AS group_first FROM heads""", PARSED),
     "words_to_report": _with(["heads"], "SELECT * FROM heads", PARSED),
-    "written_report": _with(["heads", "lines", "grp", "s1"], """SELECT table_name, coalesce(strftime(arrival, '%Y-%m'), 'unknown') AS arrival_month, count(*) AS n FROM (
-        SELECT 'report_header' AS table_name, stay_seq FROM heads UNION ALL SELECT 'report_line', stay_seq FROM lines
-        UNION ALL SELECT 'report_group', stay_seq FROM grp) t JOIN (SELECT stay_seq, arrival FROM s1) d USING (stay_seq) GROUP BY 1, 2"""),
+    "written_report": _with(["heads", "lines", "grp", "s", "s1"], f"""SELECT table_name, coalesce(strftime(arrival, '%Y-%m'), 'unknown') AS arrival_month, row_text FROM (
+        SELECT 'report_header' AS table_name, stay_seq, {_cells(HEADER)} AS row_text FROM heads
+        UNION ALL SELECT 'report_line', stay_seq, {_cells(["stay_seq", "line_kind", "severity", "reasons", "booking_seq", "mention_ord", "detail"])} FROM lines
+        UNION ALL SELECT 'report_group', stay_seq, {_cells(["group_id", "matched_by", "group_size", "stay_seq", "unit", "guest_name"])} FROM grp JOIN s USING (stay_seq)
+        ) t JOIN (SELECT stay_seq, arrival FROM s1) d USING (stay_seq)"""),
+    "group_cells": _with(["grp", "s"], """SELECT group_id, cell, string_agg(unit, ', ' ORDER BY stay_seq) AS units FROM (
+        SELECT group_id, stay_seq, unit, (row_number() OVER (PARTITION BY group_id ORDER BY stay_seq) - 1) // 2 AS cell FROM grp JOIN s USING (stay_seq) WHERE unit <> '') q
+        GROUP BY group_id, cell"""),
     "report_headers": _with(["heads"], "SELECT * FROM heads"),
     "report_summary": _with(["heads", "moves", "grp"], """SELECT count(*) AS total, count(*) FILTER (severity = 3) AS red, count(*) FILTER (severity = 2) AS yellow,
         count(*) FILTER (severity = 1) AS blue, count(*) FILTER (severity = 0) AS green, (SELECT count(*) FROM moves) AS unit_moves,
         (SELECT count(DISTINCT group_id) FROM grp) AS group_bookings FROM heads"""),
-    "report_page": _with(["heads"], """SELECT stay_seq, guest_name, severity FROM heads WHERE severity IN (2, 3) AND contains(lower(guest_name), 'an')
-        ORDER BY severity DESC, is_duplicate, arrival NULLS LAST, stay_seq LIMIT 10 OFFSET 10"""),
+    "report_page": _with(["heads"], """SELECT sorted_by, page, stay_seq, guest_name, severity FROM (
+        SELECT *, row_number() OVER (PARTITION BY sorted_by ORDER BY CASE WHEN sorted_by = 'severity' THEN -severity END, CASE WHEN sorted_by = 'name' THEN lower(guest_name) END,
+          is_duplicate, arrival NULLS LAST, stay_seq) - 1 AS nth, count(*) OVER (PARTITION BY sorted_by) AS total
+        FROM heads, (VALUES ('severity'), ('name'), ('arrival')) o(sorted_by) WHERE severity IN (2, 3) AND contains(lower(guest_name), 'an')) h
+      JOIN (VALUES ('severity', 1), ('severity', 7), ('severity', 1000000), ('name', 2), ('arrival', 2)) a(order_by, page) ON order_by = sorted_by
+      WHERE nth // 10 = least(page, (total + 9) // 10) - 1"""),
     "note_profile": _with(["s1"], f"""SELECT stay_seq, right(confirmation_number, 4) AS confirmation_tail, length(guest_notes) AS guest_notes_length, length(reservation_notes) AS reservation_notes_length,
         length(comments_notes) AS comments_notes_length, regexp_matches({_all_notes}, '{_BED}') AS bed_request FROM s1"""),
     "display_fields": _with(["b"], r"""SELECT booking_seq, booking_time || ' PM' AS shown_time,
