@@ -65,7 +65,7 @@ def _name(line: bytes) -> int:
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts: list[list[int]] = [[], [], [], [], []]
     lines: list[list[dict]] = []
-    marks, prints = [], []
+    prints = []
     for text in raw(batch.column("text")):
         words = text.split()
         joined = b"".join(words)
@@ -76,27 +76,37 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         whole = [line for line in map(normalised, text.split(b"\n")) if line]
         for line in whole:
             own[line] = own.get(line, 0) + line.count(b" ") + 1
-        longest = min(own, key=lambda x: (-len(x), x), default=b"")
-        marks.append(_name(longest))
         prints.append(_name(b"\n".join(whole)))
         lines.append([{"line": _name(k), "words": v} for k, v in own.items()])
-    columns = [batch.column("row"), batch.column("host"), *(pa.array(c, pa.int64()) for c in counts), pa.array(marks, pa.int64()),
+    columns = [batch.column("row"), batch.column("host"), *(pa.array(c, pa.int64()) for c in counts),
                pa.array(prints, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))]
-    return pa.RecordBatch.from_arrays(columns, ["row", "host", *COUNTS, "mark", "print", "lines"])
+    return pa.RecordBatch.from_arrays(columns, ["row", "host", *COUNTS, "print", "lines"])
 
 
-def quality(docs: DataFrame, max_documents: int = 10, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
-            host: str = "source") -> DataFrame:
+#: A line is common on a host if more of its documents hold it than this share of them in percent, and than MOST.
+SHARE_PERCENT, MOST = 2, 10
+
+
+def quality(docs: DataFrame, max_documents: int = MOST, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
+            host: str = "source", share_percent: int = SHARE_PERCENT) -> DataFrame:
     """(key, the base counts, base_failed, n_common_words, kept): one row per document.
 
-    A line is common if, normalised, it is found in more than `max_documents` distinct
-    documents of the host.  Documents whose longest line is the same count as one there:
-    copies do not make each other's lines common.  A document is rejected if it fails the
-    base rules, or if less than `min_left_percent` % of its words are outside common lines.
+    Documents of a host are distinct if their whole normalised texts are; copies count once.
+    A line is common if, normalised, more than `max_documents` distinct documents of the
+    host hold it, and more than `share_percent` % of them: beyond a small host, verdicts
+    don't depend on the size of the table.  A document is rejected if it fails the base
+    rules, or if less than `min_left_percent` % of its words are outside common lines; but
+    near copies do not vanish as a group: of the documents that the same set of common lines
+    leaves with too little, those of the smallest key (null last) are kept.
     Null texts have no words (base_failed); a null host is a host of its own; rows of
     one key are judged one by one; an empty table gives an empty table."""
     measured = _measured(docs, key, text, host)
-    rows = _verdicts(measured, _common(measured, max_documents, "mark"), min_left_percent)
+    judged = cut(_verdicts(measured, _common(measured, max_documents, share_percent), min_left_percent)
+                 .withColumn("set", F.when(~F.col("kept") & ~F.col("base_failed"), F.xxhash64(F.array_sort("common")))).drop("common"), "judged")
+    least = F.min(F.struct(F.col("row.key").isNull(), F.col("row.key").alias("key")))
+    spared = judged.where("set is not null").groupBy("host", "set").agg(least.alias("least")).select("host", "set", F.col("least.key").alias("_spared"), F.lit(True).alias("_some"))
+    rows = judged.join(spared, ["host", "set"], "left").withColumn(
+        "kept", F.col("kept") | F.coalesce(F.col("_some") & F.col("row.key").eqNullSafe(F.col("_spared")), F.lit(False)))
     return rows.select(F.col("row.key").alias(key), *COUNTS, "base_failed", "n_common_words", "kept")
 
 
@@ -116,32 +126,34 @@ def _measured(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
     rows = docs.select(row.alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return cut(kernel(rows, _measure, f"row {kind}, host string, {BASE}, mark long, print long, lines array<struct<line: long, words: long>>"), "measured")
+    return cut(kernel(rows, _measure, f"row {kind}, host string, {BASE}, print long, lines array<struct<line: long, words: long>>"), "measured")
 
 
 def _lines(measured: DataFrame) -> DataFrame:
-    return measured.select("row", "host", "mark", "print", F.explode("lines").alias("l")).select("row", "host", "mark", "print", "l.*")
+    return measured.select("row", "host", "print", F.explode("lines").alias("l")).select("row", "host", "print", "l.*")
 
 
-def _common(measured: DataFrame, max_documents: int, by: str) -> DataFrame:
-    """(host, line) of the lines with more than `max_documents` values of `by`.  Equal
-    (host, line, value) rows are merged before the shuffle, then counts are summed."""
-    merged = _lines(measured).groupBy("host", "line", by).agg(F.lit(1).alias("one"))
-    return merged.groupBy("host", "line").agg(F.sum("one").alias("n")).where(F.col("n") > max_documents).select("host", "line")
+def _common(measured: DataFrame, max_documents: int, share_percent: int) -> DataFrame:
+    """(host, line) of the common lines.  Equal (host, line, document) rows are merged before the
+    shuffle, then counts are summed."""
+    hosts = (measured.groupBy("host", "print").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("n_host")))
+    merged = _lines(measured).groupBy("host", "line", "print").agg(F.lit(1).alias("one"))
+    often = merged.groupBy("host", "line").agg(F.sum("one").alias("n")).where(F.col("n") > max_documents)
+    return often.join(hosts, "host").where(100 * F.col("n") > share_percent * F.col("n_host")).select("host", "line")
 
 
-def clean(docs: DataFrame, max_documents: int = 10, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
-          host: str = "source") -> DataFrame:
+def clean(docs: DataFrame, max_documents: int = MOST, min_left_percent: int = 20, key: str = "doc_id", text: str = "text",
+          host: str = "source", share_percent: int = SHARE_PERCENT) -> DataFrame:
     """The documents that pass the rules, without their common lines; all columns.
 
-    A line is common if it is found in more than `max_documents` documents of the host that
-    differ in their whole normalised text.  Of the documents of a host that the same set of
+    Lines are common as in `quality`.  Of the documents of a host that the same set of
     common lines leaves with too little, that of the smallest key (null last) stays, whole:
     near copies do not vanish as a group.  A verdict depends on key, text and host alone,
-    so equal rows all stay or all go."""
+    so equal rows all stay or all go.  Null texts fail the base rules and go; a null host is a
+    host of its own; texts are read whole; an empty table gives an empty one."""
     row = F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"), F.xxhash64(F.col(host)).alias("host"))
     measured = _measured(docs.select(row.alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host")), "_row", "_text", "_host")
-    judged = cut(_verdicts(measured, _common(measured, max_documents, "print"), min_left_percent)
+    judged = cut(_verdicts(measured, _common(measured, max_documents, share_percent), min_left_percent)
                  .where("not base_failed").select("host", F.col("row.key").alias("row"), "common", "kept"), "judged")
     kept = judged.where("kept").groupBy("row").agg(F.first("common").alias("_common"))
     least = F.min(F.struct(F.col("row.key").isNull(), F.col("row").alias("row")))

@@ -42,17 +42,21 @@ w AS (SELECT *, {_WORDS.format('text')} AS words FROM d),
 grams AS (SELECT n, i, list_slice(words, i, i + 7) AS g FROM (SELECT n, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) > 8) q),
 twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS c FROM grams) q WHERE c > 1),
 covered AS (SELECT n, count(DISTINCT p) AS n_repeat_words FROM (SELECT n, unnest(range(i, i + 8)) AS p FROM twice) q GROUP BY n),
-lines AS (SELECT n, host, raw, array_to_string({_WORDS.format(_LOWER.format('raw'))}, ' ') AS line, len({_WORDS.format('raw')}) AS words FROM (
-  SELECT n, host, unnest(string_split(text, chr(10))) AS raw FROM d) q WHERE len({_WORDS.format('raw')}) > 0),
-marks AS (SELECT DISTINCT n, first_value(line) OVER (PARTITION BY n ORDER BY strlen(line) DESC, line) AS mark FROM lines),
-common AS (SELECT host, line FROM lines JOIN marks USING (n) GROUP BY host, line HAVING count(DISTINCT mark) > 10),
-lost AS (SELECT n, sum(words) AS n_common_words FROM lines JOIN common USING (host, line) GROUP BY n),
+lines AS (SELECT n, host, raw, i, array_to_string({_WORDS.format(_LOWER.format('raw'))}, ' ') AS line, len({_WORDS.format('raw')}) AS words FROM (
+  SELECT n, host, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) q WHERE len({_WORDS.format('raw')}) > 0),
+prints AS (SELECT n, list(line ORDER BY i) AS print FROM lines GROUP BY n UNION ALL SELECT n, [] FROM d WHERE n NOT IN (SELECT n FROM lines)),
+hosts AS (SELECT host, count(DISTINCT print) AS n_host FROM d JOIN prints USING (n) GROUP BY host),
+common AS (SELECT host, line FROM lines JOIN prints USING (n) JOIN hosts USING (host) GROUP BY host, line, n_host
+  HAVING count(DISTINCT print) > 10 AND 100 * count(DISTINCT print) > 2 * n_host),
+lost AS (SELECT n, sum(words) AS n_common_words, list_sort(list_distinct(list(line))) AS held FROM lines JOIN common USING (host, line) GROUP BY n),
 same AS (SELECT n, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY n),
-q AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+q AS (SELECT n, doc_id, host, held, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_common_words, 0) AS BIGINT) AS n_common_words
-  FROM w LEFT JOIN covered USING (n) LEFT JOIN lost USING (n) LEFT JOIN same USING (n))
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_common_words) >= 20 * n_words AS kept FROM q"""
+  FROM w LEFT JOIN covered USING (n) LEFT JOIN lost USING (n) LEFT JOIN same USING (n)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * (n_words - n_common_words) >= 20 * n_words AS enough FROM q),
+spared AS (SELECT host, held, min(doc_id) AS least FROM v WHERE NOT base_failed AND NOT enough GROUP BY host, held)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words, base_failed,
+  NOT base_failed AND (enough OR coalesce(doc_id = least, FALSE)) AS kept FROM v LEFT JOIN spared USING (host, held)"""
 
 #: For the layout of the given pages: an article of headings and paragraphs.
 PAGES = r"""

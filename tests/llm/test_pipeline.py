@@ -49,7 +49,7 @@ def test_columns_and_decisions(stages):
 
 def test_registered(spark):
     names = entry.queries()
-    assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and len(queries.QUERIES) == 10 and "pipeline" in names
+    assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and len(queries.QUERIES) == 13 and "pipeline" in names
     assert all(re.match(rf"op{i}_", n) for i, n in enumerate(queries.QUERIES, 1))
 
 
