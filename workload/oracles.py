@@ -318,7 +318,7 @@ def _with(needs: list[str], sql: str, swap: dict[str, str] | None = None) -> str
 
 
 _MORE = f"trim({more(0)} || ' ' || {more(1)})"
-PRINTED = r"""
+PRINTED = r"""SELECT doc, CASE WHEN slot = 19 AND k >= 3 THEN page + 1 ELSE page END AS page, CASE WHEN slot = 19 AND k >= 3 THEN -1 ELSE slot END AS slot, k, txt FROM (
         SELECT DISTINCT doc, page, CAST(-1 AS BIGINT) AS slot, 0 AS k, 'Arrivals with Details' AS txt FROM printed
         UNION ALL SELECT doc, page, slot, 0, concat_ws(' ', nullif(unit, ''), guest_name, status, arrival_date, coalesce(CAST(guests_count AS VARCHAR), 'n'), '/ 0 LEIS') FROM printed
         UNION ALL SELECT doc, page, slot, 1, concat_ws(' ', unit_type, confirmation_number, departure_date) FROM printed
@@ -326,7 +326,7 @@ PRINTED = r"""
         UNION ALL SELECT doc, page, slot, 3, 'Reservation Notes: ' || reservation_notes FROM printed WHERE reservation_notes <> ''
         UNION ALL SELECT doc, page, slot, 4, 'Comments / Notes: ' || comments_notes FROM printed WHERE comments_notes <> ''
         UNION ALL SELECT doc, page, slot, 5, @ FROM printed WHERE @ <> ''
-        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || (count(*) + max(stay_seq // 1000) % 2) FROM printed GROUP BY doc""".replace("@", _MORE)
+        UNION ALL SELECT doc, max(page), 99, 0, 'Total Reservations ' || (count(*) + max(stay_seq // 1000) % 2) FROM printed GROUP BY doc) pr""".replace("@", _MORE)
 _FIELDS = "['guest_notes', 'reservation_notes', 'comments_notes'][field_ord + 1]"
 
 ORACLES: dict[str, str] = {
@@ -412,5 +412,5 @@ ORACLES: dict[str, str] = {
           CASE WHEN stay_seq // 1000 % 2 = 1 THEN 'count_mismatch: parsed ' || count(*) OVER (PARTITION BY doc) || ' vs report total ' || (count(*) OVER (PARTITION BY doc) + 1) END) AS flags FROM printed"""),
     "parse_bookings": _with(["b"], """SELECT 'export-' || CASE WHEN source_date = 'n/a' THEN 'undated' ELSE replace(replace(source_date, ',', ''), ' ', '-') END AS doc,
         row_number() OVER (PARTITION BY source_date ORDER BY booking_seq) AS rec_no, CASE WHEN source_date = 'n/a' THEN '' ELSE source_date END AS source_date, booking_time, party_size, guest_name,
-        '(518) 555-0100' AS phone, notes_tags, venue, unit_hint, is_outside, CASE WHEN venue IS NULL THEN 'no_restaurant_detected' ELSE '' END AS flags FROM b"""),
+        '(518) 555-' || lpad(CAST(booking_seq % 10000 AS VARCHAR), 4, '0') AS phone, notes_tags, venue, unit_hint, is_outside, CASE WHEN venue IS NULL THEN 'no_restaurant_detected' ELSE '' END AS flags FROM b"""),
 }
