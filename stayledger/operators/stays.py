@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..plans.shared import cut
-from ..settings import Settings
+from ..settings import Settings, one_row_each
 
 CLASS = ["name_key", "arrival_date", "departure_date"]
 
@@ -228,7 +228,8 @@ def stay_checks(stays: DataFrame, units: DataFrame, settings: Settings) -> DataF
 def find_units(df: DataFrame, units: DataFrame, code: str | None = None,
                name: str | None = None) -> DataFrame:
     """Look a unit up by abbreviation (exact) or by full name (trimmed,
-    case-blind)."""
+    case-blind; of units of one name the least row), so no row of `df` is doubled."""
     if code is not None:
         return df.join(units, F.col(code) == F.col("abbreviation"), "left")
-    return df.join(units, F.lower(T.strip(F.col(name))) == F.lower(T.strip(F.col("full_name"))), "left")
+    key = F.lower(T.strip(F.col("full_name")))
+    return df.join(one_row_each(units.where(F.col("full_name").isNotNull()), key), F.lower(T.strip(F.col(name))) == key, "left")

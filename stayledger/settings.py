@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # --- Fixed values of the input formats and of the matching rules ---------------------
 
@@ -50,6 +50,10 @@ CONTINUATION_FIELDS = ("guest_notes", "reservation_notes", "comments_notes",
 LINE_TOLERANCE = 2.0
 
 
+#: Venue words a configuration may have: each is part of every expression that looks for venues.
+MOST_VENUES = 1_000
+
+
 @dataclass(frozen=True)
 class Unit:
     abbreviation: str | None
@@ -150,10 +154,10 @@ class Settings:
         return replace(self, **changes)
 
     def units_table(self, spark: SparkSession) -> DataFrame:
-        """The directory, one row per abbreviation (and all units without one)."""
+        """The directory, one row per abbreviation (and all units without one): of a list the first, of a table the least."""
         if self.unit_rows is not None:
-            named = self.unit_rows.where("abbreviation IS NOT NULL").dropDuplicates(["abbreviation"])
-            return named.unionByName(self.unit_rows.where("abbreviation IS NULL"))
+            return one_row_each(self.unit_rows.where("abbreviation IS NOT NULL"), F.col("abbreviation")).unionByName(
+                self.unit_rows.where("abbreviation IS NULL"))
         rows, seen = [], set()
         for u in self.units:
             if u.abbreviation is None or u.abbreviation not in seen:
@@ -185,12 +189,20 @@ class Settings:
                     misspellings: DataFrame | None = None, **rest) -> "Settings":
         """Settings from tables: venues(prio, keyword, venue), units(...),
         misspellings(token, abbreviation).  Only venues, which become part of the
-        expressions, are read here; units and misspellings stay tables."""
-        vs = sorted(venues.toLocalIterator(), key=lambda r: r["prio"])
+        expressions, are read here, MOST_VENUES at most; units and misspellings stay tables."""
+        vs = sorted(venues.limit(MOST_VENUES + 1).collect(), key=lambda r: (r["prio"], r["keyword"]))
+        if len(vs) > MOST_VENUES:
+            raise ValueError(f"more than {MOST_VENUES} venue words")
         return cls(venues=tuple((r["keyword"], r["venue"]) for r in vs), unit_rows=units,
                    spelling_rows=misspellings, **rest)
 
 
+def one_row_each(rows: DataFrame, key: Column) -> DataFrame:
+    """The least of the rows of every key, in all columns, so that reruns agree."""
+    least = F.min(F.struct(*rows.columns)).alias("row")
+    return rows.groupBy(key.alias("_key")).agg(least).select("row.*")
+
+
 # Session settings the plans count on. AQE's skew join splits a hot join key even when
 # that costs an extra shuffle; every aggregation combines on the map side anyway.
 SESSION_CONF = {

@@ -275,3 +275,43 @@ def test_empty_bookings(spark, case):
     r = reconcile(stays, bookings.limit(0), SETTINGS)
     assert r.matches.count() == 0
     assert r.summary.first().total == len(case.stays)
+
+
+def test_a_week_end_to_end(spark):
+    """15 stays and 8 bookings whose outcome is known: every severity, one move, two groups, a full unit."""
+    c = Case()
+    c.stay("green", "Hartley, Ines", "03/02/2027", "03/05/2027", unit="ALDER", comments="Lantern 3/3 @ 7PM")
+    c.stay("hint", "Osei, Kwame", "03/02/2027", "03/06/2027", unit="MAPLE")
+    for unit, guests in (("ASPEN", 4), ("BEECH", 4), ("PINE", 3)):
+        c.stay(f"trio {unit}", "Sorrell, Bea", "03/03/2027", "03/05/2027", unit=unit, guests=guests)
+    c.stay("silent", "Trask, Yann", "03/03/2027", "03/07/2027", unit="ROWAN")
+    c.stay("first spell", "Ulvang, Kari", "03/01/2027", "03/04/2027", unit="CEDAR", unit_type="T1")
+    c.stay("second spell", "Ulvang, Kari", "03/04/2027", "03/08/2027", unit="HAZEL", unit_type="T2")
+    c.stay("weekday", "Varga, Lili", "03/02/2027", "03/05/2027", unit="LARCH", reservation="QUARRY WEDNESDAY 6:30 pm")
+    c.stay("conflict", "Wexler, Dov", "03/04/2027", "03/06/2027", unit="STELM", comments="Lantern 3/5 @ 7PM")
+    for name in ("Abara, Ike", "Abara, Uche"):
+        c.stay(name, name, "03/06/2027", "03/09/2027", unit="RDGOAK")
+    for name in ("Yilmaz, Ece", "Zorn, Piet", "Quint, Rhea"):
+        c.stay(name, name, "03/05/2027", "03/07/2027", unit="BIRCH", guests=1)
+    c.book("green", "Ines Hartley", "Mar 3, 2027", tags="lantern ALDER")
+    c.book("hint", "Kwame Osei", "Mar 4, 2027", tags="lantern PINE")
+    c.book("trio", "SORRELL", "Mar 4, 2027", party=4, tags="quarry")
+    c.book("silent", "Yann Trask", "Mar 5, 2027", tags="quarry ROWAN")
+    c.book("second spell", "Kari Ulvang", "Mar 5, 2027", tags="lantern HAZEL")
+    c.book("weekday", "Lili Varga", "Mar 3, 2027", "6:30", tags="quarry LARCH")
+    c.book("outside", "Noa Brandt", "Mar 3, 2027", tags="lantern off property")
+    c.book("conflict", "Dov Wexler", "Mar 5, 2027", tags="quarry STELM")
+    r = reconcile(*c.frames(spark), SETTINGS)
+    flags = {x.booking_seq: (x.stay_seq, list(x["flags"])) for x in r.matches.collect()}
+    stay, seq = c.stay_no, c.booking_no
+    assert flags[seq["green"]] == (stay["green"], [])
+    assert flags[seq["hint"]] == (stay["hint"], ["room_mismatch"])
+    assert flags[seq["trio"]] == (stay["trio ASPEN"], ["surname_only_no_room_hint"])
+    assert flags[seq["silent"]] == (stay["silent"], []) and flags[seq["second spell"]] == (stay["second spell"], [])
+    assert flags[seq["outside"]] == (None, ["outside_guest"])
+    heads = {x.stay_seq: x for x in r.headers.collect()}
+    severity = {n: heads[stay[n]].severity for n in stay}
+    assert [severity[n] for n in ("green", "weekday", "hint", "silent", "second spell", "trio ASPEN", "conflict")] == [0, 0, 2, 2, 2, 3, 3]
+    s = r.summary.first()
+    assert (s.total, s.green, s.yellow, s.red, s.blue, s.unit_moves, s.group_bookings) == (15, 2, 3, 2, 8, 1, 2)
+    assert {n for n in stay if heads[stay[n]].capacity_alert} == {"trio ASPEN", "trio BEECH", "trio PINE"}
