@@ -33,9 +33,9 @@ from ..plans.shared import cut
 from .bpe_automaton import printable_bytes
 
 #: Merge steps of a piece, and bytes of text encoded at once.
-PIECE, CHUNK = 65_536, 2_000_000
+PIECE, CHUNK = 65_536, 1_000_000
 #: Pairs of ids, counted per document, and documents that close a lot.
-LOT, LOT_DOCUMENTS = 2_000_000, 50_000
+LOT, LOT_DOCUMENTS = 1_000_000, 50_000
 #: Links of a group that are spelled out one by one; larger groups are counted by distinct ids first.
 SMALL = 64
 
