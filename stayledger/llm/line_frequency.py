@@ -104,9 +104,9 @@ def quality(docs: DataFrame, max_documents: int = MOST, min_left_percent: int =
     judged = cut(_verdicts(measured, _common(measured, max_documents, share_percent), min_left_percent)
                  .withColumn("set", F.when(~F.col("kept") & ~F.col("base_failed"), F.xxhash64(F.array_sort("common")))).drop("common"), "judged")
     least = F.min(F.struct(F.col("row.key").isNull(), F.col("row.key").alias("key")))
-    spared = judged.where("set is not null").groupBy("host", "set").agg(least.alias("least")).select("host", "set", F.col("least.key").alias("_spared"), F.lit(True).alias("_some"))
-    rows = judged.join(spared, ["host", "set"], "left").withColumn(
-        "kept", F.col("kept") | F.coalesce(F.col("_some") & F.col("row.key").eqNullSafe(F.col("_spared")), F.lit(False)))
+    spared = judged.where("set is not null").groupBy("host", "set").agg(least.alias("least")).select("host", "set", F.col("least.key").alias("_spared"))
+    depleted = judged.where("set is not null").join(spared, ["host", "set"]).withColumn("kept", F.col("row.key").eqNullSafe(F.col("_spared")))
+    rows = judged.where("set is null").unionByName(depleted.select(*judged.columns))  # the others need no join, which would gather them by host
     return rows.select(F.col("row.key").alias(key), *COUNTS, "base_failed", "n_common_words", "kept")
 
 
