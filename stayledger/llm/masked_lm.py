@@ -7,12 +7,16 @@ A document's score is the sum of the logarithms of these conditionals.
 
 The network's entries come from word counts over the whole corpus: frequent words have their
 own, where P(word | entry) is 1; the others share hashed entries, and their P is that of the
-word among all counted words of its entry.  The table of counts is as large as the corpus
+word among all counted words of its entry.  The number of entries grows with the square root of
+the number of distinct words (`Shape.of`).  The table of counts is as large as the corpus
 makes it and stays in Spark; words it does not have share what Witten-Bell smoothing leaves
 an entry, spelled in bytes.  Training reads the whole corpus too: from one common start, which is the
 unigram model of the counts, every partition trains a network in numpy on its own words,
 and the networks' steps are averaged, weighted by words.  The averages are summed in
 integers, so they don't depend on the order in which partitions end.
+
+Documents meet the word counts in lots, one for each Arrow batch: a lot's distinct words of shared
+entries travel once each, not once per document, and come back as numbers.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import cut
-from .common import kernel, raw
+from .common import kernel, runs
 
 #: Offsets of the context words.
 OFFSETS = (-2, -1, 1, 2)
@@ -51,6 +56,13 @@ class Shape:
     rate: float = 0.05
     seed: int = 11
 
+    @classmethod
+    def of(cls, kinds: int) -> Shape:
+        """For a corpus of `kinds` distinct words: a power of two of at least 1,024 and of
+        about sqrt(kinds) entries, a quarter of them shared."""
+        power = max(10, math.ceil(math.log2(max(1, kinds)) / 2))
+        return cls(1 << (power + 1) // 2, 1 << power // 2, 1 << power - 2)
+
     @property
     def entries(self) -> int:
         return self.classes * self.members
@@ -65,33 +77,63 @@ class Vocabulary(dict):
 
     def __init__(self, words: list[bytes], shape: Shape):
         super().__init__((w, i) for i, w in enumerate(words))
-        self.first, self.hashed = shape.frequent, shape.hashed
+        self.first, self.hashed, self.frequent = shape.frequent, shape.hashed, pa.array(words, pa.binary())
 
     def __missing__(self, word: bytes) -> int:
-        entry = self.first + zlib.crc32(word) % self.hashed
-        if len(self) < HELD_WORDS:
-            self[word] = entry
+        return self.first + zlib.crc32(word) % self.hashed
+
+    def entries(self, words: pa.Array) -> np.ndarray:
+        found = pc.index_in(words, value_set=self.frequent)
+        entry = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        other = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        entry[other] = [self[w] for w in words.take(pa.array(other)).to_pylist()]
         return entry
 
 
+@dataclass(frozen=True)
+class Words:
+    """Words of a batch of texts in ASCII lower case: `at` points into the distinct `words`."""
+
+    at: np.ndarray
+    words: pa.Array
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        flat = pieces.flatten()
+        real = pc.greater(pc.binary_length(flat), 0)
+        ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]]
+        coded = flat.filter(real).dictionary_encode()
+        return cls(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()), np.diff(ends))
+
+    def padded(self, entries: np.ndarray, pad: int) -> np.ndarray:
+        """Entries of all texts, each with padding on both sides."""
+        ids = np.full(len(self.at) + REACH * (len(self.sizes) + 1), pad, np.int32)
+        ids[np.arange(len(self.at)) + REACH * (1 + np.repeat(np.arange(len(self.sizes)), self.sizes))] = entries[self.at]
+        return ids
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; ASCII lower case.  Counted in tasks, then summed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
         for batch in batches:
-            for content in raw(batch.column(0)):
-                seen.update(content.lower().split())
-                if len(seen) > HELD_WORDS:
-                    yield _counted(seen)
-                    seen = Counter()
-        yield _counted(seen)
+            w = Words.of(batch.column(0))
+            held.append(pa.table({"word": w.words, "n": np.bincount(w.at, minlength=len(w.words)).astype(np.int64)}))
+            if sum(t.num_rows for t in held) > HELD_WORDS:
+                held = [_added(held)]
+                if held[0].num_rows > HELD_WORDS // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from _added(held).to_batches()
 
     return docs.select(text).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _added(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
 
 class Network:
@@ -101,7 +143,7 @@ class Network:
         self.shape, self.flat = shape, flat
         c, m, d = shape.classes, shape.members, shape.width
         at = 0
-        for name, size in (("E", (len(OFFSETS), shape.entries + 1, d)), ("b", (d,)), ("Wc", (d, c)), ("bc", (c,)), ("U", (d, m)), ("B", (c, m))):
+        for name, size in (("E", (shape.entries + 1, len(OFFSETS) * d)), ("b", (d,)), ("Wc", (d, c)), ("bc", (c,)), ("U", (d, m)), ("B", (c, m))):
             n = int(np.prod(size))
             setattr(self, name, flat[at:at + n].reshape(size))
             at += n
@@ -122,47 +164,58 @@ class Network:
         return net
 
     def forward(self, ids: np.ndarray):
-        """Of every inner position of `ids`: hidden units and both softmaxes."""
-        n = len(ids) - 2 * REACH
-        h = self.E[0][ids[REACH + OFFSETS[0]:][:n]]
-        for e, k in zip(self.E[1:], OFFSETS[1:]):
-            h = h + e[ids[REACH + k:][:n]]
-        h = np.tanh(h + self.b)
+        """Of every inner position of `ids`: hidden units, class, and both rows of logits side by
+        side, held within +-80 where their exponentials are finite."""
+        n, d = len(ids) - 2 * REACH, self.shape.width
+        rows = self.E[ids]
+        h = self.b + rows[REACH + OFFSETS[0]:][:n, :d]
+        for i, k in enumerate(OFFSETS[1:], 1):
+            h += rows[REACH + k:][:n, i * d:(i + 1) * d]
+        np.tanh(h, out=h)
         cls = np.minimum(ids[REACH:REACH + n] // self.shape.members, self.shape.classes - 1)
-        return h, cls, _softmax(h @ self.Wc + self.bc), _softmax(h @ self.U + self.B[cls])
+        z = h @ np.concatenate([self.Wc, self.U], axis=1)
+        z[:, :self.shape.classes] += self.bc
+        z[:, self.shape.classes:] += self.B[cls]
+        return h, cls, np.clip(z, -80, 80, out=z)
+
+    def sums(self, e: np.ndarray) -> np.ndarray:
+        """Of each row of exponentials: the sum over classes, and that over members."""
+        halves = np.zeros((e.shape[1], 2), e.dtype)
+        halves[:self.shape.classes, 0] = halves[self.shape.classes:, 1] = 1
+        return e @ halves
 
     def log_prob(self, ids: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every inner position; 0 at padding."""
         n = len(ids) - 2 * REACH
-        _, cls, pc, pm = self.forward(ids)
+        _, cls, z = self.forward(ids)
         target, at = ids[REACH:REACH + n], np.arange(n)
-        p = np.log(pc[at, cls].astype(np.float64)) + np.log(pm[at, target % self.shape.members].astype(np.float64))
-        return np.where(target < self.shape.entries, p, 0.0)
+        chosen = z[at, cls].astype(np.float64) + z[at, self.shape.classes + target % self.shape.members]
+        s = self.sums(np.exp(z, out=z)).astype(np.float64)
+        return np.where(target < self.shape.entries, chosen - np.log(s[:, 0] * s[:, 1]), 0.0)
 
     def train(self, ids: np.ndarray, squares: Network) -> None:
         """One Adagrad step on the inner positions of `ids`."""
-        n = len(ids) - 2 * REACH
+        n, c, d = len(ids) - 2 * REACH, self.shape.classes, self.shape.width
         target, at = ids[REACH:REACH + n], np.arange(n)
-        real = (target < self.shape.entries).astype(np.float32)[:, None] / max(1, n)
-        h, cls, dc, dm = self.forward(ids)
-        dc[at, cls] -= 1
-        dm[at, target % self.shape.members] -= 1
-        dc *= real
-        dm *= real
-        dh = (dc @ self.Wc.T + dm @ self.U.T) * (1 - h * h)
-        self._step("Wc", h.T @ dc, squares)
-        self._step("bc", dc.sum(axis=0), squares)
-        self._step("U", h.T @ dm, squares)
+        real = (target < self.shape.entries).astype(np.float32) / max(1, n)
+        h, cls, z = self.forward(ids)
+        dz = np.exp(z, out=z)
+        scale = real[:, None] / self.sums(dz)
+        dz[:, :c] *= scale[:, :1]
+        dz[:, c:] *= scale[:, 1:]
+        dz[at, cls] -= real
+        dz[at, c + target % self.shape.members] -= real
+        dh = (dz @ np.concatenate([self.Wc, self.U], axis=1).T) * (1 - h * h)
+        dw = h.T @ dz
+        self._step("Wc", dw[:, :c], squares)
+        self._step("bc", dz[:, :c].sum(axis=0), squares)
+        self._step("U", dw[:, c:], squares)
         self._step("b", dh.sum(axis=0), squares)
-        self._step("B", _rows_summed(dm, cls, self.shape.classes), squares)
-        padded = np.zeros((n + 4 * REACH, self.shape.width), np.float32)
-        padded[2 * REACH:2 * REACH + n] = dh
-        order = np.argsort(ids.astype(np.uint16), kind="stable")
-        starts = np.flatnonzero(np.r_[True, ids[order[1:]] != ids[order[:-1]]])
-        grad = np.zeros_like(self.E)
-        for g, k in zip(grad, OFFSETS):  # ids[i] is the context at offset k of inner position i - REACH - k
-            g[ids[order[starts]]] = np.add.reduceat(padded[order - k + REACH], starts, axis=0)
-        self._step("E", grad, squares)
+        self._step("B", _rows_summed(dz[:, c:], cls, c), squares)
+        around = np.zeros((len(ids), len(OFFSETS) * d), dh.dtype)
+        for i, k in enumerate(OFFSETS):  # ids[j] is the context at offset k of inner position j - REACH - k
+            around[REACH + k:][:n, i * d:(i + 1) * d] = dh
+        self._step("E", _rows_summed(around, ids, self.shape.entries + 1), squares)
 
     def _step(self, name: str, grad: np.ndarray, squares: Network) -> None:
         s = getattr(squares, name)
@@ -170,33 +223,14 @@ class Network:
         getattr(self, name)[...] -= self.shape.rate * grad / (np.sqrt(s) + 1e-8)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
 def _rows_summed(x: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, x.shape[1]), x.dtype)
-    order = np.argsort(by.astype(np.uint16), kind="stable")
+    order = np.argsort(by.astype(np.uint16) if n <= 1 << 16 else by, kind="stable")
     starts = np.flatnonzero(np.r_[True, by[order[1:]] != by[order[:-1]]])
     out[by[order[starts]]] = np.add.reduceat(x[order], starts, axis=0)
     return out
 
 
-def _entries(texts: list[bytes], vocabulary: Vocabulary, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of all texts, each with padding on both sides, and the number of words of each."""
-    pad = [shape.entries] * REACH
-    ids, sizes = list(pad), []
-    for content in texts:
-        words = content.lower().split()
-        ids += map(vocabulary.__getitem__, words)
-        ids += pad
-        sizes.append(len(words))
-    return np.array(ids, np.int32), np.array(sizes, np.int64)
-
-
 @dataclass(frozen=True)
 class Model:
     """`rare`: (word, log_share) of the words that share entries; `unseen`: the logarithm of what
@@ -209,11 +243,16 @@ class Model:
     unseen: list[float]
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
-    """Count, start and train.  The driver gets the frequent words and entries' counts
-    (at most shape.entries rows) and one averaged network, both of fixed size."""
+def fit(docs: DataFrame, shape: Shape | None = None, text: str = "text") -> Model:
+    """Count, start and train; without a shape, that of `Shape.of` the distinct words.  The driver
+    gets the frequent words and entries' counts (at most shape.entries rows) and one averaged
+    network: some 300 bytes for each of about sqrt(distinct words) entries.
+
+    Null and wordless texts count for nothing; repeated rows count as often as they occur; an
+    empty table gives the untrained start; words equally frequent take entries in byte order."""
     spark = docs.sparkSession
     counts = cut(word_counts(docs, text), "word_counts")
+    shape = shape or Shape.of(counts.count())
     top = counts.orderBy(F.col("n").desc(), "word").limit(shape.frequent).collect()
     words = [bytes(r["word"]) for r in top]
     rest = counts.join(spark.createDataFrame([(w,) for w in words], "word binary"), "word", "left_anti")
@@ -222,7 +261,8 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     hashed, kinds = {r["h"]: r["n"] for r in rows}, {r["h"]: r["kinds"] for r in rows}
     whole = [hashed.get(h, 0) + kinds.get(h, 0) + 1 for h in range(shape.hashed)]
     unseen = [math.log((kinds.get(h, 0) + 1) / n) for h, n in enumerate(whole)]
-    rare = rest.select("word", (F.log("n") - F.log(_of_entry(list(map(float, whole)), entry))).alias("log_share"))
+    of_entry = spark.createDataFrame([(h, math.log(n)) for h, n in enumerate(whole)], "h long, log_whole double")
+    rare = rest.withColumn("h", entry).join(of_entry, "h").select("word", (F.log("n") - F.col("log_whole")).alias("log_share"))
     of_entries = np.zeros(shape.entries)
     of_entries[:len(top)] = [r["n"] for r in top]
     of_entries[shape.frequent:] = [hashed.get(h, 0) for h in range(shape.hashed)]
@@ -236,8 +276,9 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
         squares = Network(shape, np.full(len(start), 1e-6, np.float32))
         seen = 0
         for batch in batches:
-            ids, sizes = _entries(raw(batch.column(0)), vocabulary, shape)
-            seen += int(sizes.sum())
+            found = Words.of(batch.column(0))
+            ids = found.padded(vocabulary.entries(found.words), shape.entries)
+            seen += len(found.at)
             for at in range(0, len(ids) - 2 * REACH, shape.batch):
                 net.train(ids[at:at + shape.batch + 2 * REACH], squares)
         if seen:
@@ -254,10 +295,6 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     return Model(shape, words, flat.astype(np.float32), rare, unseen)
 
 
-def _of_entry(values: list[float], entry: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), entry.cast("int") + 1)
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the rows of each piece; holds one row of fixed length for each piece."""
     held: dict[int, list] = {}
@@ -278,36 +315,60 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     Null and wordless texts have 0 tokens, log_prob 0 and a null mean; repeated rows get
     equal scores but for rounding; an empty table gives an empty table.  The network's part is
-    written with each document's words of shared entries; these meet the word counts in Spark."""
-    given = docs.sparkSession.sparkContext.broadcast((model.shape, model.words, model.flat))
+    written with the places of each document's words of shared entries among those of its lot;
+    a lot is an Arrow batch, named by its first row."""
+    given = docs.sparkSession.sparkContext.broadcast((model.shape, model.words, model.flat, np.array(model.unseen)))
+    row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    into = f"lot long, row {kind}, n_tokens long, log_prob double, rare array<int>, words array<struct<word: binary, spelled: long>>"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shape, words, flat = given.value
-        net, vocabulary, texts = Network(shape, flat), Vocabulary(words, shape), raw(batch.column(1))
-        ids, sizes = _entries(texts, vocabulary, shape)
+        shape, words, flat, unseen = given.value
+        net, vocabulary, found = Network(shape, flat), Vocabulary(words, shape), Words.of(batch.column(1))
+        entries = vocabulary.entries(found.words)
+        ids, n = found.padded(entries, shape.entries), batch.num_rows
         logs = [net.log_prob(ids[at:at + shape.batch + 2 * REACH]) for at in range(0, len(ids) - 2 * REACH, shape.batch)]
         sums = np.r_[0.0, np.cumsum(np.concatenate(logs) if logs else np.zeros(0))]
-        last = np.cumsum(sizes + REACH) - REACH
-        total = sums[last] - sums[last - sizes]
-        found, times, ends = [], [], [0]
-        for content in texts:
-            own = Counter(w for w in content.lower().split() if vocabulary[w] >= shape.frequent)
-            found += own.keys()
-            times += own.values()
-            ends.append(len(found))
-        pairs = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
-        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), rare], ["row", "n_tokens", "log_prob", "rare"])
-
-    row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
-    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = cut(kernel(rows, work, f"row {kind}, n_tokens long, log_prob double, rare array<struct<word: binary, times: long>>"), "scored")
-    used = scored.select(F.col("row.n").alias("n"), F.explode("rare").alias("r")).select("n", "r.word", "r.times")
-    spelled = _of_entry(model.unseen, F.crc32("word") % model.shape.hashed) - (F.length("word") + 1) * math.log(257)
-    part = F.round(F.col("times") * F.coalesce("log_share", spelled) * SCALE).cast("long")  # whole numbers: no order of adding matters
-    shares = used.join(model.rare, "word", "left").groupBy("n").agg(F.sum(part).alias("part"))
-    total = F.col("log_prob") + F.coalesce("part", F.lit(0)) / SCALE
-    return (scored.select("row", F.col("row.n").alias("n"), "n_tokens", "log_prob").join(shares, "n", "left")
-            .select(F.col("row.key").alias(key), "n_tokens", total.alias("log_prob"),
-                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")))
+        last = np.cumsum(found.sizes + REACH) - REACH
+        shared = entries >= shape.frequent
+        place = np.cumsum(shared, dtype=np.int32) - 1
+        which = shared[found.at]
+        ends = np.r_[0, np.cumsum(which)][np.r_[0, np.cumsum(found.sizes)]]
+        own = found.words.filter(pa.array(shared))
+        length = pc.binary_length(own).to_numpy(zero_copy_only=False)
+        spelled = np.rint((unseen[entries[shared] - shape.frequent] - (length + 1) * math.log(257)) * SCALE).astype(np.int64)
+        of_lot = pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(n, len(own))], pa.int32()), pa.StructArray.from_arrays([own, pa.array(spelled)], ["word", "spelled"]))
+        lot = batch.column(0).field("n")[0].as_py() if n else 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, lot)), batch.column(0), pa.array(found.sizes), pa.array(sums[last] - sums[last - found.sizes]),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[found.at[which]])), of_lot],  # the first row of a lot has its words
+            ["lot", "row", "n_tokens", "log_prob", "rare", "words"])
+
+    scored = cut(kernel(rows, work, into), "scored")
+    used = scored.select("lot", F.posexplode("words").alias("at", "w")).select("lot", "at", "w.word", "w.spelled")
+    part = F.coalesce(F.round(F.col("log_share") * SCALE).cast("long"), "spelled")  # whole numbers: no order of adding matters
+    shares = used.join(model.rare, "word", "left").select("lot", "at", part.alias("part"))
+    both = shares.unionByName(scored.drop("words"), allowMissingColumns=True)
+    ordered = both.repartition("lot").sortWithinPartitions("lot", F.col("row").isNotNull())
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in runs(batches, ["lot"]):
+            for start, end in zip(starts, ends):
+                lot = t.slice(start, end - start)
+                at = lot["at"].drop_null().to_numpy()
+                parts = np.zeros(len(at), np.int64)
+                parts[at] = lot["part"].slice(0, len(at)).to_numpy()
+                rows = lot.slice(len(at)).combine_chunks()
+                if not rows.num_rows:
+                    continue
+                ends_of = np.cumsum(pc.list_value_length(rows["rare"]).to_numpy())
+                upto = np.r_[0, np.cumsum(parts[pc.list_flatten(rows["rare"]).to_numpy()])]
+                own = upto[ends_of] - upto[np.r_[0, ends_of[:-1]]]
+                n, log = rows["n_tokens"].to_numpy(), rows["log_prob"].to_numpy() + own / SCALE
+                mean = pa.array(log / np.maximum(n, 1), mask=n == 0)
+                keys = pc.struct_field(rows["row"], "key").combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(log), mean], ["key", "n_tokens", "log_prob", "mean_log_prob"])
+
+    inner = scored.select("row.key").schema["key"].dataType.simpleString()
+    return ordered.mapInArrow(total, f"key {inner}, n_tokens long, log_prob double, mean_log_prob double").withColumnRenamed("key", key)
