@@ -1,18 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the same and on the
-passages that tell toxic from ordinary training documents.  A window of text, one word, that
-the second dictionary compresses to `near` or more bytes less is a toxic window.  How many
-of a document's windows are, and how far the strongest goes, is calibrated to a probability
-by logistic regression on the training documents.
-
-Windows are coded before compression: every byte is followed by two bytes of a hash
+Two zstandard dictionaries are trained on labelled text.  The toxic one begins with the passages
+(runs of one to `longest` words) that tell toxic training documents from ordinary ones, the other
+with passages of ordinary documents.  Both end with the words that most documents use, which
+therefore cost the same in both; the search is a full tree with fixed parameters, so that the size
+of a dictionary changes nothing.  The windows of a text are its words and its runs of `span` words, one every `stride`
+words and one at the end; how many bytes shorter a window is with the toxic dictionary is its
+distance.  How many windows reach the thresholds, and how far the strongest goes, is calibrated
+to a probability by logistic regression on the training documents.  
+Windows are coded before compression.  In a word every byte is followed by two bytes of a hash
 of the word up to it, so that matches respect beginnings of words and a whole word in the
-dictionary is worth more than chance pieces of others.
+dictionary is worth more than chance pieces of others.  In a run every pair of neighbours is eight
+bytes of hashes, so that ordinary words match in the order of a passage alone: a telling passage
+of three words or more is found even where each of its words is an ordinary one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +27,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kernel, raw
+from ..plans.shared import cut
+from .common import raw
 
 #: Marks around a word that are no part of its window.
 STRIP = b".,;:!?#$%&*|\"'()[]<>-"
@@ -30,26 +36,32 @@ STRIP = b".,;:!?#$%&*|\"'()[]<>-"
 REMEMBERED = 400_000
 
 
+#: Numbers that describe a document.
+FEATURES = 12
+
+
 @dataclass(frozen=True)
 class Fit:
-    """`sample` bounds the labelled rows used; the driver gets `telling` + `ordinary` words
-    and one row of seven numbers for each of the sample's documents."""
+    """`sample` bounds the labelled rows used, `part` the bytes of either part of a dictionary, and
+    with it what the driver gets: at most `part` words or passages of each kind, and one row of
+    numbers for each of the sample's documents."""
 
     sample: int = 20_000
-    telling: int = 1500
-    ordinary: int = 6000
+    part: int = 1 << 17
+    longest: int = 4
+    span: int = 16
+    stride: int = 12
     least_documents: int = 3
     least_odds: float = 2.0
     near: int = 4
-    level: int = 12
+    span_near: tuple[int, int] = (5, 10)
 
 
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
     toxic: bytes
-    level: int
-    near: int
+    how: Fit
     weights: np.ndarray
 
 
@@ -70,62 +82,84 @@ def coded(word: bytes) -> bytes:
     return bytes(out)
 
 
+def paired(found: list[bytes]) -> list[bytes]:
+    """Eight bytes for each pair of neighbours."""
+    pairs = [a + b" " + b for a, b in zip(found, found[1:])]
+    return [(zlib.crc32(p) << 32 | zlib.crc32(p[::-1])).to_bytes(8, "big") for p in pairs]
+
+
+def passages(found: list[bytes], longest: int) -> set[bytes]:
+    """Runs of two to `longest` words, joined by spaces."""
+    return {b" ".join(found[i:i + n]) for n in range(2, longest + 1) for i in range(len(found) - n + 1)}
+
+
 class Distance:
     """Bytes that a window is shorter with the toxic dictionary than with the ordinary one."""
 
     def __init__(self, model: Model):
-        self.pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=model.level,
-                                              write_content_size=False, write_checksum=False, write_dict_id=False) if d else
-                     zstandard.ZstdCompressor(level=model.level, write_content_size=False) for d in (model.ordinary, model.toxic)]
+        how = self.how = model.how
+        search = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=19, search_log=5, min_match=5, target_length=64,
+                                                     strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.pair = [zstandard.ZstdCompressor(compression_params=search, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None)
+                     for d in (model.ordinary, model.toxic)]
         self.known: dict[bytes, int] = {}
-        self.near = model.near
+
+    def of(self, window: bytes) -> int:
+        return len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
 
     def __call__(self, word: bytes) -> int:
         d = self.known.get(word)
         if d is None:
-            window = coded(word)
-            d = len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
+            d = self.of(coded(word))
             if len(self.known) < REMEMBERED:
                 self.known[word] = d
         return d
 
+    def spans(self, found: list[bytes]) -> list[int]:
+        """Distances of the runs of several words; one of all words where the text is shorter."""
+        how, pairs = self.how, paired(found)
+        last = len(found) - how.span
+        starts = [*range(0, last, how.stride), last] if last > 0 else [0] if pairs else []
+        return [self.of(b"".join(pairs[i:i + how.span - 1])) for i in starts]
+
     def features(self, text: bytes) -> list[float]:
-        counts = Counter(words(text))
-        n, kinds = sum(counts.values()), len(counts)
-        far = {w: d for w in counts if (d := self(w)) >= self.near}
+        found = words(text)
+        counts = Counter(found)
+        n, kinds = len(found), len(counts)
+        far = {w: d for w in counts if (d := self(w)) >= self.how.near}
         hits = sum(counts[w] for w in far)
+        spans = self.spans(found)
+        some, more = (sum(d >= k for d in spans) for k in self.how.span_near)
         return [1.0, np.log1p(hits), np.log1p(n), np.log1p(len(far)), np.log1p(kinds), hits / max(1, n), len(far) / max(1, kinds),
-                min(1.0, max(far.values(), default=0) / 20)]
+                min(1.0, max(far.values(), default=0) / 20), np.log1p(some), np.log1p(more), more / max(1, len(spans)),
+                min(1.0, max(0, max(spans, default=0)) / 20)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on at most `how.sample` labelled rows that aren't held out, picked by hash of key.
-    The sample's keys and labels are broadcast, its texts stay in the tasks."""
+    The sample's keys and labels are broadcast, its texts are written once.
+
+    A key with several rows or labels counts with each of them, as far as the bound goes; rows with
+    a null key or label are not used; null texts are empty ones; without rows the dictionaries are
+    empty and the weights zero; passages in equally many documents are taken in byte order."""
     rated = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     picked = rated.select(F.col(key).alias("key"), (F.col(label) == 1).alias("toxic")).orderBy(F.xxhash64("key"), "key", "toxic").limit(how.sample)
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, ordinary = Counter(), Counter()  # of documents; the empty word counts all of them
-            for content, bad in zip(raw(batch.column("text")), batch.column("toxic").to_pylist()):
-                (toxic if bad else ordinary).update({b"", *words(content)})
-            every = list(toxic | ordinary)
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([toxic[w] for w in every], pa.int64()),
-                                              pa.array([ordinary[w] for w in every], pa.int64())], ["word", "bad", "good"])
-
-    seen = found.mapInArrow(count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    seen = seen.persist()
-    size = seen.where(F.length("word") == 0).first()
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("toxic", "text")
+    found = cut(found, "rated")
+    runs_of_toxic = _counted(found.where("toxic"), how.longest, None).where(F.col("bad") >= how.least_documents)
+    listed = [bytes(r["passage"]) for r in runs_of_toxic.orderBy(F.col("bad").desc(), "passage").limit(how.part // 8).collect()]
+    seen = cut(_counted(found, how.longest, frozenset(listed)), "passages")
+    size = seen.where(F.length("passage") == 0).first()
     bads, goods = (size["bad"], size["good"]) if size else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bads + 1.0)) - F.log((F.col("good") + 0.5) / (goods + 1.0))
-    by_odds = seen.where(F.length("word") > 0).withColumn("odds", odds)
+    real = seen.where(F.length("passage") > 0).withColumn("odds", odds)
     telling = (F.col("bad") >= how.least_documents) & (F.col("odds") > how.least_odds)
-    tell = [bytes(r["word"]) for r in by_odds.where(telling).orderBy(F.col("bad").desc(), "word").limit(how.telling).collect()]
-    usual = [bytes(r["word"]) for r in by_odds.where(~telling).orderBy(F.col("good").desc(), "word").limit(how.ordinary).collect()]
-    seen.unpersist()
-    base = b"".join(coded(w) for w in reversed(usual))  # the usual words last, where they are cheapest to refer to
-    model = Model(base, base + b"".join(coded(w) for w in reversed(tell)), how.level, how.near, np.zeros(8))
+    tell = _most(real.where(telling), "bad", how.part)
+    usual = _most(real.where(~telling & ~F.col("passage").contains(F.lit(b" "))), "good", 2 * how.part)
+    also = _most(real.where(~telling & F.col("passage").contains(F.lit(b" ")) & (F.col("good") >= how.least_documents)), "good", how.part)
+    shared, rest = _filled(usual, how.part)
+    toxic, ordinary = _filled(tell, how.part)[0], _filled(sorted([*also, *rest], key=lambda r: (-r[1], r[0])), how.part)[0]
+    model = Model(ordinary + shared, toxic + shared, how, np.zeros(FEATURES))
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +168,48 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), key: str = "doc_id
             x = [far.features(t) for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = sorted((r["x"], r["toxic"]) for r in found.mapInArrow(measure, "toxic boolean, x array<double>").limit(how.sample).collect())
-    x, y = np.array([r[0] for r in rows]).reshape(-1, 8), np.array([r[1] for r in rows], float)
-    return Model(model.ordinary, model.toxic, how.level, how.near, calibrated(x, y))
+    measured = found.mapInArrow(measure, "toxic boolean, x array<double>").orderBy("x", "toxic").limit(how.sample)
+    rows = sorted((r["x"], r["toxic"]) for r in measured.collect())
+    x, y = np.array([r[0] for r in rows]).reshape(-1, FEATURES), np.array([r[1] for r in rows], float)
+    return Model(model.ordinary, model.toxic, how, calibrated(x, y))
+
+
+def _counted(found: DataFrame, longest: int, listed: frozenset | None) -> DataFrame:
+    """(passage, bad, good): documents of either label that hold a passage; the empty one counts all.
+    With `listed`, words and these runs of words; without it, all runs and no words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, ordinary = Counter(), Counter()
+            for content, bad in zip(raw(batch.column("text")), batch.column("toxic").to_pylist()):
+                seen = words(content)
+                several = passages(seen, longest)
+                (toxic if bad else ordinary).update(several if listed is None else {b"", *seen, *(several & listed)})
+            every = list(toxic | ordinary)
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([toxic[w] for w in every], pa.int64()),
+                                              pa.array([ordinary[w] for w in every], pa.int64())], ["passage", "bad", "good"])
+
+    counts = found.mapInArrow(count, "passage binary, bad long, good long")
+    return counts.groupBy("passage").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def _most(rows: DataFrame, by: str, part: int) -> list[tuple[bytes, int]]:
+    """The passages of most documents; a passage takes three bytes of a dictionary at the least."""
+    return [(bytes(r["passage"]), r[by]) for r in rows.orderBy(F.col(by).desc(), "passage").limit(part // 3).collect()]
+
+
+def _filled(ranked: list[tuple[bytes, int]], part: int) -> tuple[bytes, list[tuple[bytes, int]]]:
+    """Coded passages up to `part` bytes, the first ranked last, where they are cheapest to refer
+    to, and the passages that found no room."""
+    taken, held = [], 0
+    for passage, _ in ranked:
+        run = passage.split(b" ")
+        code = b"".join(paired(run)) if len(run) > 1 else coded(passage)
+        if held + len(code) > part:
+            break
+        taken.append(code)
+        held += len(code)
+    return b"".join(reversed(taken)), ranked[len(taken):]
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
@@ -157,7 +230,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, held_out, score, predicted): one row per document, from its whole text.
 
     Null texts are empty ones and are scored; a null key counts as held out; repeated rows
-    are scored alike; an empty table gives an empty table; without labelled rows every
+    are scored alike; a long text has as many windows as it has room for; an empty table gives an empty table; without labelled rows every
     score is 0.5."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,7 +238,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         model = given.value
         far = Distance(model)
         for batch in batches:
-            p = probability(np.array([far.features(t) for t in raw(batch.column("text"))]).reshape(-1, 8), model.weights)
+            p = probability(np.array([far.features(t) for t in raw(batch.column("text"))]).reshape(-1, FEATURES), model.weights)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              [key, "held_out", "score", "predicted"])
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from stayledger.llm import html_wrapper as H
@@ -99,6 +100,55 @@ def test_rare_words_have_their_own_probability(make_docs):
     assert got[0] - got[1] == pytest.approx(math.log(12), abs=1e-3) and got[1] - got[2] > 5
 
 
+def test_scores_against_plain_loops(make_docs):
+    """Sums over dictionaries and lists, with counts of its own, in three partitionings."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + rng.choice(["", "", "\n", "X"]) for _ in range(rng.randint(0, 90))), "s") for i in range(80)]
+    rows += [(500, None, "s"), (501, " \t ", "s"), (502, "never", "s"), (503, "É ÉX é", "s")]
+    docs = make_docs(rows[:-2])
+    model = L.fit(docs, SMALL)
+    counts, width, side = {}, SMALL.width, SMALL.classes
+    for _, text, _ in rows[:-2]:
+        for w in (text or "").lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[:SMALL.frequent]
+    assert [w.decode() for w in model.words] == ranked
+
+    def entry(w):
+        return ranked.index(w) if w in ranked else SMALL.frequent + zlib.crc32(w.encode()) % SMALL.hashed
+
+    whole = {}
+    for w in counts:
+        if w not in ranked:
+            n, kinds = whole.get(entry(w), (0, 0))
+            whole[entry(w)] = n + counts[w], kinds + 1
+    net = L.Network(SMALL, model.flat.astype(float))
+
+    def plain(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        ids, total = [64, 64, *map(entry, words), 64, 64], 0.0
+        for i, w in enumerate(words, 2):
+            h = [math.tanh(net.b[x] + sum(net.E[ids[i + k]][j * width + x] for j, k in enumerate((-2, -1, 1, 2)))) for x in range(width)]
+            c, m = divmod(ids[i], side)
+            of_class = [net.bc[j] + sum(h[x] * net.Wc[x][j] for x in range(width)) for j in range(side)]
+            member = [net.B[c][j] + sum(h[x] * net.U[x][j] for x in range(width)) for j in range(side)]
+            total += of_class[c] - math.log(sum(map(math.exp, of_class))) + member[m] - math.log(sum(map(math.exp, member)))
+            if w not in ranked:
+                n, kinds = whole.get(ids[i], (0, 0))
+                total += math.log(counts[w] / (n + kinds + 1)) if w in counts else math.log((kinds + 1) / (n + kinds + 1)) - (len(w.encode()) + 1) * math.log(257)
+        return total
+
+    want = {i: plain(text) for i, text, _ in rows}
+    for parts in (1, 4, 30):
+        got = {r["doc_id"]: r["log_prob"] for r in L.score(make_docs(rows).repartition(parts), model).collect()}
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_entries_grow_with_the_words():
+    assert [L.Shape.of(n).entries for n in (0, 1_000_000, 1_100_000, 4_000_000, 10**9)] == [1024, 1024, 2048, 2048, 32768]
+    assert all(s.hashed * 4 == s.entries for s in map(L.Shape.of, (0, 10**6, 10**8)))
+
+
 def test_scores_of_nothing(make_docs):
     docs = make_docs([])
     assert L.score(docs, L.fit(docs, SMALL)).count() == 0
@@ -130,7 +180,7 @@ def out(i):
 
 def test_toxicity(spark):
     docs, labels, known = labelled(spark)
-    how = X.Fit(ordinary=300)
+    how = X.Fit(part=6_000)
     model = X.fit(docs, labels, how)
     rows = X.score(docs, model).collect()
     assert len(rows) == docs.count() and all(r["held_out"] == out(r["doc_id"]) for r in rows)
@@ -143,6 +193,59 @@ def test_toxicity(spark):
     assert np.array_equal(X.fit(docs, wrong, how).weights, model.weights)  # held-out labels aren't read
 
 
+def test_toxic_phrases_of_ordinary_words(spark):
+    """Every word is as frequent in either kind of text; only four of them in a row tell."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(4, 9))) for _ in range(200)]
+    phrases = [vocab[i:i + 4] for i in range(0, 24, 4)]
+    docs, labels = [], []
+    for i in range(1200):
+        words, toxic = [rng.choice(vocab) for _ in range(rng.randint(30, 60))], i % 3 == 0
+        for phrase in rng.sample(phrases, 2):
+            at = rng.randrange(len(words))
+            if toxic:
+                words[at:at] = phrase
+            else:
+                for w in phrase:
+                    words.insert(rng.randrange(len(words)), w)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, rated = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [(r["predicted"], dict(labels)[r["doc_id"]]) for r in X.score(docs, X.fit(docs, rated)).collect() if r["held_out"]]
+    assert np.mean([p for p, t in held if t]) > 0.9 and np.mean([1 - p for p, t in held if not t]) > 0.95
+
+
+def test_toxicity_windows_against_plain_slices():
+    """Lengths of all windows by compressors of their own, one for each window."""
+    rng = random.Random(6)
+    vocab = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    shared, own, other = (b"".join(map(X.coded, vocab[a:b])) for a, b in ((0, 200), (200, 250), (250, 300)))
+    model = X.Model(other + shared, own + shared, X.Fit(), np.zeros(X.FEATURES))
+    search = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=19, search_log=5, min_match=5, target_length=64,
+                                                 strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(window, content):
+        given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=search, dict_data=given).compress(window))
+
+    def plain(window):
+        return length(window, model.ordinary) - length(window, model.toxic)
+
+    for n in (0, 1, 2, 15, 16, 17, 28, 29, 80):
+        text = [rng.choice(vocab) for _ in range(n)]
+        starts = [] if n < 2 else [0] if n <= 16 else sorted({*range(0, n - 16, 12), n - 16})
+        pairs = [zlib.crc32(a + b" " + b).to_bytes(4, "big") + zlib.crc32((a + b" " + b)[::-1]).to_bytes(4, "big") for a, b in zip(text, text[1:])]
+        far = X.Distance(model)
+        spans = far.spans(text)
+        assert spans == [plain(b"".join(pairs[i:i + 15])) for i in starts]
+        assert all(any(i <= j and j + 4 <= i + 16 for i in starts) for j in range(n - 3))  # no run of four words is cut everywhere
+        singles = {w: plain(X.coded(w)) for w in text}
+        assert all(far(w) == d for w, d in singles.items())
+        assert all(d == 0 for w, d in singles.items() if w in vocab[:200] and w not in vocab[200:] and len(w) > 3)
+        got = far.features(b" ".join(text))
+        assert got[1] == np.log1p(sum(singles[w] >= 4 for w in text)) and got[8:10] == [np.log1p(sum(d >= k for d in spans)) for k in (5, 10)]
+
+
 def test_toxicity_of_nothing(spark):
     docs, labels, _ = labelled(spark, 20)
     model = X.fit(docs, labels.limit(0))
