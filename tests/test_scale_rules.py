@@ -172,6 +172,15 @@ def test_scored_pairs_share_a_night_whatever_the_block(spark, spells, monkeypatc
     assert got == together & {(x.booking_name, x.stay_name) for x in every} and got
 
 
+def test_all_names_are_scored_whenever_they_are_there(spark, spells):
+    """The table of scores does not leave out names that never share a night."""
+    c = spells[0]
+    rows = lambda df: {(x.booking_name, x.stay_name, round(x.score, 6)) for x in df.collect()}
+    m = reconcile(*c.frames(spark), SETTINGS).matching
+    every = rows(reconcile(*_all_at_once(c).frames(spark), SETTINGS).matching.name_scores)
+    assert rows(m.all_name_scores) == every and rows(m.name_scores) < every
+
+
 def _all_at_once(c):
     """The same names, all there on one day."""
     out = Case()
