@@ -36,6 +36,8 @@ STRIP = b".,;:!?#$%&*|\"'()[]<>-"
 REMEMBERED = 400_000
 
 
+#: Bytes of a stored window beside its own, and of a run that a telling word's beginning has: four letters' code but for two.
+FRAME, RUN = 9, 10
 #: Numbers that describe a document.
 FEATURES = 12
 
@@ -84,8 +86,11 @@ def coded(word: bytes) -> bytes:
 
 def paired(found: list[bytes]) -> list[bytes]:
     """Eight bytes for each pair of neighbours."""
-    pairs = [a + b" " + b for a, b in zip(found, found[1:])]
-    return [(zlib.crc32(p) << 32 | zlib.crc32(p[::-1])).to_bytes(8, "big") for p in pairs]
+    return [pair_code(a + b" " + b) for a, b in zip(found, found[1:])]
+
+
+def pair_code(pair: bytes) -> bytes:
+    return (zlib.crc32(pair) << 32 | zlib.crc32(pair[::-1])).to_bytes(8, "big")
 
 
 def passages(found: list[bytes], longest: int) -> set[bytes]:
@@ -93,6 +98,15 @@ def passages(found: list[bytes], longest: int) -> set[bytes]:
     return {b" ".join(found[i:i + n]) for n in range(2, longest + 1) for i in range(len(found) - n + 1)}
 
 
+def own_parts(model: Model) -> tuple[set[bytes], set[int]]:
+    """What the toxic dictionary holds before the end that both share: its runs of RUN bytes, and of four as numbers."""
+    both = min(len(model.toxic), len(model.ordinary))
+    ends = [np.frombuffer(d, np.uint8)[len(d) - both:][::-1] for d in (model.toxic, model.ordinary)]
+    differ = np.flatnonzero(ends[0] != ends[1])
+    own = model.toxic[:len(model.toxic) - int(differ[0] if len(differ) else both) + RUN - 1]
+    return {own[i:i + RUN] for i in range(len(own) - RUN + 1)}, {int.from_bytes(own[i:i + 4], "big") for i in range(len(own) - 3)}
+
+
 class Distance:
     """Bytes that a window is shorter with the toxic dictionary than with the ordinary one."""
 
@@ -103,17 +117,13 @@ class Distance:
         self.pair = [zstandard.ZstdCompressor(compression_params=search, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None)
                      for d in (model.ordinary, model.toxic)]
         self.known: dict[bytes, int] = {}
+        self.parts, self.halves = own_parts(model)
 
     def of(self, window: bytes) -> int:
         return len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
 
     def __call__(self, word: bytes) -> int:
-        d = self.known.get(word)
-        if d is None:
-            d = self.of(coded(word))
-            if len(self.known) < REMEMBERED:
-                self.known[word] = d
-        return d
+        return self.of(coded(word))
 
     def spans(self, found: list[bytes]) -> list[int]:
         """Distances of the runs of several words; one of all words where the text is shorter."""
@@ -122,13 +132,47 @@ class Distance:
         starts = [*range(0, last, how.stride), last] if last > 0 else [0] if pairs else []
         return [self.of(b"".join(pairs[i:i + how.span - 1])) for i in starts]
 
+    def gain(self, window: bytes) -> int:
+        """The distance, or 0 if it is below: what the toxic dictionary doesn't shorten is stored, and nothing is longer."""
+        size = len(self.pair[1].compress(window))
+        return max(0, len(self.pair[0].compress(window)) - size) if size < len(window) + FRAME else 0
+
+    def word_gain(self, word: bytes) -> int:
+        """The gain of a word, remembered; 0 without compression if no word of the toxic part begins with its first four letters, as
+        a reference to fewer saves nothing."""
+        d = self.known.get(word)
+        if d is None:
+            begun = len(word) >= 4 and coded(word[:4])[:RUN] in self.parts
+            d = self.gain(coded(word)) if begun else 0
+            if len(self.known) < REMEMBERED:
+                self.known[word] = d
+        return d
+
+    def gains(self, found: list[bytes]) -> list[int]:
+        """The gains of `spans`.  Where no pair is one of the toxic part's own, and none comes twice, the toxic dictionary
+        has nothing to refer to that the other lacks, and the window isn't compressed."""
+        how, halves, crc32 = self.how, self.halves, zlib.crc32
+        texts = [a + b" " + b for a, b in zip(found, found[1:])]
+        telling = [i for i, p in enumerate(texts) if crc32(p) in halves]
+        again = len(set(texts)) < len(texts)
+        last = len(found) - how.span
+        starts = [*range(0, last, how.stride), last] if last > 0 else [0] if texts else []
+        out, at = [0] * len(starts), 0
+        for k, i in enumerate(starts) if telling or again else ():
+            while at < len(telling) and telling[at] < i:
+                at += 1
+            window = texts[i:i + how.span - 1]
+            if at < len(telling) and telling[at] < i + len(window) or again and len(set(window)) < len(window):
+                out[k] = self.gain(b"".join(map(pair_code, window)))
+        return out
+
     def features(self, text: bytes) -> list[float]:
         found = words(text)
         counts = Counter(found)
         n, kinds = len(found), len(counts)
-        far = {w: d for w in counts if (d := self(w)) >= self.how.near}
+        far = {w: d for w in counts if (d := self.word_gain(w)) >= self.how.near}
         hits = sum(counts[w] for w in far)
-        spans = self.spans(found)
+        spans = self.gains(found)
         some, more = (sum(d >= k for d in spans) for k in self.how.span_near)
         return [1.0, np.log1p(hits), np.log1p(n), np.log1p(len(far)), np.log1p(kinds), hits / max(1, n), len(far) / max(1, kinds),
                 min(1.0, max(far.values(), default=0) / 20), np.log1p(some), np.log1p(more), more / max(1, len(spans)),

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -246,6 +247,41 @@ def test_toxicity_windows_against_plain_slices():
         assert got[1] == np.log1p(sum(singles[w] >= 4 for w in text)) and got[8:10] == [np.log1p(sum(d >= k for d in spans)) for k in (5, 10)]
 
 
+def test_toxicity_compresses_only_windows_that_can_gain():
+    """Gains are the distances above 0, at a tenth of the compressions; own pairs and words of the toxic part are all found."""
+    rng = random.Random(7)
+    vocab = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(2, 12))) for _ in range(400)]
+    phrases = [vocab[i:i + 4] for i in range(0, 24, 4)]
+    pairs = lambda runs: b"".join(b"".join(X.paired(r)) for r in runs)
+    shared = b"".join(map(X.coded, vocab[40:300]))
+    model = X.Model(pairs([vocab[i:i + 2] for i in range(100, 300, 2)]) + shared, b"".join(map(X.coded, vocab[380:])) + pairs(phrases) + shared, X.Fit(), np.zeros(X.FEATURES))
+    all_of, some_of, called = X.Distance(model), X.Distance(model), Counter()
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def compress(self, window):
+            called["n"] += 1
+            return self.inner.compress(window)
+
+    some_of.pair = [Counted(c) for c in some_of.pair]
+    windows = 0
+    for i in range(40):
+        text = [rng.choice(vocab[:380]) for _ in range(rng.randint(0, 150))]
+        if i % 4 == 0:
+            at = rng.randint(0, len(text))
+            text[at:at] = [*rng.choice(phrases), rng.choice(vocab[380:])]
+        if i % 5 == 0:
+            text += text[:9]
+        spans = all_of.spans(text)
+        windows += 2 * len(spans) + 2 * len(set(text))
+        assert some_of.gains(text) == [max(0, d) for d in spans]
+        assert [w for w in text if some_of.word_gain(w) >= 4] == [w for w in text if all_of(w) >= 4]
+        assert all(some_of.word_gain(w) == all_of(w) for w in text if all_of(w) >= 4)
+    assert 0 < called["n"] < windows / 10
+
+
 def test_toxicity_of_nothing(spark):
     docs, labels, _ = labelled(spark, 20)
     model = X.fit(docs, labels.limit(0))
