@@ -350,7 +350,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     part = F.coalesce(F.round(F.col("log_share") * SCALE).cast("long"), "spelled")  # whole numbers: no order of adding matters
     shares = used.join(model.rare, "word", "left").select("lot", "at", part.alias("part"))
     both = shares.unionByName(scored.drop("words"), allowMissingColumns=True)
-    ordered = both.repartition("lot").sortWithinPartitions("lot", F.col("row").isNotNull())
+    # One whole number as the key: Spark sorts it by radix, while a lot's many rows of a two-column key are compared one by one.
+    ordered = both.repartition("lot").sortWithinPartitions(F.shiftleft("lot", 1).bitwiseOR(F.col("row").isNotNull().cast("long")))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in runs(batches, ["lot"]):

@@ -19,6 +19,15 @@ from stayledger.llm import toxicity as X
 SMALL = L.Shape(classes=8, members=8, hashed=16, width=6, batch=64)
 
 
+def test_lots_are_sorted_by_one_whole_number(spark, make_docs):
+    """Spark sorts one long by radix; of two keys every pair of a lot's rows is compared in full."""
+    docs = make_docs([(n, f"a b c rare{n} rarer{n % 3}", "s") for n in range(40)])
+    scores = L.score(docs, L.fit(docs, SMALL))
+    last = re.search(r"Sort \[(.*)\], false", scores._jdf.queryExecution().sparkPlan().toString()).group(1)
+    assert last.count("NULLS FIRST") == 1 and "shiftleft(lot" in last
+    assert sorted(r["doc_id"] for r in scores.collect()) == list(range(40))
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     shape = L.Shape(classes=3, members=3, hashed=2, width=4)
