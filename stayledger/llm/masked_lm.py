@@ -315,13 +315,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     Null and wordless texts have 0 tokens, log_prob 0 and a null mean; repeated rows get
     equal scores but for rounding; an empty table gives an empty table.  The network's part is
-    written with the places of each document's words of shared entries among those of its lot;
+    written with the places (four bytes each) of each document's words of shared entries among those of its lot;
     a lot is an Arrow batch, named by its first row."""
     given = docs.sparkSession.sparkContext.broadcast((model.shape, model.words, model.flat, np.array(model.unseen)))
     row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n"))
     rows = docs.select(row.alias("row"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    into = f"lot long, row {kind}, n_tokens long, log_prob double, rare array<int>, words array<struct<word: binary, spelled: long>>"
+    into = f"lot long, row {kind}, n_tokens long, log_prob double, rare binary, words array<struct<word: binary, spelled: long>>"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         shape, words, flat, unseen = given.value
@@ -340,9 +340,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         spelled = np.rint((unseen[entries[shared] - shape.frequent] - (length + 1) * math.log(257)) * SCALE).astype(np.int64)
         of_lot = pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(n, len(own))], pa.int32()), pa.StructArray.from_arrays([own, pa.array(spelled)], ["word", "spelled"]))
         lot = batch.column(0).field("n")[0].as_py() if n else 0
+        places = place[found.at[which]].astype(np.int32)
+        rare = pa.Array.from_buffers(pa.binary(), n, [None, *map(pa.py_buffer, ((4 * ends).astype(np.int32), places))])
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, lot)), batch.column(0), pa.array(found.sizes), pa.array(sums[last] - sums[last - found.sizes]),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[found.at[which]])), of_lot],  # the first row of a lot has its words
+             rare, of_lot],  # the first row of a lot has its words
             ["lot", "row", "n_tokens", "log_prob", "rare", "words"])
 
     scored = cut(kernel(rows, work, into), "scored")
@@ -350,6 +352,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     part = F.coalesce(F.round(F.col("log_share") * SCALE).cast("long"), "spelled")  # whole numbers: no order of adding matters
     shares = used.join(model.rare, "word", "left").select("lot", "at", part.alias("part"))
     both = shares.unionByName(scored.drop("words"), allowMissingColumns=True)
+    # Places are bytes because a list, empty too, costs a row 20 microseconds on its way to Python.
     # One whole number as the key: Spark sorts it by radix, while a lot's many rows of a two-column key are compared one by one.
     ordered = both.repartition("lot").sortWithinPartitions(F.shiftleft("lot", 1).bitwiseOR(F.col("row").isNotNull().cast("long")))
 
@@ -363,8 +366,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 rows = lot.slice(len(at)).combine_chunks()
                 if not rows.num_rows:
                     continue
-                ends_of = np.cumsum(pc.list_value_length(rows["rare"]).to_numpy())
-                upto = np.r_[0, np.cumsum(parts[pc.list_flatten(rows["rare"]).to_numpy()])]
+                ends_of = np.cumsum(pc.binary_length(rows["rare"]).to_numpy()) // 4
+                upto = np.r_[0, np.cumsum(parts[np.frombuffer(b"".join(rows["rare"].to_pylist()), np.int32)])]
                 own = upto[ends_of] - upto[np.r_[0, ends_of[:-1]]]
                 n, log = rows["n_tokens"].to_numpy(), rows["log_prob"].to_numpy() + own / SCALE
                 mean = pa.array(log / np.maximum(n, 1), mask=n == 0)

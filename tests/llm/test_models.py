@@ -28,6 +28,16 @@ def test_lots_are_sorted_by_one_whole_number(spark, make_docs):
     assert sorted(r["doc_id"] for r in scores.collect()) == list(range(40))
 
 
+def test_no_list_travels_with_the_shares(spark, make_docs):
+    """Spark measures a batch after every row it adds, which takes long for a column of lists."""
+    docs = make_docs([(n, f"a b c rare{n} rarer{n % 3}", "s") for n in range(40)])
+    plan = L.score(docs, L.fit(docs, SMALL))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    sent = plan.children().head().schema().simpleString()
+    assert "rare:binary" in sent and "array" not in sent
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     shape = L.Shape(classes=3, members=3, hashed=2, width=4)
