@@ -115,9 +115,34 @@ def links(prints: DataFrame, max_bits: int = 4, block: int = 4096) -> DataFrame:
             .select(*where, "fp", "own_block").mapInArrow(work, "a long, b long"))
 
 
+#: Pairs looked at in one step.
+SLICE = 1 << 18
+
+
+class _Joined:
+    """Which of `n` rows are connected: `least` has the smallest row that each row reaches."""
+
+    def __init__(self, n: int):
+        self.least = np.arange(n)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.least[a] != self.least[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        moved, to = forest(self.least[a], self.least[b])
+        if len(moved):
+            now = np.arange(len(self.least))
+            now[moved] = to
+            self.least = now[self.least]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.least != np.arange(len(self.least)))
+        return moved, self.least[moved]
+
+
 def _ring_pairs(fp, starts, ends, own, cross, s, ring, max_bits) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group that pass the chain from segment `s` on and the full
-    test.  The second segment may differ by one bit: groups are sorted by its value and
+    """A spanning forest of the pairs of rows of the same group that pass the chain from segment
+    `s` on and the full test; pairs that are connected already are not looked at again.  The second segment may differ by one bit: groups are sorted by its value and
     every one-bit neighbour is looked up."""
     none = np.zeros(0, np.int64)
     if not len(starts):
@@ -132,7 +157,7 @@ def _ring_pairs(fp, starts, ends, own, cross, s, ring, max_bits) -> tuple[np.nda
     key = (group.astype(np.uint64) << np.uint64(width)) | value
     order = np.argsort(key, kind="stable")
     key, rows = key[order], rows[order]
-    found_a, found_b = [none], [none]
+    joined = _Joined(len(fp))
     flips = [0] + [1 << i for i in range(width)] if budgets[1] else [0]
     for flip in flips:
         left = np.searchsorted(key, key ^ np.uint64(flip), "left")
@@ -140,13 +165,13 @@ def _ring_pairs(fp, starts, ends, own, cross, s, ring, max_bits) -> tuple[np.nda
         count = right - left
         at = 0
         while at < len(key):  # in slices of a bounded number of pairs
-            upto = max(at + 1, int(np.searchsorted(np.cumsum(count[at:]), 1 << 21, "right")) + at)
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(count[at:at + SLICE]), SLICE, "right")) + at)
             c = count[at:upto]
             i = np.repeat(np.arange(at, upto), c)
             j = np.repeat(left[at:upto] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
             ok = i < j
             a, b = rows[i[ok]], rows[j[ok]]
-            ok = ~cross[a] | (own[a] != own[b])
+            ok = (~cross[a] | (own[a] != own[b])) & joined.apart(a, b)
             a, b = a[ok], b[ok]
             gone = np.zeros(len(a), np.int64)
             for step in range(1, n):
@@ -156,10 +181,9 @@ def _ring_pairs(fp, starts, ends, own, cross, s, ring, max_bits) -> tuple[np.nda
                 a, b, gone = a[ok], b[ok], gone[ok]
             a, b = a.astype(np.int64), b.astype(np.int64)
             ok = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-            found_a.append(a[ok])
-            found_b.append(b[ok])
+            joined.add(a[ok], b[ok])
             at = upto
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return joined.edges()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, block: int = 4096,
@@ -232,18 +256,19 @@ def wide_links(prints: DataFrame, bits: int, max_bits: int, boxes: int, block: i
 
 
 def _chained(ring, starts, ends, seg, own, cross, max_bits, slack) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group whose chain from the equal segment on stays in budget."""
+    """A spanning forest of the pairs of rows of the same group whose chain from the equal segment
+    on stays in budget; pairs that are connected already are not looked at again."""
     n, boxes = ring.shape
     sizes = ends - starts
     partners = np.repeat(ends, sizes) - np.arange(n) - 1
     done = np.cumsum(partners)
-    found_a, found_b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    joined, at = _Joined(n), 0
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 20), "right")))
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + SLICE, "right")))
         c = partners[at:upto]
         a = np.repeat(np.arange(at, upto), c)
         b = a + 1 + np.arange(c.sum()) - np.repeat(np.r_[0, np.cumsum(c)[:-1]], c)
-        ok = ~cross[a] | (own[a] != own[b])
+        ok = (~cross[a] | (own[a] != own[b])) & joined.apart(a, b)
         a, b = a[ok], b[ok]
         gone = np.zeros(len(a), np.int64)
         for step in range(1, boxes):
@@ -251,10 +276,9 @@ def _chained(ring, starts, ends, seg, own, cross, max_bits, slack) -> tuple[np.n
             gone += np.bitwise_count(ring[a, box] ^ ring[b, box])
             ok = gone <= ((step + 1) * max_bits // boxes + slack if step < boxes - 1 else max_bits)
             a, b, gone = a[ok], b[ok], gone[ok]
-        found_a.append(a)
-        found_b.append(b)
+        joined.add(a, b)
         at = upto
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return joined.edges()
 
 
 def verified_links(members: DataFrame, max_bits: int, similarity: float, block: int = 1024) -> DataFrame:
@@ -315,8 +339,11 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     uid, mark, node = "_simhash_row", "_simhash_print", "_simhash_node"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, width)) for t in raw(batch.column(text))]
-        prints, nodes = [wide_fingerprint(s, words) for s in sets], [xxhash.xxh3_64_intdigest(s.tobytes()) - 2 ** 63 for s in sets]
+        prints, nodes = [], []
+        for content in batch.column(text).cast(pa.binary()):  # one text and one set at a time
+            found = np.unique(shingle_hashes(content.as_py() or b"", width))
+            prints.append(wide_fingerprint(found, words))
+            nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - 2 ** 63)
         return batch.append_column(pa.field(mark, pa.binary()), pa.array(prints, pa.binary())).append_column(
             pa.field(node, pa.int64()), pa.array(nodes, pa.int64()))
 

@@ -1,5 +1,6 @@
 """SimHash and embedding near-duplicates against all pairs."""
 import math
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -155,6 +156,22 @@ def vectors(n, seed=0):
     return rows
 
 
+def test_a_hot_group_is_no_list_of_pairs():
+    """3,000 near copies of one segment: their 4.5 million pairs take 72 MB, a forest needs none of them."""
+    rng, n = np.random.default_rng(3), 3000
+    base = rng.integers(0, 2 ** 63, 5).astype(np.uint64)
+    prints = [(base ^ np.r_[np.uint64(1) << rng.integers(20, 60, 1).astype(np.uint64), np.zeros(4, np.uint64)]).tobytes() for _ in range(n)]
+    ring, fp = S._boxes(prints, 6), base[0] ^ (np.uint64(1) << rng.integers(26, 64, n).astype(np.uint64))
+    one, own, cross = (np.array([0]), np.array([n])), np.zeros(n, np.int32), np.zeros(n, bool)
+    for find in (lambda: S._chained(ring, *one, own, own, cross, 73, 4),
+                 lambda: S._ring_pairs(fp, *one, own, cross, 0, S.segments(4), 4)):
+        tracemalloc.start()
+        a, b = find()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(a) == list(range(1, n)) and not b.any() and peak < 48e6
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_vectors_against_all_pairs(spark, block):
     rows = vectors(60)
