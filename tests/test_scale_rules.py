@@ -230,3 +230,34 @@ def test_only_needed_tables_are_written(spark, ask, most):
     before = written(spark)
     ask(reconcile(*c.frames(spark), SETTINGS)).collect()
     assert 0 < written(spark) - before <= most
+
+
+def test_alternates_meet_by_equality(spark):
+    """Nights and stays of a name are joined by equal nodes: no pair is made that is not a row, and the rows are those of the rule."""
+    import datetime as dt
+
+    from stayledger.operators.matching import alternates
+    rng = random.Random(8)
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    stays = [(i, "mora, eva", "Mora, Eva", day(a), None if i % 9 == 0 else day(a + rng.choice([0, 1, 3, 12, 400])))
+             for i, a in enumerate(rng.choices(range(60), k=80))] + [(900, "mora, eva", "Mora, Eva", None, day(9)), (901, "other", "Other", day(1), day(50))]
+    sets = [("eva mora", day(n), "mora, eva", 100.0, 3) for n in (0, 5, 17, 40, 41, 70, 300)]
+    got = alternates(spark.createDataFrame(stays, "stay_seq bigint, name_key string, guest_name string, arrival date, departure date"),
+                     spark.createDataFrame(sets, "booking_name string, night date, stay_name string, score double, leader_seq bigint"))
+    rows = sorted((r.night, r.stay_seq, r.is_leader) for r in got.collect())
+    assert rows == sorted((n, s, s == 3) for _, n, name, _, _ in sets for s, key, _, a, d in stays if key == name and a and d and a <= n < d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "node" in plan and "(night#" not in plan.split("Join Inner")[0]
+
+
+def test_long_methods_are_split(hot):
+    """A step of more bytecode than the JVM compiles runs as several methods."""
+    assert int(hot[3].raw_stays.sparkSession.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_mentions_without_bookings_take_nothing(spark):
+    c = Case()
+    c.stay("alone", "Amaro, Zora", "05/20/2031", "05/23/2031", comments="Lantern 5/21 @ 6PM, Quarry 5/22")
+    c.book("other", "Wim Quill", "May 21, 2031", "6:00")
+    r = reconcile(*c.frames(spark), SETTINGS)
+    assert [(x.status, x.booking_seq) for x in r.mention_checks.orderBy("mention_ord").collect()] == [("note_without_reservation", None)] * 2
