@@ -1,12 +1,17 @@
 """Properties that keep the plans sound when one key is hot."""
 
+import glob
+import os
 import random
+import time
 
 import pytest
 from build import SETTINGS, Case
+from pyspark.sql import functions as F
 
 from stayledger import reconcile
 from stayledger.plans.reconcile import Reconciliation
+from stayledger.plans.shared import cut, once, run_folder
 
 
 def greedy(mentions, bookings):
@@ -261,3 +266,31 @@ def test_mentions_without_bookings_take_nothing(spark):
     c.book("other", "Wim Quill", "May 21, 2031", "6:00")
     r = reconcile(*c.frames(spark), SETTINGS)
     assert [(x.status, x.booking_seq) for x in r.mention_checks.orderBy("mention_ord").collect()] == [("note_without_reservation", None)] * 2
+
+
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    written = cut(spark.range(50_000).repartition(4, "id").groupBy((F.col("id") % 7_000).alias("k")).count(), "kept")
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and written.count() == 7_000
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    folder = run_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    inside = []
+
+    def make():
+        inside.append(cut(spark.range(10), "way_a"))
+        return cut(once(lambda: cut(inside[0].withColumn("b", F.col("id") * 2), "way_b"), "way_c").where("id > 3"), "way_d")
+
+    out = once(make, "way_out")
+    assert out.count() == 6
+    assert {n.split("-")[0] for n in set(os.listdir(folder)) - before} == {"way_out"}
