@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stayledger import reconcile
 from stayledger.plans.reconcile import Reconciliation
+from stayledger.plans.report import read_report
 from stayledger.plans.shared import cut, once, run_folder
 
 
@@ -294,3 +295,38 @@ def test_tables_on_the_way_are_deleted(spark):
     out = once(make, "way_out")
     assert out.count() == 6
     assert {n.split("-")[0] for n in set(os.listdir(folder)) - before} == {"way_out"}
+
+
+def test_alternates_of_lines_are_not_shuffled(spark):
+    """The join of names with stays by nodes is the last: no list of alternates travels to the lines.  Rows are those of the lists."""
+    from stayledger.plans.report import line_alternates
+    rng = random.Random(21)
+    c = Case()
+    for i in range(60):
+        a = rng.randint(1, 20)
+        c.stay(i, rng.choice(["Nash, Eva", "Nash, Ida", "Mora, Eva"]), f"07/{a:02}/2026", f"07/{a + rng.choice([1, 2, 7]):02}/2026")
+    for i in range(80):
+        c.book(i, rng.choice(["Nash", "Eva Nash", "Eva Mora"]), f"Jul {rng.randint(1, 24)}, 2026")
+    r = reconcile(*c.frames(spark), SETTINGS)
+    found = line_alternates(r.lines, r.alternates_of)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "node" in next(x for x in plan.splitlines() if "Join" in x)
+    lists = {}
+    for x in r.alternates.collect():
+        lists.setdefault((x.booking_name, x.night), []).append((x.stay_seq, x.guest_name, x.score))
+    asked = [x for x in r.lines.collect() if {"ambiguous", "resolved_by_note"} & set(x.reasons)]
+    want = sorted((x.booking_seq, x.stay_seq, *other) for x in asked for other in lists[x.set_name, x.booking_day] if other[0] != x.stay_seq)
+    assert want and sorted((x.booking_seq, x.stay_seq, x.alternate_seq, x.alternate_name, x.score) for x in found.collect()) == want
+
+
+def test_a_written_report_leaves_no_copy(spark, tmp_path):
+    c = Case()
+    c.stay("a", "Mora, Eva", comments="Lantern 7/10, 7PM")
+    c.stay("b", "Nash, Ida", "08/01/2026", "08/03/2026")
+    c.book("x", "Eva Mora")
+    r = reconcile(*c.frames(spark), SETTINGS)
+    folder = run_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    r.write(str(tmp_path / "report"))
+    assert not [n for n in set(os.listdir(folder)) - before if n.startswith(("report_header", "report_line", "report_group"))]
+    assert {x.arrival_month for x in read_report(spark, str(tmp_path / "report"), "report_header").collect()} == {"2026-07", "2026-08"}
